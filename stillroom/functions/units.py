@@ -99,7 +99,8 @@ PART_WORDS = {"pola": Fraction(1, 2), "pol": Fraction(1, 2), "half": Fraction(1,
 # Words after the number of pieces of a pack.
 PIECE = r"(?:kom(?:ada|\.)?|pcs|pieces|st(?:k|ück|uck)\.?|boca|bottles|cans|limenki|pack|pak(?:iranje)?)(?![^\W\d_])"
 WORD = r"[^\W\d_]+\.?"
-QUANTITY = re.compile(rf"(?<![\d.,/])(?P<n>{NUMBER})\s*(?P<u>(?:{WORD})(?:\s{WORD}){{0,2}}(?:\^?[23²³])?)|(?<!\w)(?P<w>{'|'.join(PART_WORDS)})\s+(?P<v>{WORD})", re.I)
+CUBE = r"(?:(?<=m)\^?[23²³](?!\w))?"
+QUANTITY = re.compile(rf"(?<![\d.,/])(?P<n>{NUMBER})\s*(?P<u>(?:{WORD})(?:\s{WORD}){{0,2}}{CUBE})|(?<!\w)(?P<w>{'|'.join(PART_WORDS)})\s+(?P<v>{WORD})", re.I)
 BEFORE = re.compile(r"(?<![\d.,])(\d{1,3})\s*(?:[x×*]|/\s?1(?=\s|x|×)\s*[x×]?|" + PIECE + r"\s*(?:[x×àa]\s*)?)\s*$", re.I)
 AFTER = re.compile(r"^\s*(?:[x×*]\s*(\d{1,3})(?![\d.,]*\d)(?!\s?/)|[(\[]?\s*(\d{1,3})\s*" + PIECE + r"\s*[)\]]?|[(\[]\s*(?:[x×]\s*)?(\d{1,3})\s*(?:/\s?1|[x×])?\s*[)\]])", re.I)
 
@@ -120,14 +121,15 @@ def half_up(x: Fraction) -> int:
 
 def contents(text: str, cache: dict) -> list[tuple[int, int, int, int]]:
     """(start, end, ml of a piece, pieces) of every content that a plain text states."""
-    out = []
-    for m in QUANTITY.finditer(text):
+    out, at = [], 0
+    while m := QUANTITY.search(text, at):
+        at = m.start("v") if m["w"] else m.start("u")  # words that are no unit may begin another quantity
         if m["w"]:
             value, words, first = PART_WORDS[m["w"].lower()], [m["v"]], m.start("v")
         else:
             value, words, first = number(m["n"]), None, m.start("u")
         end, size = 0, None
-        spans = list(re.finditer(rf"{WORD}(?:\^?[23²³])?", text[first : m.end()])) if words is None else [re.match(rf"{WORD}", text[first : m.end()])]
+        spans = list(re.finditer(rf"{WORD}{CUBE}", text[first : m.end()])) if words is None else [re.match(rf"{WORD}", text[first : m.end()])]
         for k in range(len(spans), 0, -1):
             unit = text[first : first + spans[k - 1].end()]
             if unit not in cache:
@@ -142,7 +144,7 @@ def contents(text: str, cache: dict) -> list[tuple[int, int, int, int]]:
             start, pieces = b.start(), int(b[1])
         elif a := AFTER.match(text[end:]):
             pieces, end = int(a[1] or a[2] or a[3]), end + a.end()
-        ml = half_up(value * size)
+        at, ml = end, half_up(value * size)
         if ml > 0 and pieces > 0:
             out.append((start, end, ml, pieces))
     return out
