@@ -23,7 +23,7 @@ SALES = (
 # Kinds of goods as titles write them beyond the canonical aliases, and forms of a firm's name that shops leave out at will.
 KINDS = ("rose", "juice", "sok", "voda", "water", "craft", "pivo", "beer", "vino", "wine", "aperitiv", "cocktail", "sampanjac")
 FIRMS = ("1887", "destilerija", "daughters", "brewing", "estate", "kuca", "podrumi")
-ABV = re.compile(r"[(\[]?(?:\balk(?:\.|ohol)?\s*)?[-+]?\d+(?:[.,]\d+)?\s*%(?:\s*vol\b\.?)?[)\]]?|\balk\.?(?=\s|$)|\bvol\b\.?", re.I)
+ABV = re.compile(r"[(\[]?(?:\balk(?:\.|ohol)?\s*)?[-+]?\d+(?:[.,]\d+)?\s*%(?:\s*vol\b\.?)?[)\]]?|(?<![\d.,])0[.,]0(?![\d.,]*\d)|\balk\.?(?=\s|$)|\bvol\b\.?", re.I)
 AGE = re.compile(r"\baged\s+(\d{1,3})\s*years?\b|\b(\d{1,3})\s*(?:y\.?\s?o\b\.?|years?\s+old\b|years?\b|jahre\b|godina\b|god\b\.?)", re.I)
 VINTAGE = re.compile(r"(?:\bberba\s+)?[(\[]?(?<![\d.,])\b((?:19|20)\d\d)\b(?![.,]?\d)[)\]]?\.?", re.I)
 TOKEN = re.compile(r"[^\W_]+")
@@ -116,15 +116,26 @@ def spellings(tokens: DataFrame) -> DataFrame:
     cuts = words.select("token", "df", F.explode(F.array_distinct(F.concat(F.array("token"), F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.lit(40))))))).alias("cut"))
     rare, common = cuts.select("cut", "token", "df"), cuts.select("cut", F.col("token").alias("repair"), F.col("df").alias("repair_df"))
     near = rare.join(common, "cut").where("token <> repair and (repair_df >= 5 * df or (df <= 2 and (repair_df > df or (repair_df = df and repair < token)))) ")
-    return near.select("token", "repair", "df", "repair_df").distinct().where(one_slip("token", "repair"))
+    return near.select("token", "repair", "repair_df").distinct().where(one_slip("token", "repair"))
+
+
+def labelled(tokens, age: str = "age", vintage: str = "vintage"):
+    """A combination of tokens with age and vintage as one string."""
+    return F.concat_ws("|", F.array_join(F.array_sort(tokens), " "), F.coalesce(F.col(age).cast("string"), F.lit("-")), F.coalesce(F.col(vintage).cast("string"), F.lit("-")))
+
+
+def respelled():
+    """The combination with every token of ``swaps`` replaced by its repair."""
+    repair = F.map_from_entries("swaps")
+    return labelled(F.array_distinct(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(repair, t), t))))
 
 
 def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     """(id, group_id, n_tokens, age, vintage, ml) for every listing; listings with one group_id are the same product.
 
     Voting: a title's tokens, less measures and sales words, are its widest combination; dropping one token gives its next ones. A combination is scored
-    by k * k * ln(1 + frequency) / (1 + mean position of its tokens). Each title takes its best combination that can be verified: its own, or one that holds a repair
-    in place of a token one slip away from it while all others, age and vintage agree. Titles that take the same combination form a cluster, and clusters
+    by k * k * ln(1 + frequency) / (1 + mean position of its tokens). Each title takes its best combination that can be verified: its own, or one that holds
+    repairs in place of tokens one slip away from them (one token, or all doubtful ones) while all others, age and vintage agree. Titles that take the same combination form a cluster, and clusters
     chained by repairs are merged. Within a cluster the total content must be equal; a listing that states none takes volume_ml, and if that is missing
     too, the one content that its cluster has, if it has just one.
 
@@ -133,35 +144,36 @@ def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     """
     seen = analyser(phrases)(F.coalesce("title", "normalized_title"), "metadata")
     rows = listings.select("id", "volume_ml", seen.alias("s")).select("id", "s.*", F.when(F.col("volume_ml") > 0, F.col("volume_ml").cast("bigint")).alias("volume_ml"))
-    rows = rows.select("id", "age", "vintage", F.coalesce("ml", "volume_ml").alias("ml"), "tokens", F.array_join(F.array_sort("tokens"), " ").alias("combination"))
-    rows = cut(rows.withColumn("identity", F.concat_ws("|", "combination", F.coalesce(F.col("age").cast("string"), F.lit("-")), F.coalesce(F.col("vintage").cast("string"), F.lit("-")))))
-    named = rows.where("combination <> ''")
+    rows = cut(rows.select("id", "age", "vintage", F.coalesce("ml", "volume_ml").alias("ml"), "tokens", labelled("tokens").alias("identity")))
+    named = rows.where(F.size("tokens") > 0)
     # Votes are counted once for each distinct combination; the position of a token is its mean place in the titles.
-    lexicon = named.groupBy("identity", "age", "vintage", "combination").agg(F.count("*").alias("n"), F.first(F.array_sort("tokens")).alias("tokens"))
-    lexicon = lexicon.select("identity", "age", "vintage", "n", "tokens")
+    lexicon = named.groupBy("identity", "age", "vintage").agg(F.count("*").alias("n"), F.first(F.array_sort("tokens")).alias("tokens"))
     tokens = lexicon.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("df"))
     repairs = spellings(tokens)
     places = named.select(F.posexplode("tokens").alias("place", "token")).groupBy("token").agg(F.avg("place").alias("place"))
     doubtful = lexicon.select("identity", "age", "vintage", "n", "tokens", F.explode("tokens").alias("token")).join(repairs, "token")
-    repaired = doubtful.select(
-        "identity", "repair", "token", F.size("tokens").alias("k"),
-        F.concat_ws("|", F.array_join(F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.when(t == F.col("token"), F.col("repair")).otherwise(t)))), " "), F.coalesce(F.col("age").cast("string"), F.lit("-")), F.coalesce(F.col("vintage").cast("string"), F.lit("-"))).alias("takes"),
-    )
-    votes = repaired.join(lexicon.select(F.col("identity").alias("takes"), F.col("n").alias("votes")), "takes").join(places.select(F.col("token").alias("repair"), "place"), "repair", "left")
-    score = F.col("k") * F.col("k") * F.log1p(F.col("votes").cast("double")) / (1 + F.coalesce("place", F.lit(0.0)))
-    best = votes.groupBy("identity").agg(F.max_by("takes", F.struct(score, F.col("takes"))).alias("takes"))
-    # Clusters chained by repairs; identities are numbered by a hash that only has to tell apart those that take part, and is checked to.
+    swap = F.struct("token", "repair")
+    common = doubtful.groupBy("identity", "token").agg(F.max_by("repair", F.struct("repair_df", "repair")).alias("repair")).groupBy("identity").agg(F.collect_list(swap).alias("swaps")).where(F.size("swaps") > 1)
+    single = doubtful.select("identity", "age", "vintage", "n", "tokens", F.array(swap).alias("swaps"))
+    repaired = single.unionByName(lexicon.join(common, "identity")).select("identity", "n", F.size("tokens").alias("k"), F.explode(F.transform("swaps", lambda x: x["repair"])).alias("repair"), respelled().alias("takes"))
+    # A combination's frequency counts the titles that spell it so and those that would after a repair.
+    support = repaired.select("identity", "takes", "n").distinct().groupBy("takes").agg(F.sum("n").alias("repaired_n")).join(lexicon.select(F.col("identity").alias("takes"), F.col("n").alias("own_n")), "takes", "left")
+    votes = repaired.join(support, "takes").join(places.select(F.col("token").alias("repair"), "place"), "repair", "left")
+    frequency = (F.col("repaired_n") + F.coalesce("own_n", F.lit(0))).cast("double")
+    score = F.col("k") * F.col("k") * F.log1p(frequency) / (1 + F.coalesce("place", F.lit(0.0)))
+    best = votes.where(F.coalesce("own_n", F.lit(0)) + F.col("repaired_n") > F.col("n")).groupBy("identity").agg(F.max_by("takes", F.struct(score, F.col("takes"))).alias("takes"))
+    # Clusters chained by repairs; the combinations that take part are numbered by a 64-bit hash.
     numbered = best.select("identity", "takes", F.xxhash64("identity").alias("a"), F.xxhash64("takes").alias("b"))
     merged = components(numbered, F.array("a", "b"))
     taken = numbered.select(F.inline(F.array(F.struct(F.col("identity"), F.col("a").alias("id")), F.struct(F.col("takes").alias("identity"), F.col("b").alias("id"))))).distinct()
     label = taken.join(merged, "id").select("identity", F.col("group_id").cast("string").alias("cluster"))
     clustered = cut(named.join(label, "identity", "left").select("id", "age", "vintage", "ml", F.size("tokens").alias("n_tokens"), F.coalesce("cluster", "identity").alias("cluster")))
-    single = clustered.where("ml is not null").groupBy("cluster").agg(F.min("ml").alias("lo"), F.max("ml").alias("hi")).where("lo = hi").select("cluster", F.col("lo").alias("only_ml"))
-    missing = clustered.where("ml is null").join(single, "cluster", "left").withColumn("ml", F.col("only_ml")).drop("only_ml")
+    only = clustered.where("ml is not null").groupBy("cluster").agg(F.min("ml").alias("lo"), F.max("ml").alias("hi")).where("lo = hi").select("cluster", F.col("lo").alias("only_ml"))
+    missing = clustered.where("ml is null").join(only, "cluster", "left").withColumn("ml", F.col("only_ml")).drop("only_ml")
     filled = clustered.where("ml is not null").unionByName(missing).withColumn("size", F.coalesce("ml", F.lit(-1)))
     first = filled.groupBy("cluster", "size").agg(F.min("id").alias("group_id"))
     grouped = filled.join(first, ["cluster", "size"]).select("id", "group_id", "n_tokens", "age", "vintage", "ml")
-    return grouped.unionByName(rows.where("combination = ''").select("id", F.col("id").alias("group_id"), F.lit(0).alias("n_tokens"), "age", "vintage", "ml"))
+    return grouped.unionByName(rows.where(F.size("tokens") == 0).select("id", F.col("id").alias("group_id"), F.lit(0).alias("n_tokens"), "age", "vintage", "ml"))
 
 
 def pairs_within(groups: DataFrame) -> DataFrame:
