@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stillroom.functions.unicode import ARMENIAN, CYRILLIC, GREEK, SIGNS, kind_of
 
@@ -66,7 +67,7 @@ def consistent(text: str) -> tuple[str, bool]:
     return spelled, found
 
 
-@F.pandas_udf("struct<form: string, found: boolean>")
+@F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("found", T.BooleanType())]))
 def consistent_form(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([(None, False) if t is None else consistent(t) for t in texts], columns=["form", "found"])

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stillroom.sources.tables import cut
 
@@ -60,7 +61,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return x.astype(np.int64)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def permuted_index(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(np.int64), size.to_numpy(np.int64), key.to_numpy(np.int64) & 0xFFFFFFFF))
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stillroom.functions.unicode import unaccented
 from stillroom.functions.units import contents
@@ -88,7 +89,7 @@ def analyser(phrases: list[str]) -> Callable:
     return analyse
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def one_slip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether two words differ by one letter added, dropped, replaced or swapped with its neighbour."""
     for left, right in batches:
