@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stillroom.functions.unicode import simple_plain
 from stillroom.functions.units import cents, stated
 
 
-@F.pandas_udf("struct<piece_ml: bigint, pieces: bigint, eur_cents: bigint>")
+# Types as objects: a string would need a running session when the module is imported.
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("piece_ml", "pieces", "eur_cents")]))
 def read_units(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Content and price as the texts of a row state them; a unit string is segmented once in a worker."""
     volume_units: dict = {}
