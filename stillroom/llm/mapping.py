@@ -33,22 +33,33 @@ def allowed(length: int) -> int:
 def near(trie: dict, word: str, most: int) -> list[tuple[str, int]]:
     """(token, distance) of the trie's tokens within ``most`` slips (a letter added, dropped, replaced or swapped with its neighbour).
 
-    One row of the distance table for each trie node, shared by all tokens with that beginning; a branch ends when its row has no value within reach.
+    One row of the distance table for each trie node, shared by all tokens with that beginning, of which only the cells within reach of the diagonal are
+    filled; a branch ends when its row has no value within reach.
     """
-    out, n = [], len(word)
-    stack = [(node, c, "", list(range(n + 1)), None) for c, node in trie.items() if c]
+    out, n, far = [], len(word), most + 1
+    stack = [(node, c, "", 1, [i if i <= most else far for i in range(n + 1)], None) for c, node in trie.items() if c]
     while stack:
-        node, c, last, above, above2 = stack.pop()
-        row = [above[0] + 1]
-        for i in range(1, n + 1):
-            d = min(row[i - 1] + 1, above[i] + 1, above[i - 1] + (word[i - 1] != c))
-            if above2 is not None and i > 1 and word[i - 1] == last and word[i - 2] == c:
-                d = min(d, above2[i - 2] + 1)
-            row.append(d)
+        node, c, last, depth, above, above2 = stack.pop()
+        row = [far] * (n + 1)
+        if depth <= most:
+            row[0] = depth
+        least = row[0]
+        for i in range(max(1, depth - most), min(n, depth + most) + 1):
+            d = above[i - 1] + (word[i - 1] != c)
+            if row[i - 1] < d - 1:
+                d = row[i - 1] + 1
+            if above[i] < d - 1:
+                d = above[i] + 1
+            if above2 is not None and i > 1 and word[i - 1] == last and word[i - 2] == c and above2[i - 2] + 1 < d:
+                d = above2[i - 2] + 1
+            row[i] = d
+            if d < least:
+                least = d
         if "" in node and row[n] <= most:
             out.append((node[""], row[n]))
-        if min(row) <= most or min(above) <= most:
-            stack.extend((below, k, c, row, above) for k, below in node.items() if k)
+        # A swap looks two rows back, so a row out of reach may still be crossed from the one above it.
+        if least <= most or min(above) < most:
+            stack.extend((below, k, c, depth + 1, row, above) for k, below in node.items() if k)
     return out
 
 
@@ -63,12 +74,15 @@ def repairs(words: DataFrame, vocabulary: list[str]) -> DataFrame:
                 for c in token:
                     node = node.setdefault(c, {})
                 node[""] = token
+            longest = max(map(len, part), default=0) + 3
             for batch in batches:
-                rows = [(w, t, 1 - d / max(len(w), len(t))) for w in batch["word"] for t, d in near(trie, w, allowed(len(w) + 2)) if d <= allowed(max(len(w), len(t)))]
+                rows = [(w, t, 1 - d / max(len(w), len(t))) for w in batch["word"] if len(w) <= longest for t, d in near(trie, w, allowed(len(w) + 2)) if d <= allowed(max(len(w), len(t)))]
                 yield pd.DataFrame(rows, columns=["word", "token", "similarity"])
 
         return run
 
+    # A search is work, not data: few bytes that adaptive execution would put into one task, so the number of tasks is set here.
+    words = words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2, "word")
     parts = [words.mapInPandas(search(vocabulary[i : i + SHARD]), "word string, token string, similarity double") for i in range(0, max(1, len(vocabulary)), SHARD)]
     found = parts[0]
     for p in parts[1:]:
