@@ -120,7 +120,7 @@ def map_values(values: DataFrame, key: str, value: str, entries: DataFrame, leas
     counted = words.groupBy("word").agg(F.count("*").alias("df"))
     fixed = repairs(counted.select("word"), vocabulary).join(counted, "word").join(counted.select(F.col("word").alias("token"), F.col("df").alias("token_df")), "token", "left")
     fixed = fixed.where((F.col("word") == F.col("token")) | (F.col("df") <= 3 * F.coalesce("token_df", F.lit(0)) + 3)).select("word", "token", "similarity")
-    hits = words.join(fixed, "word").join(F.broadcast(reference), "token")
+    hits = words.join(fixed, "word").join(F.broadcast(reference) if len(vocabulary) <= SHARD else reference, "token")
     # The norm of a value counts its own words that mean anything to the list, each by its best repair.
     own = hits.where("is_single and not whole").groupBy(value, "word").agg(F.max_by("idf", F.struct("similarity", "idf")).alias("idf")).groupBy(value).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("own_norm"))
     # A word stands for one word of a name only, and a name's word is found once.

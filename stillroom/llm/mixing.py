@@ -137,11 +137,11 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     chosen = cut(used.groupBy("doc_id", "source", "n_tokens").agg(F.max("uses").alias("repeats"), F.sum(F.col("within") * F.col("uses")).alias("used_tokens")))
     sums = chosen.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("used_tokens").alias("used_tokens"), F.max("repeats").alias("max_used"))
     slot_sums = slots.groupBy("source").agg(F.count("*").alias("slots_drawn"), F.count_if(F.col("turn") >= F.col("cap")).alias("slots_over_cap"))
-    total = chosen.agg(F.sum("used_tokens").alias("all_tokens"))
+    total = chosen.agg(F.sum("used_tokens").alias("n")).collect()[0]["n"]
     available = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     zero = F.lit(0).cast("bigint")
-    reached = targets.select("source", "target_share", "max_repeats").join(available, "source", "left").join(sums, "source", "left").join(slot_sums, "source", "left").join(F.broadcast(total)).select(
+    reached = targets.select("source", "target_share", "max_repeats").join(available, "source", "left").join(sums, "source", "left").join(slot_sums, "source", "left").select(
         "source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("n_documents", "available_tokens", "used_tokens")],
-        F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"), *[F.coalesce(c, zero).alias(c) for c in ("max_used", "slots_drawn", "slots_over_cap")],
+        F.coalesce(F.col("used_tokens") / F.lit(float(total or 1)), F.lit(0.0)).alias("reached_share"), *[F.coalesce(c, zero).alias(c) for c in ("max_used", "slots_drawn", "slots_over_cap")],
     )
     return chosen, reached

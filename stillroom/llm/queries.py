@@ -34,7 +34,7 @@ def mapped(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "category_aliases").select(F.col("category_id").alias("entry_id"), F.col("alias").alias("name")).unionByName(categories.select(F.col("id").alias("entry_id"), F.explode(F.array("name", "display_name", "slug")).alias("name")))
     rows = table(spark, d, "source_category_mappings", "id", "file_slug", "canonical_category_id")
     known = categories.select(F.col("id").alias("canonical_category_id"))
-    todo = rows.where("canonical_category_id is null").unionByName(rows.where("canonical_category_id is not null").join(F.broadcast(known), "canonical_category_id", "left_anti").select(*rows.columns))
+    todo = rows.where("canonical_category_id is null").unionByName(rows.where("canonical_category_id is not null").join(known, "canonical_category_id", "left_anti").select(*rows.columns))
     return map_values(todo, "id", "file_slug", names)
 
 
