@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+import operator
 import re
 from collections.abc import Iterator
 
@@ -18,9 +19,10 @@ ESCAPED = re.compile(r"\\[ntr\"'/]")
 BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[\s>*/#%;|'!-]*(?=\w)")
 INSIDE = re.compile(r"(?<=\w)[-'](?=\w)")
 WORD = re.compile(r"[^\W_]+")
+ITEM = operator.itemgetter(0)
 K1, B, BLOCK = 1.2, 0.75, 32
 #: Words of a passage, of which the next one starts so that every run of RUN words lies in one.
-RUN, PASSAGE = 13, 48
+RUN, PASSAGE = 13, 26
 
 
 def words_of(text: str | None) -> list[str]:
@@ -77,59 +79,56 @@ class Index:
         Cursors are kept by item; the pivot is the first item at which the terms' greatest impacts reach ``least``. If the current blocks' maxima don't
         reach it, all cursors skip to the end of the nearest block; else the pivot is scored if all cursors before it stand on it.
         """
-        cursors = [[0, 0, self.postings[t], self.most[t]] for t in terms if t in self.most]  # block, place, blocks, greatest impact
+        # A cursor: item it stands on, block, place in it, blocks, greatest impact.
+        cursors = [[self.postings[t][0][0][0][0], 0, 0, self.postings[t], self.most[t]] for t in terms if t in self.most]
         found: list[int] = []
-
-        def at(c: list) -> int:
-            return c[2][c[0]][0][c[1]][0]
-
-        def seek(c: list, item: int) -> bool:
-            """Moves a cursor to the first posting at or after ``item``; False if there is none. Blocks before it aren't looked into."""
-            blocks = c[2]
-            while c[0] < len(blocks) and blocks[c[0]][1] < item:
-                c[0], c[1] = c[0] + 1, 0
-            if c[0] == len(blocks):
-                return False
-            block = blocks[c[0]][0]
-            while block[c[1]][0] < item:
-                c[1] += 1
-            return True
-
         while cursors:
-            cursors.sort(key=at)
+            cursors.sort(key=ITEM)
             reach, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                reach += c[3]
+                reach += c[4]
                 if reach >= least:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            item = at(cursors[pivot])
-            while pivot + 1 < len(cursors) and at(cursors[pivot + 1]) == item:
+            item, n = cursors[pivot][0], len(cursors)
+            while pivot + 1 < n and cursors[pivot + 1][0] == item:
                 pivot += 1
-            tops, nearest = 0.0, None
+            tops, nearest = 0.0, -1
             for c in cursors[: pivot + 1]:
-                b = c[0]
-                while b < len(c[2]) and c[2][b][1] < item:
+                b, blocks = c[1], c[3]
+                while b < len(blocks) and blocks[b][1] < item:
                     b += 1
-                if b < len(c[2]):
-                    tops += c[2][b][2]
-                    nearest = c[2][b][1] if nearest is None else min(nearest, c[2][b][1])
-            if tops < least:  # no item up to the end of the nearest block can reach it
-                target = (nearest if nearest is not None else item) + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, at(cursors[pivot + 1]))
-                target = max(target, item + 1)
+                if b < len(blocks):
+                    _, last, top = blocks[b]
+                    tops += top
+                    if nearest < 0 or last < nearest:
+                        nearest = last
+            if tops < least:  # no item up to the end of the nearest block, and before the next cursor, can reach it
+                target = nearest + 1 if nearest >= item else item + 1
+                if pivot + 1 < n and cursors[pivot + 1][0] < target:
+                    target = cursors[pivot + 1][0]
+            elif cursors[0][0] == item:
+                if sum(c[3][c[1]][0][c[2]][1] for c in cursors[: pivot + 1]) >= least:
+                    found.append(item)
+                target = item + 1
             else:
-                if at(cursors[0]) == item:
-                    score = sum(c[2][c[0]][0][c[1]][1] for c in cursors[: pivot + 1])
-                    if score >= least:
-                        found.append(item)
-                    target = item + 1
-                else:
-                    target = item
-            cursors[: pivot + 1] = [c for c in cursors[: pivot + 1] if seek(c, target)]
+                target = item
+            kept = []
+            for c in cursors[: pivot + 1]:
+                if c[0] < target:  # on to the first posting at or after the target; blocks before it aren't looked into
+                    blocks, b, place = c[3], c[1], c[2]
+                    while b < len(blocks) and blocks[b][1] < target:
+                        b, place = b + 1, 0
+                    if b == len(blocks):
+                        continue
+                    block = blocks[b][0]
+                    while block[place][0] < target:
+                        place += 1
+                    c[0], c[1], c[2] = block[place][0], b, place
+                kept.append(c)
+            cursors[: pivot + 1] = kept
         return found
 
 
