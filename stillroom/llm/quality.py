@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ BULLET = re.compile(r"^\s*(?:[-*+•·‣▪–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])
 ENDS = re.compile(r"[.!?:;…][\"')\]»”*_]*$")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 GAPS = re.compile(r"\s{2,}")
-VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôû")
+VOWELS = re.compile("[aeiouyäöüáéíóúàèìòùâêîôû]")
 
 
 def cells_of(line: str) -> int:
@@ -59,24 +60,25 @@ def statistics(text: str | None, common: dict[str, frozenset]) -> list[float]:
     lines = [x for x in plain.split("\n") if x.strip()]
     words = plain.split()
     letters = [w.lower() for w in WORD.findall(plain)]
-    n, solid = max(1, len(words)), max(1, sum(not c.isspace() for c in plain))
+    joined = "".join(words)
+    n, solid = max(1, len(words)), max(1, len(joined))
     shares = [sum(w in known for w in letters) / max(1, len(letters)) for known in common.values()]
     line_words = [len(x.split()) for x in lines]
     bulleted = [bool(BULLET.match(x)) for x in lines]
     cells = [cells_of(x) for x in lines]
     wide = [c for c in cells if c >= 2]
-    typical = max(set(wide), key=wide.count) if wide else 1
-    known_words = frozenset().union(*common.values()) if common else frozenset()
-    sentences = sum(1 for x in lines if len(x.split()) >= 4 and any(w.lower() in known_words for w in WORD.findall(x)))
+    regular = max(Counter(wide).values()) if wide else 0
+    known_words = common.get("", frozenset()).union(*common.values()) if common else frozenset()
+    sentences = sum(1 for x, k in zip(lines, line_words, strict=True) if k >= 4 and not known_words.isdisjoint(WORD.findall(x.lower())))
     many = max(1, len(lines))
     packed = plain.encode("utf-8", "replace")
     alpha = [w for w in words if w.strip(".,;:!?()[]\"'*_").replace("-", "").replace("'", "").isalpha()]
     return [
-        float(len(words)), sum(map(len, words)) / n, sum(not c.isalnum() and not c.isspace() for c in plain) / solid, sum(bool(ENDS.search(x.rstrip())) for x in lines) / many, max(shares, default=0.0),
-        float(len(lines)), sum(line_words) / many, sum(w <= 5 for w in line_words) / many, sum(bulleted) / many, len(wide) / many, wide.count(typical) / many if wide else 0.0,
-        sum(c.isdigit() for c in plain) / solid, len({w.lower() for w in words}) / n, sum(c in VOWELS for w in letters for c in w) / max(1, sum(map(len, letters))), len(alpha) / n,
+        float(len(words)), sum(map(len, words)) / n, (len(joined) - sum(map(str.isalnum, joined))) / solid, sum(bool(ENDS.search(x.rstrip())) for x in lines) / many, max(shares, default=0.0),
+        float(len(lines)), sum(line_words) / many, sum(w <= 5 for w in line_words) / many, sum(bulleted) / many, len(wide) / many, regular / many,
+        sum(map(str.isdigit, joined)) / solid, len({w.lower() for w in words}) / n, len(VOWELS.findall("".join(letters))) / max(1, sum(map(len, letters))), len(alpha) / n,
         len(zlib.compress(packed, 6)) / max(1, len(packed)), float(max(map(len, words), default=0)), plain.count("|") / n, sum(x.lstrip()[:1].isupper() for x in lines) / many, sentences / many,
-        sum(ord(c) > 0x7F and not c.isspace() for c in plain) / solid, sum(any(c.isdigit() for c in w) for w in words) / n, code, sum(cells) / many, sum(not any(c.isalnum() for c in x) for x in lines) / many,
+        (0 if joined.isascii() else len(joined) - len(joined.encode("ascii", "ignore"))) / solid, sum(any(map(str.isdigit, w)) for w in words) / n, code, sum(cells) / many, sum(not any(map(str.isalnum, x)) for x in lines) / many,
     ]
 
 
