@@ -161,9 +161,9 @@ def match_rows(products: DataFrame, taken: DataFrame | None = None, rules: Rules
 def idf(products: DataFrame, rules: Rules = COMPARED) -> DataFrame:
     """(token, df, idf) with idf = ln((N + 1) / (df + 1)) + 1 over the available listings with a category."""
     rows = bucketed(products, rules)
-    total = rows.agg(F.count("*").alias("n"))
+    total = rows.count()
     df = rows.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(total)).select("token", "df", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    return df.select("token", "df", (F.log(F.lit(total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
 def cosine_pairs(classes: DataFrame, weights: DataFrame, least: float = MATCH) -> DataFrame:

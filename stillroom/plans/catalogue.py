@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stillroom.functions.titles import content_ml, fingerprint, listing_ml, normalized_title, parsed_price, resolved_url, simple_title
 from stillroom.operators.groups import SHOPS, Filters, Page, active, autocomplete, badges, browse, confirmed_matches, group_details, long_matches, product_groups, search, wide_matches, with_savings
 from stillroom.operators.ingest import backfilled, last_writes, merged, recorded_changes
+from stillroom.operators.lookup import looked_up, word_search
 from stillroom.plans.catalogue_sql import ORACLES  # noqa: F401
 from stillroom.sources.landing import export_json, file_slug, page_listings
 from stillroom.sources.tables import table
@@ -121,7 +122,8 @@ def vendor_counts(spark, d):
 
 def landing_stats(spark, d):
     g = with_savings(groups(spark, d)).agg(F.count("*").alias("groups"), F.count_distinct("category_slug").alias("categories"), F.max("savings").alias("best_savings"), F.count_if(F.col("store_count") > 1).alias("compared"))
-    return g.join(F.broadcast(active(table(spark, d, "products", "is_available", "price")).agg(F.count("*").alias("listings"))))
+    n = active(table(spark, d, "products", "is_available", "price")).agg(F.count("*").alias("listings"))
+    return g.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def cheapest_in_category(spark, d):
@@ -192,6 +194,30 @@ def mapping_check(spark, d):
     return n.join(table(spark, d, "categories").select(F.col("id").alias("category_id"), "name"), "category_id", "left").join(table(spark, d, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("shop")), "source_id").groupBy("shop", F.coalesce("name", F.lit("none")).alias("category")).agg(F.sum("slugs").alias("slugs"))
 
 
+def cheapest_hits(spark, d):
+    """The fifty cheapest active listings whose title holds a text."""
+    rows = active(table(spark, d, "products", "id", "title", "price", "is_available")).where(F.col("title").ilike(f"%{QUERY}%"))
+    return rows.orderBy("price", "id").limit(50).select("id", "title", "price")
+
+
+def word_hits(spark, d):
+    return word_search(table(spark, d, "products", "id", "title"), ["double", "wood"]).select("id")
+
+
+def price_steps(spark, d):
+    """Every change of a listing's price against the row before it in time."""
+    w = Window.partitionBy("product_id").orderBy("recorded_at", "id")
+    rows = table(spark, d, "price_history", "id", "product_id", "price", "recorded_at").withColumn("before", F.lag("price").over(w))
+    return rows.where(F.col("price") != F.col("before")).select("id", "product_id", "before", "price", (F.col("price") - F.col("before")).cast(MONEY).alias("step"))
+
+
+def title_lookup(spark, d):
+    """The titles of every listing whose id is divisible by 100, in capitals or cut, looked up at every shop."""
+    rows = table(spark, d, "products", "id", "source_id", "title")
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("request"), F.when(F.col("id") % 200 == 0, F.upper("title")).otherwise(F.substring("title", 1, 12)).alias("title"))
+    return looked_up(asked.withColumn("shop", F.explode(F.sequence(F.lit(1), F.lit(5)))), rows)
+
+
 # ---- candidates ----
 
 
@@ -294,8 +320,8 @@ def delivery(spark, d, n):
 
 
 def after_merge(spark, d):
-    """Delivery 2, as a landing of three shops, merged into delivery 1."""
-    landed = delivery(spark, d, 2).where("source_id <= 3")
+    """Delivery 2, as a landing, merged into delivery 1."""
+    landed = delivery(spark, d, 2)
     return merged(delivery(spark, d, 1), landed, ["source_id", "product_id"], ["source_id"], F.to_timestamp(F.lit("2026-03-11 03:00:00")))
 
 
@@ -313,7 +339,7 @@ def history_delta(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     current_prices, price_comparison, groups_view, browse_filtered, browse_total, featured_savings, group_detail, singleton_detail, search_groups, search_filtered, search_total, suggestions_for_title, group_badges,
-    category_counts, vendor_counts, landing_stats, cheapest_in_category, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
+    category_counts, vendor_counts, landing_stats, cheapest_in_category, cheapest_hits, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
     wrong_shop_check, mapping_check, review_queue, review_counts, review_history, match_table, normalized_titles, simple_titles, title_contents, parsed_prices, resolved_urls, fingerprints, parsed_pages, landing_slugs,
     image_backfill, exported_sources, snapshot_merge, deactivated, history_delta,
 )} | {f"browse_{s}": browsed(s) for s in ("price_asc", "price_desc", "name_asc", "name_desc", "savings_desc")}

@@ -79,7 +79,7 @@ PLAIN_PRICE = f"CASE WHEN contains({BARE}, ',') THEN replace(CASE WHEN contains(
 WEEK, MONTH = "TIMESTAMPTZ '2026-03-15 00:00:00+00' - INTERVAL 7 DAY", "TIMESTAMPTZ '2026-03-15 00:00:00+00' - INTERVAL 30 DAY"
 DELIVERY = "SELECT source_id, product_id, price, is_available, last_seen_at FROM (SELECT *, row_number() OVER (PARTITION BY source_id, product_id ORDER BY last_seen_at DESC NULLS LAST) AS k FROM product_snapshots WHERE snapshot_no = {n}) WHERE k = 1"
 MERGE = f"""
-WITH a AS ({DELIVERY.format(n=1)}), b AS (SELECT * FROM ({DELIVERY.format(n=2)}) WHERE source_id <= 3),
+WITH a AS ({DELIVERY.format(n=1)}), b AS ({DELIVERY.format(n=2)}),
 m AS (SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(a.product_id, b.product_id) AS product_id, a.price AS old_price, a.is_available AS old_available,
   CASE WHEN b.product_id IS NOT NULL THEN b.price ELSE a.price END AS price,
   CASE WHEN b.product_id IS NOT NULL THEN true WHEN a.is_available AND a.source_id IN (SELECT source_id FROM b) THEN false ELSE a.is_available END AS is_available,
@@ -106,6 +106,11 @@ ORACLES = {
     "vendor_counts": "SELECT s.id AS source_id, s.name, s.display_name, count(p.id)::BIGINT AS listings FROM sources s LEFT JOIN products p ON p.source_id = s.id AND p.is_available AND p.price > 0 WHERE s.is_active GROUP BY s.id, s.name, s.display_name",
     "landing_stats": GROUPS + "SELECT (SELECT count(*) FROM vg)::BIGINT AS groups, (SELECT count(DISTINCT category_slug) FROM vg)::BIGINT AS categories, (SELECT max(savings) FROM sg) AS best_savings, (SELECT count(*) FROM vg WHERE store_count > 1)::BIGINT AS compared, (SELECT count(*) FROM products WHERE is_available AND price > 0)::BIGINT AS listings",
     "cheapest_in_category": "SELECT * FROM (SELECT category_id, row_number() OVER (PARTITION BY category_id ORDER BY price, id)::INT AS k, id, title, price FROM products WHERE is_available AND price > 0 AND category_id IS NOT NULL) WHERE k <= 10",
+    "cheapest_hits": "SELECT id, title, price FROM products WHERE is_available AND price > 0 AND title ILIKE '%reserve%' ORDER BY price, id LIMIT 50",
+    "word_hits": r"SELECT id FROM products WHERE list_contains(regexp_split_to_array(lower(title), '[^\p{L}\p{N}_\p{M}\x{200c}\x{200d}]+'), 'double') AND list_contains(regexp_split_to_array(lower(title), '[^\p{L}\p{N}_\p{M}\x{200c}\x{200d}]+'), 'wood')",
+    "price_steps": "SELECT id, product_id, before, price, (price - before)::DECIMAL(10, 2) AS step FROM (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY recorded_at, id) AS before FROM price_history) WHERE price <> before",
+    "title_lookup": "WITH a AS (SELECT p.id AS request, s.id AS shop, CASE WHEN p.id % 200 = 0 THEN upper(p.title) ELSE substring(p.title, 1, 12) END AS t FROM products p, sources s WHERE p.id % 100 = 0 AND length(trim(p.title)) > 0), h AS (SELECT a.request, a.shop, p.id AS product_id, CASE WHEN lower(a.t) = lower(p.title) THEN 1 ELSE 2 END AS pass, CASE WHEN lower(a.t) = lower(p.title) THEN 0 ELSE length(p.title) END AS l FROM a JOIN products p ON p.source_id = a.shop AND (lower(a.t) = lower(p.title) OR starts_with(lower(p.title), lower(trim(substring(a.t, 1, 40)))))) SELECT request, shop, product_id, pass FROM (SELECT *, row_number() OVER (PARTITION BY request, shop ORDER BY pass, l, product_id) AS k FROM h) WHERE k = 1",
+    "group_badges": GROUPS + "SELECT group_id, store_count > 1 AND savings > 0.01 AS has_badge, CASE WHEN volume_ml >= 1000 THEN regexp_replace(printf('%.1f', volume_ml / 1000.0), '\\.0$', '') || ' L' ELSE volume_ml || ' ml' END AS volume_label, replace(min_price::VARCHAR, '.', ',') AS price_label, substring(display_title, 1, 55) AS short_title FROM sg",
     "shop_counts": "SELECT s.name, count(*)::BIGINT AS listings FROM products p JOIN sources s ON p.source_id = s.id GROUP BY s.name",
     "avg_by_category": "SELECT c.name, round(avg(p.price::DOUBLE), 4) AS avg_price, count(*)::BIGINT AS listings FROM products p JOIN categories c ON p.category_id = c.id WHERE p.price IS NOT NULL GROUP BY c.name",
     "avg_by_category_shop": "SELECT c.name AS category, s.name AS shop, round(avg(p.price::DOUBLE), 4) AS avg_price FROM products p JOIN categories c ON p.category_id = c.id JOIN sources s ON p.source_id = s.id WHERE p.price IS NOT NULL GROUP BY c.name, s.name",

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillroom.functions.titles import NOISE, VARIANTS, match_tokens, normalized_title
+from stillroom.functions.titles import COMPARED_NOISE, NOISE, VARIANTS, match_tokens, normalized_title
 from stillroom.operators.graph import smallest_label
+from stillroom.operators.groups import confirmed_matches
+from stillroom.operators.lookup import queued
 from stillroom.operators.matching import MATCH, agreement, bucketed, clusters, edges, idf, key_classes, match_rows, matcher_pairs, pair_classes, scored_pairs
 from stillroom.plans.catalogue_sql import NORMAL
 from stillroom.sources.tables import cut, table
@@ -96,6 +98,36 @@ def suggested_clusters(spark, d):
     return grouped.join(best, "label").select(F.col("label").alias("first_id"), "shops", F.array_join("listings", ",").alias("listings"), F.bround("best", 3).alias("best"))
 
 
+def suggestion_queue(spark, d):
+    """Suggested groups that aren't queued yet and name no matched listing, with their fingerprints."""
+    shops = table(spark, d, "sources").select(F.col("id").alias("source_id"), "name")
+    urls = table(spark, d, "products", "id", "source_id", "product_url").join(shops, "source_id").select(F.col("id").alias("product_id"), F.concat_ws(":", "name", "product_url").alias("member"))
+    groups = suggested_clusters(spark, d).select(F.col("first_id").alias("label"), "best", F.explode(F.split("listings", ",").cast("array<int>")).alias("product_id")).join(urls, "product_id")
+    candidates = table(spark, d, "possible_matches")
+    return queued(groups, candidates.select(F.col("group_fingerprint").alias("fingerprint")), confirmed_matches(candidates))
+
+
+def cluster_histogram(spark, d):
+    """How many matches have listings of how many shops."""
+    return match_rows(products(spark, d)).groupBy("match_id").agg(F.count("*").cast("int").alias("shops")).groupBy("shops").agg(F.count("*").alias("matches"))
+
+
+def cluster_labels(spark, d):
+    """For each match its shortest title and whether its listings state one content, several or none."""
+    rows = match_rows(products(spark, d)).join(products(spark, d).select(F.col("id").alias("product_id"), "title", "volume_ml"), "product_id")
+    volumes = F.count_distinct("volume_ml")
+    return rows.groupBy("match_id").agg(F.min_by("title", F.struct(F.length("title"), F.col("product_id"))).alias("label"), F.when(volumes == 0, "no-vol").when(volumes == 1, F.min("volume_ml").cast("string")).otherwise("mixed-vol").alias("volume"))
+
+
+def matching_statistics(spark, d):
+    """Counters of a matching run: listings, buckets, buckets with two shops or more."""
+    rows = bucketed(products(spark, d))
+    buckets = rows.groupBy("category_id", "bucket").agg(F.count_distinct("source_id").alias("shops"))
+    counted = buckets.agg(F.count("*").alias("buckets"), F.count_if(F.col("shops") > 1).alias("buckets_across"))
+    placed = rows.agg(F.count_distinct("product_id").alias("listings"), F.count("*").alias("placements"))
+    return placed.withColumn("one", F.lit(1)).join(counted.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def token_weights(spark, d):
     return idf(products(spark, d)).select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -121,13 +153,13 @@ def matcher_disagreements(spark, d):
     names = pairs.where("matcher <> 'jaccard'").select("matcher").distinct()
     only = pairs.where("matcher <> 'jaccard'").join(base, ["id_a", "id_b"], "left_anti").groupBy("matcher").agg(F.count("*").alias("only_here"))
     found = pairs.where("matcher <> 'jaccard'").join(base, ["id_a", "id_b"], "left_semi").groupBy("matcher").agg(F.count("*").alias("both"))
-    total = base.agg(F.count("*").alias("n"))
+    total = base.count()
     zero = F.lit(0)
-    return names.join(only, "matcher", "left").join(found, "matcher", "left").join(F.broadcast(total)).select("matcher", F.coalesce("only_here", zero).alias("only_here"), (F.col("n") - F.coalesce("both", zero)).alias("only_jaccard"))
+    return names.join(only, "matcher", "left").join(found, "matcher", "left").select("matcher", F.coalesce("only_here", zero).alias("only_here"), (F.lit(total) - F.coalesce("both", zero)).alias("only_jaccard"))
 
 
 QUERIES = {f.__name__: f for f in (
-    match_keys, key_members, all_scored_pairs, match_edges, pair_kinds, pair_kinds_high_floor, match_components, match_clusters, new_matches, suggested_clusters, token_weights, matcher_summary, matcher_agreement,
+    match_keys, key_members, all_scored_pairs, match_edges, pair_kinds, pair_kinds_high_floor, match_components, match_clusters, new_matches, suggested_clusters, suggestion_queue, cluster_histogram, cluster_labels, matching_statistics, token_weights, matcher_summary, matcher_agreement,
     consensus_pairs, matcher_disagreements,
 )}
 
@@ -137,6 +169,7 @@ def words_sql(words: tuple[str, ...]) -> str:
 
 
 TOKENS = f"list_filter(list_transform(list_filter(string_split({NORMAL}, ' '), lambda x: x <> '' AND NOT regexp_full_match(x, '\\p{{Nd}}+ml')), lambda x: regexp_replace(x, '^(\\p{{Nd}}+)yo$', '\\1')), lambda x: x NOT IN ({words_sql(NOISE)}) AND (length(x) > 1 OR regexp_full_match(x, '\\p{{Nd}}')))"
+COMPARED_TOKENS = TOKENS.replace(words_sql(NOISE), words_sql(COMPARED_NOISE))
 BUCKETS = f"""
 WITH RECURSIVE base AS (SELECT id AS product_id, source_id, category_id, volume_ml, coalesce({TOKENS}, []) AS toks FROM products WHERE is_available AND category_id IS NOT NULL),
 keyed AS (SELECT *, array_to_string(toks, ' ') AS key FROM base),
@@ -158,6 +191,8 @@ ORACLES = {
     "match_keys": f"SELECT id, array_to_string(coalesce({TOKENS}, []), ' ') AS key FROM products",
     "key_members": BUCKETS + "SELECT m.category_id, m.bucket, m.product_id, c.first_id FROM m JOIN cls c USING (category_id, bucket, key)",
     "all_scored_pairs": BUCKETS + "SELECT category_id, bucket, id_a, id_b, round(j, 6) AS j, round(t, 6) AS t, round(o, 6) AS o, digit_blocked FROM near",
+    "matching_statistics": BUCKETS.rstrip() + ",\nb AS (SELECT category_id, bucket, count(DISTINCT source_id) AS n FROM m GROUP BY category_id, bucket) SELECT (SELECT count(DISTINCT product_id) FROM m)::BIGINT AS listings, (SELECT count(*) FROM m)::BIGINT AS placements, (SELECT count(*) FROM b)::BIGINT AS buckets, (SELECT count(*) FROM b WHERE n > 1)::BIGINT AS buckets_across",
+    "token_weights": f"WITH c AS (SELECT coalesce({COMPARED_TOKENS}, []) AS toks FROM products WHERE is_available AND category_id IS NOT NULL), t AS (SELECT unnest(list_distinct(toks)) AS token FROM c) SELECT token, count(*)::BIGINT AS df, round(ln(((SELECT count(*) FROM c) + 1.0) / (count(*) + 1.0)) + 1.0, 6) AS idf FROM t GROUP BY token",
     "match_edges": BUCKETS + "SELECT category_id, bucket, id_a, id_b FROM e",
     "pair_kinds": BUCKETS + "SELECT category_id, bucket, id_a, id_b, round(best, 6) AS best, CASE WHEN best >= 0.37 THEN 'near_miss' ELSE 'overlap' END AS kind FROM near WHERE best < 0.7 AND (best >= 0.37 OR (o >= 0.7 AND best >= 0.5))",
     "pair_kinds_high_floor": BUCKETS + "SELECT category_id, bucket, id_a, id_b, round(best, 6) AS best, CASE WHEN best >= 0.55 THEN 'near_miss' ELSE 'overlap' END AS kind FROM near WHERE best < 0.7 AND (best >= 0.55 OR (o >= 0.7 AND best >= 0.5))",
