@@ -102,7 +102,7 @@ def told(rnd: random.Random) -> str:
 
 
 def listing(rnd: random.Random) -> str:
-    style = rnd.choice(["", "- ", "* ", "+ ", "• ", "1", "a"])
+    style = rnd.choice(["", "- ", "* ", "+ ", "• ", "–\t", "1", "a"])
     lines = [(f"{i}. " if style == "1" else f"{chr(96 + (i - 1) % 26 + 1)}) " if style == "a" else style) + entry(rnd) for i in range(1, rnd.randint(7, 40))]
     if rnd.random() < 0.4:
         lines.insert(0, rnd.choice(THINGS).capitalize() + ":")

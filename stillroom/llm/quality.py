@@ -65,7 +65,7 @@ def statistics(text: str | None, common: dict[str, frozenset]) -> list[float]:
     shares = [sum(w in known for w in letters) / max(1, len(letters)) for known in common.values()]
     line_words = [len(x.split()) for x in lines]
     bulleted = [bool(BULLET.match(x)) for x in lines]
-    cells = [cells_of(x) for x in lines]
+    cells = [cells_of(BULLET.sub("", x)) for x in lines]
     wide = [c for c in cells if c >= 2]
     regular = max(Counter(wide).values()) if wide else 0
     known_words = common.get("", frozenset()).union(*common.values()) if common else frozenset()
