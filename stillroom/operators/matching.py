@@ -44,31 +44,37 @@ def bucketed(products: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa:
 
 
 def key_classes(members: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """One row for each bucket and key: members with equal keys are copies and are compared once. node numbers the class by its first member and bucket."""
+    """One row for each bucket and key: members with equal keys are copies and are compared once. node numbers the class by its first member and bucket.
+
+    The sets to be compared hold 64-bit hashes of their words and letters' pieces, which are smaller to move and quicker to intersect than texts.
+    """
     by = members.groupBy("category_id", "bucket", "key").agg(F.min("product_id").alias("first_id"), F.first("tokens").alias("tokens"), F.collect_set("source_id").alias("sources"), F.count("*").alias("n"))
     node = F.format_string("%010d|%010d|%010d", F.col("category_id"), F.when(F.col("bucket") < 0, F.lit(2_000_000_000)).otherwise(F.col("bucket")), F.col("first_id"))
     # token_list keeps order and repeats, from which letters' pieces are taken.
-    return by.select("category_id", "bucket", "key", "sources", "n", node.alias("node"), F.array_distinct("tokens").alias("words"), trigrams(F.col("tokens")).alias("pieces"), digits_in(F.col("tokens")).alias("digits"), variants_in(F.col("tokens"), rules.variants).alias("variants"))
+    return by.select("category_id", "bucket", "key", "sources", "n", node.alias("node"), F.transform(F.array_distinct("tokens"), lambda w: F.xxhash64(w)).alias("words"), F.transform(trigrams(F.col("tokens")), lambda w: F.xxhash64(w)).alias("pieces"), digits_in(F.col("tokens")).alias("digits"), variants_in(F.col("tokens"), rules.variants).alias("variants"))
 
 
 def prefixes(classes: DataFrame, field: str, least: float) -> DataFrame:
-    """(category_id, bucket, element, node, size) of the elements by which a set can be found: of its elements, rarest first, the first
-    size - ceil(least * size) + 1. Two sets with a Jaccard of at least ``least`` share one of them."""
+    """(category_id, bucket, element, node, size, place) of the elements by which a set can be found: of its elements, rarest first, the first
+    size - ceil(least * size) + 1. Two sets with a Jaccard of at least ``least`` share one of them. place counts from 1."""
     elements = classes.select("category_id", "bucket", "node", F.size(field).alias("size"), F.explode(field).alias("element"))
     df = elements.groupBy("element").agg(F.count("*").alias("df"))
     ordered = elements.join(df, "element").groupBy("category_id", "bucket", "node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("o"))
     keep = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
-    return ordered.select("category_id", "bucket", "node", "size", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).select("category_id", "bucket", "node", "size", F.col("x.element").alias("element"))
+    return ordered.select("category_id", "bucket", "node", "size", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("place", "x")).select("category_id", "bucket", "node", "size", F.col("x.element").alias("element"), (F.col("place") + 1).alias("place"))
 
 
 def candidates(classes: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b, of all class pairs of a bucket whose words or pieces may have a Jaccard of at least ``least``: an equi-join on shared prefix elements with
-    the length filter, which loses no pair; empty keys have one class each and need none."""
+    the filters by length and by place, which lose no pair: from the first shared element on, enough elements must be left in both sets. Empty keys
+    have one class each and need none."""
     found = None
     for field in ("words", "pieces"):
         p = prefixes(classes, field, least)
-        q = p.select("category_id", "bucket", "element", F.col("node").alias("b"), F.col("size").alias("size_b"))
-        pairs = p.join(q, ["category_id", "bucket", "element"]).where((F.col("node") < F.col("b")) & (F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9)).select(F.col("node").alias("a"), "b")
+        q = p.select("category_id", "bucket", "element", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+        lengths = F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9
+        left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) + 1
+        pairs = p.join(q, ["category_id", "bucket", "element"]).where((F.col("node") < F.col("b")) & lengths & (left >= (F.col("size") + F.col("size_b")) * (least / (1 + least)) - 1e-9)).select(F.col("node").alias("a"), "b")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 
@@ -169,7 +175,7 @@ def idf(products: DataFrame, rules: Rules = COMPARED) -> DataFrame:
 def cosine_pairs(classes: DataFrame, weights: DataFrame, least: float = MATCH) -> DataFrame:
     """(a, b, cosine) of the class pairs of a bucket that share a word and whose idf cosine reaches ``least``: dot products by word, so that only pairs with
     something in common are formed. The words that can't lift a pair to ``least`` alone are no keys: pairs are found by the heavier ones."""
-    words = classes.select("category_id", "bucket", "node", F.explode("words").alias("token")).join(weights.select("token", "idf"), "token")
+    words = classes.select("category_id", "bucket", "node", F.explode("words").alias("token")).join(weights.select(F.xxhash64("token").alias("token"), "idf"), "token")
     norm = words.groupBy("node").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     unit = words.join(norm, "node").select("category_id", "bucket", "node", "token", (F.col("idf") / F.col("norm")).alias("w"))
     # Sorted by token, the last words whose squares add up to less than least squared can't reach it by themselves.

@@ -49,7 +49,8 @@ def all_scored_pairs(spark, d):
 
 
 def match_edges(spark, d):
-    return named(edges(scores(spark, d))).select("category_id", "bucket", "id_a", "id_b")
+    classes = cut(key_classes(bucketed(products(spark, d))))
+    return named(edges(scored_pairs(classes, MATCH))).select("category_id", "bucket", "id_a", "id_b")
 
 
 def pair_kinds(spark, d):
