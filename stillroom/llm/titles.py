@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from stillroom.functions.unicode import unaccented
 from stillroom.functions.units import contents
-from stillroom.llm.components import components
 from stillroom.llm.confusables import consistent
 from stillroom.sources.tables import cut
 
@@ -131,6 +130,19 @@ def respelled():
     return labelled(F.array_distinct(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(repair, t), t))))
 
 
+def last_taken(best: DataFrame) -> DataFrame:
+    """(identity, takes) with each combination's repairs followed to the end: clusters whose combination takes another one are merged into that one's.
+
+    Repairs lead to commoner words, or among equally rare ones to the smaller, so chains end; each round halves what is left of them.
+    """
+    steps = cut(best)
+    while True:
+        onward = steps.select(F.col("identity").alias("takes"), F.col("takes").alias("further"))
+        if steps.join(onward, "takes", "left_semi").isEmpty():
+            return steps
+        steps = cut(steps.join(onward, "takes", "left").select("identity", F.coalesce("further", "takes").alias("takes")))
+
+
 def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     """(id, group_id, n_tokens, age, vintage, ml) for every listing; listings with one group_id are the same product.
 
@@ -163,11 +175,7 @@ def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     frequency = (F.col("repaired_n") + F.coalesce("own_n", F.lit(0))).cast("double")
     score = F.col("k") * F.col("k") * F.log1p(frequency) / (1 + F.coalesce("place", F.lit(0.0)))
     best = votes.where(F.coalesce("own_n", F.lit(0)) + F.col("repaired_n") > F.col("n")).groupBy("identity").agg(F.max_by("takes", F.struct(score, F.col("takes"))).alias("takes"))
-    # Clusters chained by repairs; the combinations that take part are numbered by a 64-bit hash.
-    numbered = best.select("identity", "takes", F.xxhash64("identity").alias("a"), F.xxhash64("takes").alias("b"))
-    merged = components(numbered, F.array("a", "b"))
-    taken = numbered.select(F.inline(F.array(F.struct(F.col("identity"), F.col("a").alias("id")), F.struct(F.col("takes").alias("identity"), F.col("b").alias("id"))))).distinct()
-    label = taken.join(merged, "id").select("identity", F.col("group_id").cast("string").alias("cluster"))
+    label = last_taken(best).select("identity", F.col("takes").alias("cluster"))
     clustered = cut(named.join(label, "identity", "left").select("id", "age", "vintage", "ml", F.size("tokens").alias("n_tokens"), F.coalesce("cluster", "identity").alias("cluster")))
     only = clustered.where("ml is not null").groupBy("cluster").agg(F.min("ml").alias("lo"), F.max("ml").alias("hi")).where("lo = hi").select("cluster", F.col("lo").alias("only_ml"))
     missing = clustered.where("ml is null").join(only, "cluster", "left").withColumn("ml", F.col("only_ml")).drop("only_ml")
