@@ -1,4 +1,4 @@
-"""Texts for the document classifier: a holdout written and checked by hand, and made-up texts with the label of their maker."""
+"""Texts for the document classifier: a holdout written and labelled one by one, and made-up texts with the label of their maker."""
 
 from __future__ import annotations
 

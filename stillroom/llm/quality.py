@@ -140,7 +140,7 @@ def known_words(common_words: DataFrame) -> dict[str, frozenset]:
 
 
 def train(stats: DataFrame, common: dict[str, frozenset], sample: int = 1_500) -> Boosted:
-    """Gradient-boosted trees on weakly labelled documents, at most ``sample`` of each kind and four times as many of prose, and probabilities calibrated on the hand-checked holdout.
+    """Gradient-boosted trees on weakly labelled documents, at most ``sample`` of each kind and four times as many of prose, and probabilities calibrated on the holdout labelled by hand.
 
     The sample is the documents with the smallest hashes of their id among those with a label: bounded, the same on every run, and drawn from all
     documents. Made-up structural junk and plain sentences, labelled as they are made, are added for kinds and layouts that a small corpus lacks.
