@@ -78,15 +78,15 @@ def with_savings(groups: DataFrame) -> DataFrame:
 
 #: Allowed sorts; the group id makes every order total.
 SORTS = {
-    "price_asc": [F.col, ("min_price", "asc"), ("display_title", "asc")], "price_desc": [F.col, ("min_price", "desc"), ("display_title", "asc")],
-    "name_asc": [F.col, ("display_title", "asc")], "name_desc": [F.col, ("display_title", "desc")], "savings_desc": [F.col, ("savings", "desc"), ("min_price", "asc")],
+    "price_asc": (("min_price", "asc"), ("display_title", "asc")), "price_desc": (("min_price", "desc"), ("display_title", "asc")), "name_asc": (("display_title", "asc"),),
+    "name_desc": (("display_title", "desc"),), "savings_desc": (("savings", "desc"), ("min_price", "asc")),
 }
 
 
 def order_of(sort: str) -> list[Column]:
-    """The columns of a sort; an unknown one falls back to the title."""
+    """The columns of a sort, nulls last going up and first going down; an unknown sort falls back to the title."""
     ways = {"asc": lambda c: c.asc_nulls_last(), "desc": lambda c: c.desc_nulls_first()}
-    return [ways[way](F.col(name)) for name, way in SORTS.get(sort, SORTS["name_asc"])[1:]] + [F.col("group_id").asc()]
+    return [ways[way](F.col(name)) for name, way in SORTS.get(sort, SORTS["name_asc"])] + [F.col("group_id").asc()]
 
 
 @dataclass(frozen=True)
