@@ -80,8 +80,9 @@ def content_ml(text: Column) -> Column:
         # Numbers of any length: what overflows is no content.
         each = F.try_add(F.try_multiply(b, F.lit(1000)), part(pattern, 3) * factor) if kind == "pack3" else F.try_multiply(b, F.lit(factor))
         ml = F.try_multiply(a, each) if kind in ("pack3", "pack") else F.try_add(F.try_multiply(a, F.lit(1000)), b * factor) if kind == "decimal" else F.try_multiply(a, F.lit(factor))
-        tried.append(F.when(ml.between(LEAST_ML, MOST_ML), ml.cast("int")))
-    return F.coalesce(*tried)
+        tried.append(ml)
+    # One array, so that each amount is worked out once; nulls and amounts out of range fall out.
+    return F.get(F.filter(F.array(*tried), lambda x: x.between(LEAST_ML, MOST_ML)), F.lit(0)).cast("int")
 
 
 def listing_ml(size: Column, title: Column) -> Column:
