@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ ABV = re.compile(r"[(\[]?(?:\balk(?:\.|ohol)?\s*)?[-+]?\d+(?:[.,]\d+)?\s*%(?:\s*
 AGE = re.compile(r"\baged\s+(\d{1,3})\s*years?\b|\b(\d{1,3})\s*(?:y\.?\s?o\b\.?|years?\s+old\b|years?\b|jahre\b|godina\b|god\b\.?)", re.I)
 VINTAGE = re.compile(r"(?:\bberba\s+)?[(\[]?(?<![\d.,])\b((?:19|20)\d\d)\b(?![.,]?\d)[)\]]?\.?", re.I)
 TOKEN = re.compile(r"[^\W_]+")
+# A combination leaves out at most so many tokens; what it leaves out tells nothing apart if it occurs in FILLER_SETS token sets, of which this share is also listed without it.
+LEFT_OUT, FILLER_SETS, FILLER_SHARE = 3, 20, 0.3
 
 
 def phrase_trie(phrases: list[str]) -> dict:
@@ -130,6 +133,29 @@ def respelled():
     return labelled(F.array_distinct(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(repair, t), t))))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def left_out(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """What the k-combinations of a sorted token set leave out, for each k from size - LEFT_OUT (at least 1) to size - 1."""
+    for sets in batches:
+        yield pd.Series([[" ".join(x) for r in range(1, min(LEFT_OUT, len(s) - 1) + 1) for x in combinations(s, r)] for s in sets], dtype=object)
+
+
+def without_fillers(named: DataFrame) -> DataFrame:
+    """(identity, dropped): token sets that hold fillers, and the fillers' tokens.
+
+    Every distinct token set gives its k-combinations. What a combination leaves out is a filler if the combination is a listed title of its own often
+    enough: shops put sales words, kinds and tails of firms beside a title at will, while a variant seldom has all else equal beside it. A set that would be left
+    empty keeps its tokens.
+    """
+    sets = named.groupBy("identity", "age", "vintage").agg(F.first(F.array_sort("tokens")).alias("tokens"))
+    parts = sets.withColumn("left", F.explode(left_out("tokens")))
+    rest = parts.select("left", labelled(F.array_except("tokens", F.split("left", " "))).alias("rest"))
+    votes = rest.join(sets.select(F.col("identity").alias("rest"), F.lit(1).alias("listed")), "rest", "left").groupBy("left").agg(F.count("*").alias("sets"), F.count("listed").alias("listed"))
+    fillers = votes.where((F.col("sets") >= FILLER_SETS) & (F.col("listed") >= FILLER_SHARE * F.col("sets"))).select("left")
+    dropped = parts.join(fillers, "left").groupBy("identity").agg(F.array_distinct(F.flatten(F.collect_list(F.split("left", " ")))).alias("dropped"), F.first(F.size("tokens")).alias("size"))
+    return dropped.where(F.size("dropped") < F.col("size")).drop("size")
+
+
 def last_taken(best: DataFrame) -> DataFrame:
     """(identity, takes) with each combination's repairs followed to the end: clusters whose combination takes another one are merged into that one's.
 
@@ -146,8 +172,9 @@ def last_taken(best: DataFrame) -> DataFrame:
 def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     """(id, group_id, n_tokens, age, vintage, ml) for every listing; listings with one group_id are the same product.
 
-    Voting: a title's tokens, less measures and sales words, are its widest combination; dropping one token gives its next ones. A combination is scored
-    by k * k * ln(1 + frequency) / (1 + mean position of its tokens). Each title takes its best combination that can be verified: its own, or one that holds
+    Voting: a title's tokens, less measures and sales words, are its widest combination; its k-combinations leave out up to three of them. One is verified if
+    all it leaves out are fillers (``without_fillers``), and the title goes on with its smallest verified one. A combination is scored
+    by k * k * ln(1 + frequency) / (1 + mean position of its tokens). Each title takes its best combination: its own, or one that holds
     repairs in place of tokens one slip away from them (one token, or all doubtful ones) while all others, age and vintage agree. Titles that take the same combination form a cluster, and clusters
     chained by repairs are merged. Within a cluster the total content must be equal; a listing that states none takes volume_ml, and if that is missing
     too, the one content that its cluster has, if it has just one.
@@ -158,7 +185,9 @@ def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     seen = analyser(phrases)(F.coalesce("title", "normalized_title"), "metadata")
     rows = listings.select("id", "volume_ml", seen.alias("s")).select("id", "s.*", F.when(F.col("volume_ml") > 0, F.col("volume_ml").cast("bigint")).alias("volume_ml"))
     rows = cut(rows.select("id", "age", "vintage", F.coalesce("ml", "volume_ml").alias("ml"), "tokens", labelled("tokens").alias("identity")))
-    named = rows.where(F.size("tokens") > 0)
+    listed = rows.where(F.size("tokens") > 0)
+    kept = listed.join(without_fillers(listed), "identity", "left").withColumn("tokens", F.when(F.col("dropped").isNotNull(), F.array_except("tokens", "dropped")).otherwise(F.col("tokens")))
+    named = cut(kept.select("id", "age", "vintage", "ml", "tokens", labelled("tokens").alias("identity")))
     # Votes are counted once for each distinct combination; the position of a token is its mean place in the titles.
     lexicon = named.groupBy("identity", "age", "vintage").agg(F.count("*").alias("n"), F.first(F.array_sort("tokens")).alias("tokens"))
     tokens = lexicon.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("df"))

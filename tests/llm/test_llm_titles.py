@@ -42,3 +42,16 @@ def test_copies(spark):
     rows = [(i, "Kinake Drifter Noir 0,7 l", None, 700, None, "") for i in range(50)]
     got = product_groups(spark.createDataFrame(rows, SCHEMA), PHRASES).collect()
     assert {r.group_id for r in got} == {0} and len(got) == 50
+
+
+def test_unlisted_filler_is_left_out_and_a_variant_is_not(spark):
+    rows = []
+    for i in range(30):
+        name = f"{'bcdfg'[i % 5]}otarel {'klmnpr'[i // 5]}ivandor"
+        titles = [name, f"{name} ekskluziv", f"{name} najbolja kupnja"] if i < 24 else [f"{name} noir"]
+        rows += [(10 * i + k, t, None, 700, None, "") for k, t in enumerate(titles)]
+    rows += [(1000 + i, f"{'bcdfg'[i % 5]}otarel {'klmnpr'[i // 5]}ivandor noir", None, 700, None, "") for i in range(2)]
+    groups = {}
+    for r in product_groups(spark.createDataFrame(rows, SCHEMA), PHRASES).collect():
+        groups.setdefault(r.group_id, set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == sorted([[10 * i, 10 * i + 1, 10 * i + 2] for i in range(24)] + [[10 * i] for i in range(24, 30)] + [[1000], [1001]])
