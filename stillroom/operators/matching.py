@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,57 @@ def clusters(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     return like.withColumn("k", F.row_number().over(order)).where("k = 1").select("category_id", "bucket", "cluster", "product_id", "source_id")
 
 
+def chained(members: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, product_id, source_id, key) and (label, best): the listings of the class pairs (category_id, bucket, key_a, key_b, best), chained within a category over
+    all buckets, and each chain's best score; label is the smallest listing.
+
+    Two listings are a pair if their classes are and their shops differ. A shop's copies in a class have the same pairs, so the smallest stands for them in
+    pairs and is linked to each of them, provided that there is a pair at all.
+    """
+    copies = cut(members.groupBy("category_id", "bucket", "key", "source_id").agg(F.min("product_id").alias("first_id")))
+    side = lambda x: copies.select("category_id", "bucket", F.col("key").alias(f"key_{x}"), F.col("source_id").alias(f"source_{x}"), F.col("first_id").alias(x))
+    pairs = cut(near.join(side("a"), ["category_id", "bucket", "key_a"]).join(side("b"), ["category_id", "bucket", "key_b"]).where("source_a <> source_b"))
+    used = pairs.select("category_id", "bucket", F.explode(F.array(F.struct(F.col("key_a").alias("key"), F.col("source_a").alias("source_id"), F.col("a").alias("first_id")), F.struct(F.col("key_b").alias("key"), F.col("source_b").alias("source_id"), F.col("b").alias("first_id")))).alias("x")).select("category_id", "bucket", "x.*").distinct()
+    nodes = cut(members.join(used, ["category_id", "bucket", "key", "source_id"]).select("product_id", "source_id", "key", "first_id"))
+    links = pairs.select("a", "b").unionByName(nodes.select(F.col("first_id").alias("a"), F.col("product_id").alias("b"))).distinct()
+    labels = smallest_label(nodes.select(F.col("product_id").alias("node")), links)
+    best = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.max("best").alias("best"))
+    return nodes.drop("first_id").distinct().join(labels.withColumnRenamed("node", "product_id"), "product_id").select("label", "product_id", "source_id", "key"), best
+
+
+def most_typical(rows: pd.DataFrame) -> pd.DataFrame:
+    """(label, source_id, product_id) of one chain (label, source_id, key, n, product_id): of each shop the listing with the highest mean word Jaccard to the other
+    shops' listings, ties to the smaller id. Over postings of words, so memory is linear in the chain; time is quadratic in its distinct keys."""
+    keys, of = np.unique(rows["key"].to_numpy(dtype=str), return_inverse=True)
+    shops, at = np.unique(rows["source_id"].to_numpy(), return_inverse=True)
+    counts = np.zeros((len(keys), len(shops)))
+    np.add.at(counts, (of, at), rows["n"].to_numpy())
+    words = [set(k.split()) for k in keys]
+    sizes = np.array([len(w) for w in words])
+    postings: dict[str, list[int]] = {}
+    for i, ws in enumerate(words):
+        for w in ws:
+            postings.setdefault(w, []).append(i)
+    found = {w: np.array(x) for w, x in postings.items()}
+    total, several = counts.sum(axis=0), np.bincount(at)[at] > 1
+    likeness = np.zeros(len(rows))
+    sums = np.zeros((len(keys), len(shops)))
+    for i in np.unique(of[several]):
+        shared = np.bincount(np.concatenate([found[w] for w in words[i]]), minlength=len(keys)) if words[i] else np.zeros(len(keys))
+        union = sizes[i] + sizes - shared
+        sums[i] = np.where(union == 0, 1.0, shared / np.maximum(union, 1)) @ counts
+    others = np.maximum(total.sum() - total[at], 1)
+    likeness[several] = ((sums[of].sum(axis=1) - sums[of, at]) / others)[several]
+    ranked = rows.assign(likeness=likeness.round(12)).sort_values(["source_id", "likeness", "product_id"], ascending=[True, False, True])
+    return ranked.drop_duplicates("source_id")[["label", "source_id", "product_id"]]
+
+
+def typical(chains: DataFrame) -> DataFrame:
+    """(label, source_id, product_id): one listing for each shop of a chain across shops."""
+    counted = chains.groupBy("label", "source_id", "key").agg(F.count("*").alias("n"), F.min("product_id").alias("product_id"))
+    return counted.groupBy("label").applyInPandas(most_typical, "label int, source_id int, product_id int")
+
+
 def disjoint(found: DataFrame, rounds: int = 60) -> DataFrame:
     """The clusters that stay when each listing may be in one only: those with most shops first, then by bucket and first member, all in parallel.
 

@@ -13,7 +13,7 @@ from stillroom.functions.titles import COMPARED_NOISE, NOISE, VARIANTS, match_to
 from stillroom.operators.graph import smallest_label
 from stillroom.operators.groups import confirmed_matches
 from stillroom.operators.lookup import queued
-from stillroom.operators.matching import MATCH, agreement, bucketed, clusters, edges, idf, key_classes, match_rows, matcher_pairs, pair_classes, scored_pairs
+from stillroom.operators.matching import MATCH, agreement, bucketed, chained, clusters, edges, idf, key_classes, match_rows, matcher_pairs, pair_classes, scored_pairs, typical
 from stillroom.plans.catalogue_sql import NORMAL
 from stillroom.sources.tables import cut, table
 
@@ -83,19 +83,15 @@ def new_matches(spark, d):
 
 
 def suggested_clusters(spark, d):
-    """Near misses chained within a category: one listing for each shop, named by the smallest, with the best score of the chain."""
+    """Near misses chained within a category, copies included: each shop's most typical listing, named by the chain's smallest, with the best score of the chain."""
     members = cut(bucketed(products(spark, d)))
     classes = cut(key_classes(members))
-    near = cut(pair_classes(scored_pairs(classes)))
+    key = lambda x: classes.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"))
+    key = lambda x: classes.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"))
+    near = pair_classes(scored_pairs(classes)).join(key("a"), "a").join(key("b"), "b").select("category_id", "bucket", "key_a", "key_b", "best")
     # Over the whole category a listing is one node, whichever buckets it is in.
-    ids = near.select("category_id", "best", F.substring_index("a", "|", -1).cast("int").alias("a"), F.substring_index("b", "|", -1).cast("int").alias("b"))
-    nodes = ids.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = smallest_label(nodes, ids.select("a", "b"))
-    shop = products(spark, d).select(F.col("id").alias("node"), "source_id", "category_id")
-    placed = labels.join(shop, "node")
-    best = ids.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.max("best").alias("best"))
-    first = placed.groupBy("label", "source_id").agg(F.min("node").alias("product_id"))
-    grouped = first.groupBy("label").agg(F.count("*").alias("shops"), F.array_sort(F.collect_list("product_id")).alias("listings")).where("shops > 1")
+    chains, best = chained(members, near)
+    grouped = typical(chains).groupBy("label").agg(F.count("*").alias("shops"), F.array_sort(F.collect_list("product_id")).alias("listings")).where("shops > 1")
     return grouped.join(best, "label").select(F.col("label").alias("first_id"), "shops", F.array_join("listings", ",").alias("listings"), F.bround("best", 3).alias("best"))
 
 

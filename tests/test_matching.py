@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from stillroom.functions.titles import match_tokens, normalized_title
 from stillroom.operators.graph import smallest_label
-from stillroom.operators.matching import COMPARED, Rules, bucketed, candidates, clusters, cosine_pairs, disjoint, edges, idf, key_classes, match_rows, measured, pair_classes, scored_pairs, shared_words
+from stillroom.operators.matching import COMPARED, Rules, bucketed, candidates, chained, clusters, cosine_pairs, disjoint, edges, idf, key_classes, match_rows, measured, pair_classes, scored_pairs, shared_words, typical
+from stillroom.plans.matching import suggested_clusters
 
 SCHEMA = "id int, source_id int, category_id int, title string, volume_ml int, is_available boolean, key string"
 WORDS = "alpha beta gamma delta omega reserve noir 12 18 gold silver kappa sigma".split()
@@ -116,3 +117,20 @@ def test_empty(spark):
     classes = key_classes(members, Rules())
     assert disjoint(clusters(members, classes, edges(scored_pairs(classes)))).count() == 0
     assert df.select(match_tokens(normalized_title(F.col("title"))).alias("t")).count() == 0
+
+
+def test_copies_of_near_misses_are_chained_and_the_most_typical_stays(spark):
+    # Class of 1 and 2 near the class of 3: 1 and 3 are of one shop, so the pair is 2 and 3. 4, 5 and 6 chain two listings of shop 1, of which 6 is more like 5; 7 and 8 are copies.
+    rows = [(1, 1, 1, "alpha beta gamma"), (2, 2, 1, "alpha beta gamma"), (3, 1, 1, "alpha beta omega"), (4, 1, 2, "alpha beta kappa"), (5, 2, 2, "alpha beta delta sigma"), (6, 1, 2, "alpha delta sigma reserve"), (7, 3, 2, "alpha beta delta sigma"), (8, 3, 2, "alpha beta delta sigma")]
+    members = bucketed(spark.createDataFrame([(i, s, c, t, 700, True, "") for i, s, c, t in rows], SCHEMA))
+    near = spark.createDataFrame([(1, 700, "alpha beta gamma", "alpha beta omega", 0.5), (2, 700, "alpha beta delta sigma", "alpha beta kappa", 0.4), (2, 700, "alpha beta delta sigma", "alpha delta sigma reserve", 0.6)], "category_id int, bucket int, key_a string, key_b string, best double")
+    chains, best = chained(members, near)
+    assert {(r.label, r.product_id) for r in chains.collect()} == {(2, 2), (2, 3)} | {(4, i) for i in range(4, 9)}
+    assert {tuple(r) for r in best.collect()} == {(2, 0.5), (4, 0.6)}
+    assert {tuple(r) for r in typical(chains).collect()} == {(2, 2, 2), (2, 1, 3), (4, 1, 6), (4, 2, 5), (4, 3, 7)}
+
+
+def test_suggestions_name_shops_of_copies(spark, tmp_path):
+    rows = [(1, 1, 1, "alpha beta gamma"), (2, 2, 1, "alpha beta gamma"), (3, 1, 1, "alpha beta omega")]
+    spark.createDataFrame([(i, s, c, t, 700, True, "") for i, s, c, t in rows], SCHEMA).write.parquet(str(tmp_path / "products.parquet"))
+    assert [(r.shops, r.listings) for r in suggested_clusters(spark, str(tmp_path)).collect()] == [(2, "2,3")]
