@@ -11,7 +11,7 @@ from stillroom.operators.ingest import backfilled, last_writes, merged, recorded
 from stillroom.operators.lookup import looked_up, word_search
 from stillroom.plans.catalogue_sql import ORACLES  # noqa: F401
 from stillroom.sources.landing import export_json, file_slug, page_listings
-from stillroom.sources.tables import table
+from stillroom.sources.tables import cut, table
 
 TODAY = "2026-03-15"
 QUERY = "reserve"
@@ -337,9 +337,37 @@ def history_delta(spark, d):
     return recorded_changes(after_merge(spark, d), ["source_id", "product_id"])
 
 
+def all_merges(spark, d):
+    """Every delivery after the first merged in turn into the state that the ones before it left, with its snapshot_no; seen is the time of the delivery."""
+    key = ["source_id", "product_id"]
+    numbers = table(spark, d, "product_snapshots", "snapshot_no", "snapshot_at").groupBy("snapshot_no").agg(F.max("snapshot_at").alias("at"))
+    order = [r["snapshot_no"] for r in numbers.orderBy("snapshot_no").collect()]
+    state, out = delivery(spark, d, order[0] if order else 1), None
+    for n in order[1:] or [2]:
+        landed = delivery(spark, d, n)
+        at = numbers.where(F.col("snapshot_no") == n).select("at")
+        after = merged(state, landed, key, ["source_id"], F.lit(None).cast("timestamp")).withColumn("snapshot_no", F.lit(n))
+        after = cut(after.crossJoin(F.broadcast(at)).withColumn("last_seen_at", F.when(F.col("outcome").isin("inserted", "updated"), F.col("at")).otherwise(F.col("last_seen_at"))).drop("at"))
+        state = after.select(*state.columns)
+        out = after if out is None else out.unionByName(after)
+    return out
+
+
+def snapshot_merge_all(spark, d):
+    return all_merges(spark, d).select("snapshot_no", "source_id", "product_id", "price", "is_available", "last_seen_at", "outcome")
+
+
+def deactivated_all(spark, d):
+    return all_merges(spark, d).where("outcome = 'deactivated'").select("snapshot_no", "source_id", "product_id")
+
+
+def history_delta_all(spark, d):
+    return recorded_changes(all_merges(spark, d), ["snapshot_no", "source_id", "product_id"])
+
+
 QUERIES = {f.__name__: f for f in (
     current_prices, price_comparison, groups_view, browse_filtered, browse_total, featured_savings, group_detail, singleton_detail, search_groups, search_filtered, search_total, suggestions_for_title, group_badges,
     category_counts, vendor_counts, landing_stats, cheapest_in_category, cheapest_hits, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
     wrong_shop_check, mapping_check, review_queue, review_counts, review_history, match_table, normalized_titles, simple_titles, title_contents, parsed_prices, resolved_urls, fingerprints, parsed_pages, landing_slugs,
-    image_backfill, exported_sources, snapshot_merge, deactivated, history_delta,
+    image_backfill, exported_sources, snapshot_merge, deactivated, history_delta, snapshot_merge_all, deactivated_all, history_delta_all,
 )} | {f"browse_{s}": browsed(s) for s in ("price_asc", "price_desc", "name_asc", "name_desc", "savings_desc")}

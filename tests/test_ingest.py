@@ -77,3 +77,16 @@ def test_stream_keeps_the_last_state_of_every_listing(spark, tmp_path):
     from stillroom.streaming.merge import current_state
 
     assert {(r.url, r.price) for r in current_state(spark, str(target)).collect()} == {("a", 3.0), ("b", 2.0)}
+
+
+def test_every_delivery_is_merged(spark, tmp_path):
+    from stillroom.plans.catalogue import deactivated_all, history_delta_all, snapshot_merge_all
+
+    rows = [(n, i, 1, p) for n, held in {1: {1: 5, 2: 5}, 2: {1: 5, 2: 5}, 3: {1: 6}, 4: {1: 6, 2: 5}, 5: {1: 6, 3: 1}}.items() for i, p in held.items()]
+    frame = spark.createDataFrame(rows, "snapshot_no int, product_id int, source_id int, price int").selectExpr("snapshot_no", "timestamp_seconds(snapshot_no * 100) as snapshot_at", "product_id", "source_id", "cast(price as decimal(10,2)) as price", "true as is_available", "timestamp_seconds(snapshot_no * 100 - 1) as last_seen_at")
+    frame.write.parquet(str(tmp_path / "product_snapshots.parquet"))
+    d = str(tmp_path)
+    assert {(r.snapshot_no, r.product_id) for r in deactivated_all(spark, d).collect()} == {(3, 2), (5, 2)}
+    assert {(r.snapshot_no, r.product_id, int(r.price), r.was_available) for r in history_delta_all(spark, d).collect()} == {(3, 1, 6, True), (3, 2, 5, False), (4, 2, 5, True), (5, 2, 5, False)}
+    merges = {(r.snapshot_no, r.product_id): (r.outcome, r.last_seen_at.timestamp()) for r in snapshot_merge_all(spark, d).collect()}
+    assert len(merges) == 9 and merges[5, 3] == ("inserted", 500) and merges[5, 2] == ("deactivated", 400)
