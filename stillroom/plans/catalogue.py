@@ -307,6 +307,12 @@ def image_backfill(spark, d):
     return backfilled(rows.where("id % 2 = 0"), rows.where("id % 2 = 1").select("id", "title", "image_url"), "title", "image_url", "id")
 
 
+def image_backfill_all(spark, d):
+    """The whole table as the current landing, its rows with an image as the previous one."""
+    rows = table(spark, d, "products", "id", "title", "image_url")
+    return backfilled(rows, rows, "title", "image_url", "id")
+
+
 def exported_sources(spark, d):
     return export_json(table(spark, d, "sources"))
 
@@ -369,5 +375,5 @@ QUERIES = {f.__name__: f for f in (
     current_prices, price_comparison, groups_view, browse_filtered, browse_total, featured_savings, group_detail, singleton_detail, search_groups, search_filtered, search_total, suggestions_for_title, group_badges,
     category_counts, vendor_counts, landing_stats, cheapest_in_category, cheapest_hits, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
     wrong_shop_check, mapping_check, review_queue, review_counts, review_history, match_table, normalized_titles, simple_titles, title_contents, parsed_prices, resolved_urls, fingerprints, parsed_pages, landing_slugs,
-    image_backfill, exported_sources, snapshot_merge, deactivated, history_delta, snapshot_merge_all, deactivated_all, history_delta_all,
+    image_backfill, image_backfill_all, exported_sources, snapshot_merge, deactivated, history_delta, snapshot_merge_all, deactivated_all, history_delta_all,
 )} | {f"browse_{s}": browsed(s) for s in ("price_asc", "price_desc", "name_asc", "name_desc", "savings_desc")}

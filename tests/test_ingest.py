@@ -90,3 +90,10 @@ def test_every_delivery_is_merged(spark, tmp_path):
     assert {(r.snapshot_no, r.product_id, int(r.price), r.was_available) for r in history_delta_all(spark, d).collect()} == {(3, 1, 6, True), (3, 2, 5, False), (4, 2, 5, True), (5, 2, 5, False)}
     merges = {(r.snapshot_no, r.product_id): (r.outcome, r.last_seen_at.timestamp()) for r in snapshot_merge_all(spark, d).collect()}
     assert len(merges) == 9 and merges[5, 3] == ("inserted", 500) and merges[5, 2] == ("deactivated", 400)
+
+
+def test_every_listing_may_give_and_take_an_image(spark, tmp_path):
+    from stillroom.plans.catalogue import image_backfill_all
+
+    spark.createDataFrame([(1, "a", None), (2, "b", "y"), (3, "a", "x"), (4, "b", None), (5, "c", None), (6, None, None)], "id int, title string, image_url string").write.parquet(str(tmp_path / "products.parquet"))
+    assert {(r.id, r.image_url) for r in image_backfill_all(spark, str(tmp_path)).collect()} == {(1, "x"), (2, "y"), (3, "x"), (4, "y"), (5, None), (6, None)}
