@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from stillroom.functions.unicode import simple_plain
 
-TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,300}>|<!--|-->")
+# Beyond one line or 300 characters only what has the form of attributes is a tag, so that no text between a stray < and a quoting sign is lost.
+TAG = re.compile(r"""</?[a-zA-Z][^<>\n]{0,300}>|<[a-zA-Z][\w:-]*+(?:\s++[\w:@.-]++\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))++\s*+/?>|<!--|-->""")
 ESCAPED = re.compile(r"\\[ntr\"'/]")
 BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[\s>*/#%;|'!-]*(?=\w)")
 INSIDE = re.compile(r"(?<=\w)[-'](?=\w)")

@@ -68,3 +68,12 @@ def test_rows(spark):
         n = len(words_of(ITEM))
         assert got == {(1, 10): (n, False), (1, 13): (n, False), (5, 10): (n, True), (5, 13): (n, False)}
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ['<a href="https://x.example/?' + "utm=1&" * 100 + '">', '<img\n  class="p"\n  src=\'data:x\'\n/>', "<a\nhref=x?a=b>"])
+def test_long_and_broken_tags_are_no_words(tag):
+    assert words_of(ITEM.replace("hop", tag + "hop")) == words_of(ITEM)
+
+
+def test_text_after_a_stray_sign_stays():
+    assert words_of("if n <m\n" + ITEM + "\n> quoted")[-len(words_of(ITEM)) - 1 : -1] == words_of(ITEM)
