@@ -11,7 +11,7 @@ from stillroom.llm.leakage import leaks
 from stillroom.llm.mapping import map_values
 from stillroom.llm.mixing import mix
 from stillroom.llm.quality import judged, known_words, text_statistics, train
-from stillroom.llm.titles import FIRMS, KINDS, SALES, pairs_within, product_groups
+from stillroom.llm.titles import pairs_within, product_groups
 from stillroom.sources.tables import cut, table
 
 SHOPS = ("ecuga_id", "cugaklik_id", "promili_id", "diskontfumar_id", "rotodinamic_id")
@@ -22,7 +22,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     # The canonical aliases are a reference list, not data that grows with the listings.
     aliases = [r["alias"] for r in table(spark, d, "category_aliases", "alias").where("alias is not null").collect()]
     listings = table(spark, d, "products", "id", "title", "normalized_title", "volume_ml", "metadata")
-    return product_groups(listings, [*aliases, *SALES, *KINDS, *FIRMS]).select(F.col("id").alias("product_id"), "group_id")
+    return product_groups(listings, aliases).select(F.col("id").alias("product_id"), "group_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

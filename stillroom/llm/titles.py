@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,20 +15,14 @@ from stillroom.functions.units import contents
 from stillroom.llm.confusables import consistent
 from stillroom.sources.tables import cut
 
-# Words that say how an item is sold or packed, in the catalogue's languages; they don't tell products apart.
-SALES = (
-    "akcija", "novo", "hit", "bestseller", "best buy", "top ponuda", "limitirano", "izdvojeno", "samo online", "dostava 24h", "vraceno na zalihu", "original",
-    "poklon pakiranje", "gift box", "u kutiji", "u tubi", "bez kutije", "casa gratis", "casa",
-)
-# Kinds of goods as titles write them beyond the canonical aliases, and forms of a firm's name that shops leave out at will.
-KINDS = ("rose", "juice", "sok", "voda", "water", "craft", "pivo", "beer", "vino", "wine", "aperitiv", "cocktail", "sampanjac")
-FIRMS = ("1887", "destilerija", "daughters", "brewing", "estate", "kuca", "podrumi")
 ABV = re.compile(r"[(\[]?(?:\balk(?:\.|ohol)?\s*)?[-+]?\d+(?:[.,]\d+)?\s*%(?:\s*vol\b\.?)?[)\]]?|(?<![\d.,])0[.,]0(?![\d.,]*\d)|\balk\.?(?=\s|$)|\bvol\b\.?", re.I)
 AGE = re.compile(r"\baged\s+(\d{1,3})\s*years?\b|\b(\d{1,3})\s*(?:y\.?\s?o\b\.?|years?\s+old\b|years?\b|jahre\b|godina\b|god\b\.?)", re.I)
 VINTAGE = re.compile(r"(?:\bberba\s+)?[(\[]?(?<![\d.,])\b((?:19|20)\d\d)\b(?![.,]?\d)[)\]]?\.?", re.I)
 TOKEN = re.compile(r"[^\W_]+")
-# A combination leaves out at most so many tokens; what it leaves out tells nothing apart if it occurs in FILLER_SETS token sets, of which this share is also listed without it.
-LEFT_OUT, FILLER_SETS, FILLER_SHARE = 3, 20, 0.3
+# A combination leaves out at most three tokens; what it leaves out tells nothing apart if it occurs in FILLER_SETS token sets, of which this share is also listed without it.
+FILLER_SETS, FILLER_SHARE = 20, 0.3
+#: Words up to this length meet by dropping one letter, longer ones by their halves.
+SHORT = 12
 
 
 def phrase_trie(phrases: list[str]) -> dict:
@@ -110,19 +103,38 @@ def slip(a: str, b: str) -> bool:
     return x[1:] == y if len(x) > len(y) else x == y[1:]
 
 
+def meeting_points(word: Column) -> Column:
+    """Hashes of which two words that are one slip apart always share one.
+
+    Short words, where the shorter has up to SHORT letters: the word itself and what is left of it without one letter. Longer ones: the start or the end, each
+    one letter less than half as long as the shorter word; a slip in one half leaves the other as it is. A word takes part with itself as the shorter one
+    and as one letter longer, so four starts and ends do for any length.
+    """
+    n = F.length(word)
+    dropped = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
+    short = F.when(n <= SHORT + 1, F.transform(F.array_append(dropped, word), lambda x: F.xxhash64(x)))
+
+    def halves(least: Column) -> Column:
+        h = F.floor(least / 2).cast("int") - 1
+        return F.when(least > SHORT, F.array(F.xxhash64(least, F.lit("start"), F.substring(word, F.lit(1), h)), F.xxhash64(least, F.lit("end"), F.substring(word, n - h + 1, h))))
+
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(*[F.coalesce(x, none) for x in (short, halves(n), halves(n - 1))]))
+
+
 def spellings(tokens: DataFrame) -> DataFrame:
-    """(token, repair): words one slip away from a commoner one. A repair is at least five times as common, or the word hardly occurs at all.
+    """(token, repair, repair_df): words one slip away from a commoner one. A repair is at least five times as common, or the word hardly occurs at all.
 
-    Words meet where they agree after dropping one letter, so only near words are ever compared, and of each meeting only rare ones with commoner ones.
+    Words of one or two letters are no misspellings: nearly every other such word is one slip away. Only words that share a meeting point are compared, and
+    of these only rare ones with commoner ones.
     """
-    words = tokens.where(F.length("token").between(3, 40))
-    cuts = words.select("token", "df", F.explode(F.array_distinct(F.concat(F.array("token"), F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.lit(40))))))).alias("cut"))
-    rare, common = cuts.select("cut", "token", "df"), cuts.select("cut", F.col("token").alias("repair"), F.col("df").alias("repair_df"))
+    met = tokens.where(F.length("token") >= 3).select("token", "df", F.explode(meeting_points(F.col("token"))).alias("cut"))
+    rare, common = met, met.select("cut", F.col("token").alias("repair"), F.col("df").alias("repair_df"))
     near = rare.join(common, "cut").where("token <> repair and (repair_df >= 5 * df or (df <= 2 and (repair_df > df or (repair_df = df and repair < token)))) ")
     return near.select("token", "repair", "repair_df").distinct().where(one_slip("token", "repair"))
 
 
-def labelled(tokens, age: str = "age", vintage: str = "vintage"):
+def labelled(tokens: Column | str, age: str = "age", vintage: str = "vintage"):
     """A combination of tokens with age and vintage as one string."""
     return F.concat_ws("|", F.array_join(F.array_sort(tokens), " "), F.coalesce(F.col(age).cast("string"), F.lit("-")), F.coalesce(F.col(vintage).cast("string"), F.lit("-")))
 
@@ -133,27 +145,67 @@ def respelled():
     return labelled(F.array_distinct(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(repair, t), t))))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def left_out(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """What the k-combinations of a sorted token set leave out, for each k from size - LEFT_OUT (at least 1) to size - 1."""
-    for sets in batches:
-        yield pd.Series([[" ".join(x) for r in range(1, min(LEFT_OUT, len(s) - 1) + 1) for x in combinations(s, r)] for s in sets], dtype=object)
+def code_of(codes: Column) -> Column:
+    """The 64-bit code of a set of codes: what is left of a set when some are taken out has the code of the set with theirs taken out."""
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
+
+def later_two(sets: DataFrame) -> DataFrame:
+    """Every two of the sorted ``items`` as (x, y) beside the other columns; one item at a time, so that a set of any size fits."""
+    first = sets.select("*", F.posexplode("items").alias("at", "x"))
+    return first.select("*", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("y")).drop("items", "at")
+
+
+def left_out(sets: DataFrame) -> DataFrame:
+    """(code, left) for each k-combination of a set of tokens (code, codes), k from size - 3 (at least 1) to size - 1, by the codes that it leaves out.
+
+    Only what FILLER_SETS sets hold can be a filler, and then each part of it is held by as many: tokens that are rarer take no part, two only if each is common,
+    three only if each two are common together. That loses no filler and keeps the combinations of long titles few.
+    """
+    singles = sets.select("code", F.explode("codes").alias("x"))
+    frequent = singles.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= FILLER_SETS).select("x")
+    common = cut(singles.join(frequent, "x").groupBy("code").agg(F.array_sort(F.collect_list("x")).alias("items")))
+    twos = later_two(common)
+    together = cut(twos.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= FILLER_SETS).select("x", "y"))
+    pairs = cut(twos.join(together, ["x", "y"]).select("code", "x", "y"))
+    after = pairs.groupBy("code", F.col("x").alias("w")).agg(F.array_sort(F.collect_list("y")).alias("items"))
+    threes = later_two(after).join(together, ["x", "y"], "left_semi")
+    left = common.select("code", F.explode("items").alias("x")).select("code", F.array("x").alias("left")), pairs.select("code", F.array("x", "y").alias("left")), threes.select("code", F.array("w", "x", "y").alias("left"))
+    return left[0].unionByName(left[1]).unionByName(left[2])
+
+
+def fillers_of(sets: DataFrame) -> DataFrame:
+    """(code, dropped) of the sets of tokens (code, codes) that hold fillers, with the fillers' codes.
+
+    What a k-combination leaves out is a filler if the combination is a listed title of its own often enough: shops put sales words, kinds and tails of firms
+    beside a title at will, while a variant seldom has all else equal beside it. A set that would be left empty keeps its tokens.
+    """
+    sizes = sets.select("code", F.size("codes").alias("size"))
+    parts = cut(left_out(sets).join(sizes, "code").where(F.col("size") > F.size("left")))
+    votes = parts.select("left", F.col("code").bitwiseXOR(code_of(F.col("left"))).alias("code")).join(sets.select("code", F.lit(1).alias("listed")), "code", "left")
+    tally = votes.groupBy("left").agg(F.count("*").alias("sets"), F.count("listed").alias("listed"))
+    fillers = tally.where((F.col("sets") >= FILLER_SETS) & (F.col("listed") >= FILLER_SHARE * F.col("sets"))).select("left")
+    dropped = parts.join(fillers, "left").groupBy("code").agg(F.array_distinct(F.flatten(F.collect_list("left"))).alias("dropped"), F.first("size").alias("size"))
+    return cut(dropped.where(F.size("dropped") < F.col("size")).drop("size"))
 
 
 def without_fillers(named: DataFrame) -> DataFrame:
-    """(identity, dropped): token sets that hold fillers, and the fillers' tokens.
+    """(identity, tokens): the distinct token sets of listings (identity, age, vintage, tokens) and what is left of them without fillers.
 
-    Every distinct token set gives its k-combinations. What a combination leaves out is a filler if the combination is a listed title of its own often
-    enough: shops put sales words, kinds and tails of firms beside a title at will, while a variant seldom has all else equal beside it. A set that would be left
-    empty keeps its tokens.
+    Votes are taken again on what is left, since a title with three additions shows only then that one without them is listed; until no filler is found. Every
+    round shortens a title, so rounds end.
     """
-    sets = named.groupBy("identity", "age", "vintage").agg(F.first(F.array_sort("tokens")).alias("tokens"))
-    parts = sets.withColumn("left", F.explode(left_out("tokens")))
-    rest = parts.select("left", labelled(F.array_except("tokens", F.split("left", " "))).alias("rest"))
-    votes = rest.join(sets.select(F.col("identity").alias("rest"), F.lit(1).alias("listed")), "rest", "left").groupBy("left").agg(F.count("*").alias("sets"), F.count("listed").alias("listed"))
-    fillers = votes.where((F.col("sets") >= FILLER_SETS) & (F.col("listed") >= FILLER_SHARE * F.col("sets"))).select("left")
-    dropped = parts.join(fillers, "left").groupBy("identity").agg(F.array_distinct(F.flatten(F.collect_list(F.split("left", " ")))).alias("dropped"), F.first(F.size("tokens")).alias("size"))
-    return dropped.where(F.size("dropped") < F.col("size")).drop("size")
+    first = named.groupBy("identity", "age", "vintage").agg(F.first(F.array_sort("tokens")).alias("tokens"))
+    codes = F.transform("tokens", lambda t: F.xxhash64(t))
+    # Equal codes of different sets, at 64 bits, could shift a vote but never join two titles.
+    cores = cut(first.select("identity", "tokens", F.xxhash64("age", "vintage").alias("marks"), codes.alias("codes")))
+    while True:
+        coded = cores.withColumn("code", F.col("marks").bitwiseXOR(code_of(F.col("codes"))))
+        dropped = fillers_of(coded.groupBy("code").agg(F.first("codes").alias("codes")))
+        if dropped.isEmpty():
+            return cores.select("identity", F.filter("tokens", lambda t: F.array_contains("codes", F.xxhash64(t))).alias("tokens"))
+        left = F.when(F.col("dropped").isNotNull(), F.array_except("codes", "dropped")).otherwise(F.col("codes"))
+        cores = cut(coded.join(dropped, "code", "left").select("identity", "tokens", "marks", left.alias("codes")))
 
 
 def last_taken(best: DataFrame) -> DataFrame:
@@ -172,12 +224,13 @@ def last_taken(best: DataFrame) -> DataFrame:
 def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     """(id, group_id, n_tokens, age, vintage, ml) for every listing; listings with one group_id are the same product.
 
-    Voting: a title's tokens, less measures and sales words, are its widest combination; its k-combinations leave out up to three of them. One is verified if
-    all it leaves out are fillers (``without_fillers``), and the title goes on with its smallest verified one. A combination is scored
-    by k * k * ln(1 + frequency) / (1 + mean position of its tokens). Each title takes its best combination: its own, or one that holds
-    repairs in place of tokens one slip away from them (one token, or all doubtful ones) while all others, age and vintage agree. Titles that take the same combination form a cluster, and clusters
-    chained by repairs are merged. Within a cluster the total content must be equal; a listing that states none takes volume_ml, and if that is missing
-    too, the one content that its cluster has, if it has just one.
+    Voting: a title's tokens, less measures and the canonical list's own names (``phrases``), are its widest combination; its k-combinations leave out up to
+    three of them, and again up to three of what is left. One is verified if all it leaves out are fillers (``without_fillers``), and the title goes on with its
+    smallest verified one. There it takes the best candidate: the combination as it stands, or one that holds repairs in place of tokens one slip away from
+    them (one token, or all doubtful ones) while all others, age and vintage agree. Candidates are ranked by k * k * ln(1 + frequency) / (1 + mean position of
+    the repaired token); all of a title's have the same k, so frequency and position decide. Titles that take the same combination form a cluster, and
+    clusters chained by repairs are merged. Within a cluster the total content must be equal; a listing that states none takes volume_ml, and if that is
+    missing too, the one content that its cluster has, if it has just one.
 
     Titles without identifying tokens, null ones too, stay alone. A title that is null is replaced by normalized_title. Frequencies cover all listings;
     everything after the scan works on distinct token sets, so copies cost one row.
@@ -186,24 +239,32 @@ def product_groups(listings: DataFrame, phrases: list[str]) -> DataFrame:
     rows = listings.select("id", "volume_ml", seen.alias("s")).select("id", "s.*", F.when(F.col("volume_ml") > 0, F.col("volume_ml").cast("bigint")).alias("volume_ml"))
     rows = cut(rows.select("id", "age", "vintage", F.coalesce("ml", "volume_ml").alias("ml"), "tokens", labelled("tokens").alias("identity")))
     listed = rows.where(F.size("tokens") > 0)
-    kept = listed.join(without_fillers(listed), "identity", "left").withColumn("tokens", F.when(F.col("dropped").isNotNull(), F.array_except("tokens", "dropped")).otherwise(F.col("tokens")))
-    named = cut(kept.select("id", "age", "vintage", "ml", "tokens", labelled("tokens").alias("identity")))
-    # Votes are counted once for each distinct combination; the position of a token is its mean place in the titles.
-    lexicon = named.groupBy("identity", "age", "vintage").agg(F.count("*").alias("n"), F.first(F.array_sort("tokens")).alias("tokens"))
+    cores = without_fillers(listed).select("identity", F.col("tokens").alias("core"))
+    named = cut(listed.join(cores, "identity").select("id", "age", "vintage", "ml", F.array_intersect("tokens", "core").alias("tokens"), labelled("core").alias("identity")))
+    # Votes are counted once for each distinct combination, and combinations are told apart by their codes, so that a long title costs a number for each
+    # repair; the position of a token is its mean place in the titles.
+    lexicon = cut(named.groupBy("identity", "age", "vintage").agg(F.count("*").alias("n"), F.first(F.array_sort("tokens")).alias("tokens")).withColumn("code", F.xxhash64("age", "vintage").bitwiseXOR(code_of(F.transform("tokens", lambda t: F.xxhash64(t))))))
     tokens = lexicon.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("df"))
-    repairs = spellings(tokens)
+    repairs = cut(spellings(tokens))
     places = named.select(F.posexplode("tokens").alias("place", "token")).groupBy("token").agg(F.avg("place").alias("place"))
-    doubtful = lexicon.select("identity", "age", "vintage", "n", "tokens", F.explode("tokens").alias("token")).join(repairs, "token")
+    held = lexicon.select("code", "n", F.size("tokens").alias("k"), F.explode("tokens").alias("token"))
+    doubtful = held.join(repairs, "token")
+    # A repair that the title holds already only takes the word's place away.
+    doubtful = cut(doubtful.join(held.select("code", F.col("token").alias("repair"), F.lit(True).alias("double")), ["code", "repair"], "left").withColumn("added", F.when(F.col("double").isNull(), F.xxhash64("repair"))))
     swap = F.struct("token", "repair")
-    common = doubtful.groupBy("identity", "token").agg(F.max_by("repair", F.struct("repair_df", "repair")).alias("repair")).groupBy("identity").agg(F.collect_list(swap).alias("swaps")).where(F.size("swaps") > 1)
-    single = doubtful.select("identity", "age", "vintage", "n", "tokens", F.array(swap).alias("swaps"))
-    repaired = single.unionByName(lexicon.join(common, "identity")).select("identity", "n", F.size("tokens").alias("k"), F.explode(F.transform("swaps", lambda x: x["repair"])).alias("repair"), respelled().alias("takes"))
+    chosen = doubtful.groupBy("code", "n", "k", "token").agg(F.max_by(F.struct("repair", "added"), F.struct("repair_df", "repair")).alias("r")).groupBy("code", "n", "k").agg(
+        F.collect_list(F.struct("token", F.col("r.repair").alias("repair"))).alias("swaps"), F.collect_set("r.added").alias("added"), F.bit_xor(F.xxhash64("token")).alias("gone"),
+    ).where(F.size("swaps") > 1)
+    common = chosen.select("code", "n", "k", "swaps", F.col("code").bitwiseXOR(F.col("gone")).bitwiseXOR(code_of(F.col("added"))).alias("takes"))
+    single = doubtful.select("code", "n", "k", F.array(swap).alias("swaps"), F.col("code").bitwiseXOR(F.xxhash64("token")).bitwiseXOR(F.coalesce("added", F.lit(0))).alias("takes"))
+    repaired = cut(single.unionByName(common))
     # A combination's frequency counts the titles that spell it so and those that would after a repair.
-    support = repaired.select("identity", "takes", "n").distinct().groupBy("takes").agg(F.sum("n").alias("repaired_n")).join(lexicon.select(F.col("identity").alias("takes"), F.col("n").alias("own_n")), "takes", "left")
-    votes = repaired.join(support, "takes").join(places.select(F.col("token").alias("repair"), "place"), "repair", "left")
+    support = repaired.groupBy("takes").agg(F.sum("n").alias("repaired_n")).join(lexicon.select(F.col("code").alias("takes"), F.col("n").alias("own_n")), "takes", "left")
+    votes = repaired.join(support, "takes").withColumn("repair", F.explode("swaps.repair")).join(places.select(F.col("token").alias("repair"), "place"), "repair", "left")
     frequency = (F.col("repaired_n") + F.coalesce("own_n", F.lit(0))).cast("double")
     score = F.col("k") * F.col("k") * F.log1p(frequency) / (1 + F.coalesce("place", F.lit(0.0)))
-    best = votes.where(F.coalesce("own_n", F.lit(0)) + F.col("repaired_n") > F.col("n")).groupBy("identity").agg(F.max_by("takes", F.struct(score, F.col("takes"))).alias("takes"))
+    best = votes.where(F.coalesce("own_n", F.lit(0)) + F.col("repaired_n") > F.col("n")).groupBy("code").agg(F.max_by("swaps", F.struct(score, F.col("takes"))).alias("swaps"))
+    best = lexicon.join(best, "code").select("identity", respelled().alias("takes")).where("identity <> takes")
     label = last_taken(best).select("identity", F.col("takes").alias("cluster"))
     clustered = cut(named.join(label, "identity", "left").select("id", "age", "vintage", "ml", F.size("tokens").alias("n_tokens"), F.coalesce("cluster", "identity").alias("cluster")))
     only = clustered.where("ml is not null").groupBy("cluster").agg(F.min("ml").alias("lo"), F.max("ml").alias("hi")).where("lo = hi").select("cluster", F.col("lo").alias("only_ml"))

@@ -1,8 +1,8 @@
 import pytest
 
-from stillroom.llm.titles import FIRMS, KINDS, SALES, identity, pairs_within, phrase_trie, product_groups, slip
+from stillroom.llm.titles import identity, pairs_within, phrase_trie, product_groups, slip
 
-PHRASES = ["rum", "gin", "bijelo vino", "craft pivo", *SALES, *KINDS, *FIRMS]
+PHRASES = ["rum", "gin", "bijelo vino", "craft pivo", "akcija", "izdvojeno", "gift box", "daughters", "1887"]
 SCHEMA = "id int, title string, normalized_title string, volume_ml int, metadata string, group_id string"
 
 
@@ -55,3 +55,36 @@ def test_unlisted_filler_is_left_out_and_a_variant_is_not(spark):
     for r in product_groups(spark.createDataFrame(rows, SCHEMA), PHRASES).collect():
         groups.setdefault(r.group_id, set()).add(r.id)
     assert sorted(map(sorted, groups.values())) == sorted([[10 * i, 10 * i + 1, 10 * i + 2] for i in range(24)] + [[10 * i] for i in range(24, 30)] + [[1000], [1001]])
+
+
+def test_words_one_slip_apart_meet_at_any_length(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stillroom.llm.titles import meeting_points, spellings
+
+    rnd, pairs = random.Random(5), []
+    for n in [*range(3, 20), 41, 90]:
+        for _ in range(12):
+            a = "".join(rnd.choice("abcdefgh") for _ in range(n))
+            i = rnd.randrange(n)
+            pairs += [(a, a[:i] + a[i + 1 :]), (a, a[:i] + "x" + a[i:]), (a, a[:i] + "y" + a[i + 1 :]), (a, a[:i] + a[i : i + 2][::-1] + a[i + 2 :])]
+    df = spark.createDataFrame(pairs, "a string, b string").select(F.arrays_overlap(meeting_points(F.col("a")), meeting_points(F.col("b"))).alias("meet"))
+    assert all(r.meet for r in df.collect())
+    long = "w" * 60 + "kinake" + "v" * 60
+    words = spark.createDataFrame([(long, 50), (long[:70] + "q" + long[70:], 1), ("ab", 9), ("abc", 1)], "token string, df bigint")
+    assert [(r.token, r.repair) for r in spellings(words).collect()] == [(long[:70] + "q" + long[70:], long)]
+
+
+def test_fillers_that_stand_together_are_found_round_by_round(spark):
+    rows = []
+    for i in range(40):
+        name = f"{'bcdfghj'[i % 7]}otarel {'klmnpr'[i // 7]}ivandor"
+        rows += [(10 * i + k, t, None, 700, None, "") for k, t in enumerate([name, f"{name} u kutiji", f"{name} estate", f"{name} estate vraceno na zalihu u kutiji"])]
+    rows.append((9000, " ".join(f"word{i}" for i in range(3000)) + " estate", None, 700, None, ""))
+    got = product_groups(spark.createDataFrame(rows, SCHEMA), PHRASES).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.group_id, set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == [[10 * i + k for k in range(4)] for i in range(40)] + [[9000]]
