@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from stillroom.functions.unicode import unaccented
 from stillroom.functions.units import contents
+from stillroom.llm.alike import Alike, alike
 from stillroom.llm.confusables import consistent
 from stillroom.sources.tables import cut
 
@@ -36,9 +37,9 @@ def phrase_trie(phrases: list[str]) -> dict:
     return top
 
 
-def identity(text: str, phrases: dict, units: dict) -> tuple[list[str], int | None, int | None, int | None]:
+def identity(text: str, phrases: dict, units: dict, tables: Alike | None = None) -> tuple[list[str], int | None, int | None, int | None]:
     """(distinct tokens in order, age, vintage, total content in ml) of a title, its characters made consistent and every phrase of the trie left out."""
-    plain = consistent(text)[0]
+    plain = consistent(text, tables)[0]
     found = contents(plain, units)
     ml = found[0][2] * found[0][3] if found else None
     for c in reversed(found):
@@ -66,7 +67,7 @@ def identity(text: str, phrases: dict, units: dict) -> tuple[list[str], int | No
 
 
 def analyser(phrases: list[str]) -> Callable:
-    trie = phrase_trie(phrases)
+    trie, tables = phrase_trie(phrases), alike()
 
     @F.pandas_udf("struct<tokens: array<string>, age: int, vintage: int, ml: bigint>")
     def analyse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -74,9 +75,9 @@ def analyser(phrases: list[str]) -> Callable:
         for titles, metadata in batches:
             rows = []
             for t, m in zip(titles, metadata, strict=True):
-                tokens, age, vintage, ml = identity(t or "", trie, units)
+                tokens, age, vintage, ml = identity(t or "", trie, units, tables)
                 if ml is None and m:
-                    ml = next((c[2] * c[3] for c in contents(consistent(m)[0], units)), None)
+                    ml = next((c[2] * c[3] for c in contents(consistent(m, tables)[0], units)), None)
                 rows.append((tokens, age, vintage, ml))
             frame = pd.DataFrame(rows, columns=["tokens", "age", "vintage", "ml"])
             yield frame.astype({"age": "Int32", "vintage": "Int32", "ml": "Int64"})

@@ -1,6 +1,7 @@
 import pytest
 
-from stillroom.llm.confusables import consistent, disguised, normalized, resolve
+from stillroom.llm.alike import alike
+from stillroom.llm.confusables import common_scripts, consistent, disguised, normalized, resolve
 
 
 @pytest.mark.parametrize("text, form, found", [
@@ -12,6 +13,24 @@ def test_consistent(text, form, found):
     assert consistent(text) == (form, found)
 
 
+@pytest.mark.parametrize("text, form", [
+    ("Gın", "Gin"), ("ɡin", "gin"), ("Ѵodka", "Vodka"), ("Ү rum", "Y rum"), ("Ӏrish", "Irish"), ("Ꭱum", "Rum"), ("ꓣum", "Rum"), ("ⲟak", "oak"), ("Ϲognac", "Cognac"), ("ϲognac", "cognac"), ("Ginո", "Ginn"),
+])
+def test_letters_of_other_scripts_and_rare_latin_ones(text, form):
+    assert consistent(text) == (form, True)
+
+
+@pytest.mark.parametrize("text", ["гора", "για", "日本語の酒", "한국 술", "क्\u200dष", "\U0001f469\u200d\U0001f469\u200d\U0001f467", "می\u200cخواهم", "Łódź", "smørrebrød", "हिन्दी"])
+def test_true_words_and_meaningful_joiners_are_kept(text):
+    assert consistent(text) == (text, False)
+
+
+def test_scripts_are_sets():
+    of = alike().scripts_of
+    assert of("a") == {"LATIN"} and of("1") is None and "JPAN" in of("酒") and len(of("ー")) > 1
+    assert common_scripts("酒の", alike()) and not common_scripts("aж", alike())
+
+
 def test_mixed_word_takes_the_script_that_can_spell_it():
     assert resolve("Щедpик") == "Щедрик"  # a Latin p inside a Cyrillic word
     assert resolve("Рapa") == "Papa"
