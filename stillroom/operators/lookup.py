@@ -26,12 +26,12 @@ def looked_up(wanted: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def queued(suggested: DataFrame, queue: DataFrame, matched: DataFrame) -> DataFrame:
-    """(fingerprint, members, best) of suggested groups (label, product_id, member, best) that are new: none of their listings is matched (product_id) and their
-    fingerprint isn't in the queue (fingerprint). member is source:url."""
-    hit = suggested.join(matched.select("product_id"), "product_id", "left_semi").select("label").distinct()
-    rows = suggested.join(hit, "label", "left_anti").groupBy("label").agg(fingerprint(F.collect_list("member")).alias("fingerprint"), F.count("*").cast("int").alias("members"), F.max("best").alias("best"))
-    once = rows.groupBy("fingerprint").agg(F.max("members").alias("members"), F.max("best").alias("best"))
-    return once.join(queue.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", "members", F.bround("best", 3).alias("best"))
+    """(fingerprint, members, jaccard, trigram, suggestion_source) of suggested groups (kind, label, product_id, member, jaccard, trigram) that are new: none of their
+    listings is matched (product_id) and their fingerprint isn't in the queue (fingerprint). member is source:url. Groups with one fingerprint are queued once."""
+    hit = suggested.join(matched.select("product_id"), "product_id", "left_semi").select("kind", "label").distinct()
+    rows = suggested.join(hit, ["kind", "label"], "left_anti").groupBy("kind", "label").agg(fingerprint(F.collect_list("member")).alias("fingerprint"), F.count("*").cast("int").alias("members"), F.max("jaccard").alias("jaccard"), F.max("trigram").alias("trigram"))
+    once = rows.groupBy("fingerprint").agg(F.max("members").alias("members"), F.max("jaccard").alias("jaccard"), F.max("trigram").alias("trigram"), F.min("kind").alias("suggestion_source"))
+    return once.join(queue.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", "members", F.bround("jaccard", 3).alias("jaccard"), F.bround("trigram", 3).alias("trigram"), "suggestion_source")
 
 
 def text_words(text: Column) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,13 +17,14 @@ MATCH, NEAR, OVERLAP_FLOOR = 0.70, 0.37, 0.50
 
 @dataclass(frozen=True)
 class Rules:
-    """What a matcher heeds: words left out of keys, words that must agree, whether different numbers forbid a match by letters, and whether listings without a
-    content join every bucket of their category."""
+    """What a matcher heeds: words left out of keys, words that must agree, whether different numbers forbid a match by letters, whether listings without a
+    content join every bucket of their category, and whether keys come from the stored normal form."""
 
     noise: tuple[str, ...] = NOISE
     variants: tuple[str, ...] = VARIANTS
     digit_guard: bool = True
     spread_unknown: bool = True
+    stored: bool = False
 
 
 COMPARED = Rules(COMPARED_NOISE, COMPARED_VARIANTS, False, False)
@@ -33,9 +33,11 @@ COMPARED = Rules(COMPARED_NOISE, COMPARED_VARIANTS, False, False)
 def bucketed(products: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """(category_id, bucket, product_id, source_id, key, tokens) of available listings with a category; bucket is the content, -1 for none.
 
-    A listing without a content is also in every bucket of its category, so that it can match there.
+    A listing without a content is also in every bucket of its category, so that it can match there. Keys come from the normal form of the title, worked out here,
+    or with ``rules.stored`` from the column normalized_title as it stands; a null one is an empty key.
     """
-    rows = products.where("is_available and category_id is not null").select("category_id", F.col("id").alias("product_id"), "source_id", "volume_ml", match_tokens(normalized_title(F.col("title")), rules.noise).alias("tokens"))
+    normal = F.col("normalized_title") if rules.stored else normalized_title(F.col("title"))
+    rows = products.where("is_available and category_id is not null").select("category_id", F.col("id").alias("product_id"), "source_id", "volume_ml", match_tokens(normal, rules.noise).alias("tokens"))
     rows = rows.withColumn("key", F.array_join("tokens", " "))
     own = rows.withColumn("bucket", F.coalesce("volume_ml", F.lit(-1))).select("category_id", "bucket", "product_id", "source_id", "key", "tokens")
     if not rules.spread_unknown:
@@ -121,23 +123,40 @@ def clusters(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     """(category_id, bucket, cluster, product_id, source_id): components of key classes, one listing for each shop, two shops at least.
 
     Of a shop's listings in a component, the one most like the other shops' listings stays: the mean word Jaccard to all of them, ties to the
-    smaller id. Equal keys are one class, so that copies are weighed, not paired.
+    smaller id. Equal keys are one class, so that copies are weighed, not paired. Classes and links may carry further columns that keep apart what ``node`` names.
     """
     labels = smallest_label(classes.select("node"), links.select("a", "b"))
     full = classes.select("category_id", "bucket", "key", "node", "words").join(labels, "node").withColumnRenamed("label", "cluster")
     counted = members.groupBy("category_id", "bucket", "key", "source_id").agg(F.count("*").alias("n"), F.min("product_id").alias("product_id"))
-    placed = cut(counted.join(full, ["category_id", "bucket", "key"]).select("category_id", "bucket", "cluster", "node", "words", "source_id", "n", "product_id"))
-    wide = placed.groupBy("cluster").agg(F.count_distinct("source_id").alias("shops")).where("shops > 1").select("cluster")
-    placed = placed.join(wide, "cluster", "left_semi")
-    others = placed.select("cluster", F.col("source_id").alias("source_o"), F.col("words").alias("words_o"), F.col("n").alias("n_o"))
-    like = placed.join(others, "cluster").where("source_id <> source_o").groupBy("category_id", "bucket", "cluster", "source_id", "product_id").agg((F.sum(jaccard(F.col("words"), F.col("words_o")) * F.col("n_o")) / F.sum("n_o")).alias("likeness"))
-    order = Window.partitionBy("cluster", "source_id").orderBy(F.round("likeness", 12).desc(), "product_id")
-    return like.withColumn("k", F.row_number().over(order)).where("k = 1").select("category_id", "bucket", "cluster", "product_id", "source_id")
+    return one_of_each_shop(cut(counted.join(full, ["category_id", "bucket", "key"]).select("category_id", "bucket", "cluster", "node", "words", "source_id", "n", "product_id")))
 
 
-def chained(members: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(label, product_id, source_id, key) and (label, best): the listings of the class pairs (category_id, bucket, key_a, key_b, best), chained within a category over
-    all buckets, and each chain's best score; label is the smallest listing.
+def one_of_each_shop(placed: DataFrame) -> DataFrame:
+    """(category_id, bucket, cluster, product_id, source_id) of rows (with node, words and n, the copies of a key in a shop): of each shop of a cluster across shops the listing
+    with the highest mean word Jaccard to the other shops' listings.
+
+    Only shops with several keys in a cluster are weighed. Rows meet by (cluster, word), so no task holds a whole cluster; what has no word in common adds
+    nothing. An empty key has one word of its own, so that empty keys are alike.
+    """
+    per_shop = placed.groupBy("cluster", "source_id").agg(F.count("*").alias("keys"), F.sum("n").alias("of_shop"))
+    per_cluster = per_shop.groupBy("cluster").agg(F.count("*").alias("shops"), F.sum("of_shop").alias("of_all")).where("shops > 1")
+    shops = per_shop.join(per_cluster, "cluster").select("cluster", "source_id", "keys", (F.col("of_all") - F.col("of_shop")).alias("others"))
+    rows = cut(placed.join(shops, ["cluster", "source_id"]).withColumn("words", F.when(F.size("words") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("words"))))
+    alone = rows.where("keys = 1")
+    words = lambda r: r.select("cluster", "source_id", "product_id", "others", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
+    mine = words(rows.where("keys > 1"))
+    theirs = words(rows).select("cluster", "word", F.col("source_id").alias("source_o"), F.col("product_id").alias("o"), F.col("n").alias("n_o"), F.col("size").alias("size_o"))
+    shared = mine.join(theirs, ["cluster", "word"]).where("source_id <> source_o").groupBy("cluster", "source_id", "product_id", "others", "size", "o", "n_o", "size_o").agg(F.count("*").alias("shared"))
+    sums = shared.groupBy("cluster", "source_id", "product_id").agg(F.sum(F.col("shared") / (F.col("size") + F.col("size_o") - F.col("shared")) * F.col("n_o") / F.col("others")).alias("likeness"))
+    ranked = rows.where("keys > 1").join(sums, ["cluster", "source_id", "product_id"], "left")
+    best = ranked.groupBy("category_id", "bucket", "cluster", "source_id").agg(F.max_by("product_id", F.struct(F.round(F.coalesce("likeness", F.lit(0.0)), 12), -F.col("product_id"))).alias("product_id"))
+    columns = ("category_id", "bucket", "cluster", "product_id", "source_id")
+    return alone.select(*columns).unionByName(best.select(*columns))
+
+
+def chained(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(label, product_id, source_id, key): the listings of the class pairs (category_id, bucket, key_a, key_b), chained within a category over all buckets; label is the
+    smallest listing.
 
     Two listings are a pair if their classes are and their shops differ. A shop's copies in a class have the same pairs, so the smallest stands for them in
     pairs and is linked to each of them, provided that there is a pair at all.
@@ -149,52 +168,54 @@ def chained(members: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = cut(members.join(used, ["category_id", "bucket", "key", "source_id"]).select("product_id", "source_id", "key", "first_id"))
     links = pairs.select("a", "b").unionByName(nodes.select(F.col("first_id").alias("a"), F.col("product_id").alias("b"))).distinct()
     labels = smallest_label(nodes.select(F.col("product_id").alias("node")), links)
-    best = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.max("best").alias("best"))
-    return nodes.drop("first_id").distinct().join(labels.withColumnRenamed("node", "product_id"), "product_id").select("label", "product_id", "source_id", "key"), best
-
-
-def most_typical(rows: pd.DataFrame) -> pd.DataFrame:
-    """(label, source_id, product_id) of one chain (label, source_id, key, n, product_id): of each shop the listing with the highest mean word Jaccard to the other
-    shops' listings, ties to the smaller id. Over postings of words, so memory is linear in the chain; time is quadratic in its distinct keys."""
-    keys, of = np.unique(rows["key"].to_numpy(dtype=str), return_inverse=True)
-    shops, at = np.unique(rows["source_id"].to_numpy(), return_inverse=True)
-    counts = np.zeros((len(keys), len(shops)))
-    np.add.at(counts, (of, at), rows["n"].to_numpy())
-    words = [set(k.split()) for k in keys]
-    sizes = np.array([len(w) for w in words])
-    postings: dict[str, list[int]] = {}
-    for i, ws in enumerate(words):
-        for w in ws:
-            postings.setdefault(w, []).append(i)
-    found = {w: np.array(x) for w, x in postings.items()}
-    total, several = counts.sum(axis=0), np.bincount(at)[at] > 1
-    likeness = np.zeros(len(rows))
-    sums = np.zeros((len(keys), len(shops)))
-    for i in np.unique(of[several]):
-        shared = np.bincount(np.concatenate([found[w] for w in words[i]]), minlength=len(keys)) if words[i] else np.zeros(len(keys))
-        union = sizes[i] + sizes - shared
-        sums[i] = np.where(union == 0, 1.0, shared / np.maximum(union, 1)) @ counts
-    others = np.maximum(total.sum() - total[at], 1)
-    likeness[several] = ((sums[of].sum(axis=1) - sums[of, at]) / others)[several]
-    ranked = rows.assign(likeness=likeness.round(12)).sort_values(["source_id", "likeness", "product_id"], ascending=[True, False, True])
-    return ranked.drop_duplicates("source_id")[["label", "source_id", "product_id"]]
+    return nodes.drop("first_id").distinct().join(labels.withColumnRenamed("node", "product_id"), "product_id").select("label", "product_id", "source_id", "key")
 
 
 def typical(chains: DataFrame) -> DataFrame:
-    """(label, source_id, product_id): one listing for each shop of a chain across shops."""
+    """(label, source_id, product_id): one listing for each shop of a chain across shops; chains of one shop have none."""
     counted = chains.groupBy("label", "source_id", "key").agg(F.count("*").alias("n"), F.min("product_id").alias("product_id"))
-    return counted.groupBy("label").applyInPandas(most_typical, "label int, source_id int, product_id int")
+    words = F.transform(F.filter(F.array_distinct(F.split("key", " ")), lambda w: w != ""), lambda w: F.xxhash64(w))
+    placed = counted.select(F.lit(0).alias("category_id"), F.lit(0).alias("bucket"), F.col("label").alias("cluster"), "source_id", "n", "product_id", words.alias("words"))
+    return one_of_each_shop(placed).select(F.col("cluster").alias("label"), "source_id", "product_id")
+
 
+def suggestions(products: DataFrame, low: float = NEAR, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """(kind, label, source_id, product_id, jaccard, trigram): groups of near misses, and, chained apart from them, of pairs whose smaller key mostly lies in the other.
 
-def disjoint(found: DataFrame, rounds: int = 60) -> DataFrame:
+    A group is a chain over a category's buckets, of each shop its most typical listing; its scores are the greatest word and letter Jaccard of any two of its
+    listings that share a bucket and agree in variants, also of those that are no near miss themselves. With a ``low`` up to OVERLAP_FLOOR every pair of the
+    second kind is a near miss, so there are none.
+    """
+    members = cut(bucketed(products, rules))
+    classes = cut(key_classes(members, rules))
+    key = lambda x: classes.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"))
+    pairs = cut(pair_classes(scored_pairs(classes, min(low, OVERLAP_FLOOR)), low).join(key("a"), "a").join(key("b"), "b").select("kind", "category_id", "bucket", "key_a", "key_b"))
+    found = None
+    for kind in ("near_miss", "overlap") if low > OVERLAP_FLOOR else ("near_miss",):
+        part = typical(chained(members, pairs.where(F.col("kind") == kind).drop("kind"))).withColumn("kind", F.lit(kind))
+        found = part if found is None else found.unionByName(part)
+    found = cut(found)
+    tokens = products.join(found.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi")
+    own = bucketed(tokens, Rules(rules.noise, rules.variants, rules.digit_guard, False, rules.stored)).select("product_id", "bucket", F.array_distinct("tokens").alias("words"), trigrams(F.col("tokens")).alias("pieces"), variants_in(F.col("tokens"), rules.variants).alias("variants"))
+    rows = found.join(own, "product_id")
+    other = rows.select("kind", "label", *[F.col(c).alias(f"{c}_o") for c in ("product_id", "bucket", "words", "pieces", "variants")])
+    # A group has one listing a shop, so there are few pairs.
+    pairs = rows.join(other, ["kind", "label"]).where("product_id < product_id_o and variants = variants_o and (bucket = bucket_o or bucket = -1 or bucket_o = -1)")
+    best = pairs.groupBy("kind", "label").agg(F.max(jaccard(F.col("words"), F.col("words_o"))).alias("jaccard"), F.max(jaccard(F.col("pieces"), F.col("pieces_o"))).alias("trigram"))
+    zero = F.lit(0.0)
+    return found.join(best, ["kind", "label"], "left").select("kind", "label", "source_id", "product_id", F.coalesce("jaccard", zero).alias("jaccard"), F.coalesce("trigram", zero).alias("trigram"))
+
+
+def disjoint(found: DataFrame) -> DataFrame:
     """The clusters that stay when each listing may be in one only: those with most shops first, then by bucket and first member, all in parallel.
 
-    A cluster that ranks before all undecided ones it shares a listing with is kept, and those are dropped; repeated until all are decided.
+    A cluster that ranks before all undecided ones it shares a listing with is kept, and those are dropped; repeated until all are decided. The first of the
+    undecided is decided in each round, so any number of them comes to an end.
     """
     size = found.groupBy("cluster").agg(F.count("*").alias("shops"))
     ranked = cut(found.join(size, "cluster").withColumn("rank", F.concat_ws("|", F.lpad((F.lit(9) - F.col("shops")).cast("string"), 2, "0"), "cluster")))
     kept, open_ = None, ranked
-    for _ in range(rounds):
+    while True:
         best = open_.groupBy("product_id").agg(F.min("rank").alias("best"))
         marked = open_.join(best, "product_id").groupBy("cluster").agg(F.min((F.col("rank") == F.col("best")).cast("int")).alias("wins"))
         winners = cut(open_.join(marked.where("wins = 1").select("cluster"), "cluster", "left_semi"))
@@ -203,7 +224,6 @@ def disjoint(found: DataFrame, rounds: int = 60) -> DataFrame:
         open_ = cut(open_.join(hit, "cluster", "left_anti"))
         if open_.isEmpty():
             return kept.drop("shops", "rank")
-    raise RuntimeError(f"clusters still overlap after {rounds} rounds")
 
 
 def match_rows(products: DataFrame, taken: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -250,13 +270,39 @@ def matcher_pairs(products: DataFrame) -> DataFrame:
     cosine = cosine_pairs(classes, idf(products)).join(guard.select(F.col("node").alias("a"), F.col("variants").alias("va"), F.col("sources").alias("sa")), "a").join(guard.select(F.col("node").alias("b"), F.col("variants").alias("vb"), F.col("sources").alias("sb")), "b")
     cosine = cosine.where((F.col("va") == F.col("vb")) & (F.size(F.array_union("sa", "sb")) > 1))
     links = {"jaccard": scored.where(F.col("j") >= MATCH), "trigram": scored.where(F.col("t") >= MATCH), "overlap": contained, "cosine": cosine}
-    out = None
+    return clustered_pairs(members, classes, {name: rows.select("a", "b") for name, rows in links.items()}, empty_alike=("jaccard", "trigram", "overlap"))
+
+
+def clustered_pairs(members: DataFrame, classes: DataFrame, links: dict[str, DataFrame], empty_alike: tuple[str, ...]) -> DataFrame:
+    """(matcher, id_a, id_b) of the listings that each matcher's links (a, b) put into one cluster. One run of labels does for all matchers: a matcher's name is part
+    of its nodes. Empty keys are alike only for the matchers named; the others leave them out."""
+    tag = lambda c: F.concat_ws("|", "matcher", c)
+    named = classes.withColumn("matcher", F.explode(F.array(*[F.lit(m) for m in links]))).where((F.size("words") > 0) | F.col("matcher").isin(*empty_alike)).withColumn("node", tag("node"))
+    edges_ = None
     for name, rows in links.items():
-        found = cut(clusters(members, classes, rows.select("a", "b")))
-        b = found.select("cluster", F.col("product_id").alias("id_b"))
-        pairs = found.select("cluster", F.col("product_id").alias("id_a")).join(b, "cluster").where("id_a < id_b").select(F.lit(name).alias("matcher"), "id_a", "id_b").distinct()
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+        part = rows.withColumn("matcher", F.lit(name)).select(tag("a").alias("a"), tag("b").alias("b"))
+        edges_ = part if edges_ is None else edges_.unionByName(part)
+    found = cut(clusters(members, cut(named), edges_).select(F.substring_index("cluster", "|", 1).alias("matcher"), "cluster", "product_id"))
+    b = found.select("cluster", F.col("product_id").alias("id_b"))
+    # A cluster has one listing a shop, so there are few pairs.
+    return found.withColumnRenamed("product_id", "id_a").join(b, "cluster").where("id_a < id_b").select("matcher", "id_a", "id_b").distinct()
+
+
+def similarity_pairs(products: DataFrame, similarity: Callable[[Column, Column], Column], least: float = MATCH, rules: Rules = COMPARED, name: str = "own") -> DataFrame:
+    """(matcher, id_a, id_b) by a similarity of one's own: a function of two sorted word arrays (as Columns) that gives a number, 0 for arrays without a common word.
+
+    Class pairs that share a word and agree in variants are measured; which listing of a shop stays in a cluster is decided by word Jaccard, as for every
+    matcher. Empty keys match nothing.
+    """
+    members = cut(bucketed(products, rules))
+    classes = cut(key_classes(members, rules))
+    texts = members.groupBy("category_id", "bucket", "key").agg(F.array_sort(F.array_distinct(F.first("tokens"))).alias("texts"))
+    full = cut(classes.join(texts, ["category_id", "bucket", "key"]).select("node", "variants", "sources", "texts"))
+    words = classes.select("category_id", "bucket", "node", F.explode("words").alias("word"))
+    met = words.withColumnRenamed("node", "a").join(words.withColumnRenamed("node", "b"), ["category_id", "bucket", "word"]).where("a < b").select("a", "b").distinct()
+    side = lambda x: full.select(*[F.col(c).alias(f"{c}_{x}") for c in full.columns]).withColumnRenamed(f"node_{x}", x)
+    rows = met.join(side("a"), "a").join(side("b"), "b").where((F.col("variants_a") == F.col("variants_b")) & (F.size(F.array_union("sources_a", "sources_b")) > 1))
+    return clustered_pairs(members, classes, {name: rows.where(similarity(F.col("texts_a"), F.col("texts_b")) >= least).select("a", "b")}, empty_alike=())
 
 
 def shared_words(classes: DataFrame) -> DataFrame:
@@ -268,10 +314,15 @@ def shared_words(classes: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def agreement(pairs: DataFrame) -> DataFrame:
-    """(matcher_a, matcher_b, common, percent): shared pairs of two matchers, in percent of the first one's."""
+#: The four similarities compared.
+MATCHERS = ("jaccard", "trigram", "overlap", "cosine")
+
+
+def agreement(pairs: DataFrame, matchers: tuple[str, ...] = MATCHERS) -> DataFrame:
+    """(matcher_a, matcher_b, common, percent): for every two matchers their shared pairs, in percent of the first one's; 0 where there are none."""
+    names = pairs.sparkSession.createDataFrame([(a, b) for a in matchers for b in matchers], "matcher_a string, matcher_b string")
     sizes = pairs.groupBy(F.col("matcher").alias("matcher_a")).agg(F.count("*").alias("n"))
     other = pairs.select(F.col("matcher").alias("matcher_b"), "id_a", "id_b")
     common = pairs.withColumnRenamed("matcher", "matcher_a").join(other, ["id_a", "id_b"]).groupBy("matcher_a", "matcher_b").agg(F.count("*").alias("common"))
-    return common.join(sizes, "matcher_a").select("matcher_a", "matcher_b", "common", F.round(F.col("common") / F.col("n") * 100, 6).alias("percent"))
-
+    rows = names.join(common, ["matcher_a", "matcher_b"], "left").join(sizes, "matcher_a", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    return rows.select("matcher_a", "matcher_b", "common", F.round(F.col("common") / F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) * 100, 6).alias("percent"))

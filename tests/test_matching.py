@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from stillroom.functions.titles import match_tokens, normalized_title
 from stillroom.operators.graph import smallest_label
-from stillroom.operators.matching import COMPARED, Rules, bucketed, candidates, chained, clusters, cosine_pairs, disjoint, edges, idf, key_classes, match_rows, measured, pair_classes, scored_pairs, shared_words, typical
-from stillroom.plans.matching import suggested_clusters
+from stillroom.operators.matching import COMPARED, Rules, agreement, bucketed, candidates, chained, clusters, cosine_pairs, disjoint, edges, idf, key_classes, match_rows, matcher_pairs, measured, pair_classes, scored_pairs, shared_words, similarity_pairs, suggestions, typical
 
 SCHEMA = "id int, source_id int, category_id int, title string, volume_ml int, is_available boolean, key string"
 WORDS = "alpha beta gamma delta omega reserve noir 12 18 gold silver kappa sigma".split()
@@ -123,14 +122,58 @@ def test_copies_of_near_misses_are_chained_and_the_most_typical_stays(spark):
     # Class of 1 and 2 near the class of 3: 1 and 3 are of one shop, so the pair is 2 and 3. 4, 5 and 6 chain two listings of shop 1, of which 6 is more like 5; 7 and 8 are copies.
     rows = [(1, 1, 1, "alpha beta gamma"), (2, 2, 1, "alpha beta gamma"), (3, 1, 1, "alpha beta omega"), (4, 1, 2, "alpha beta kappa"), (5, 2, 2, "alpha beta delta sigma"), (6, 1, 2, "alpha delta sigma reserve"), (7, 3, 2, "alpha beta delta sigma"), (8, 3, 2, "alpha beta delta sigma")]
     members = bucketed(spark.createDataFrame([(i, s, c, t, 700, True, "") for i, s, c, t in rows], SCHEMA))
-    near = spark.createDataFrame([(1, 700, "alpha beta gamma", "alpha beta omega", 0.5), (2, 700, "alpha beta delta sigma", "alpha beta kappa", 0.4), (2, 700, "alpha beta delta sigma", "alpha delta sigma reserve", 0.6)], "category_id int, bucket int, key_a string, key_b string, best double")
-    chains, best = chained(members, near)
+    near = spark.createDataFrame([(1, 700, "alpha beta gamma", "alpha beta omega"), (2, 700, "alpha beta delta sigma", "alpha beta kappa"), (2, 700, "alpha beta delta sigma", "alpha delta sigma reserve")], "category_id int, bucket int, key_a string, key_b string")
+    chains = chained(members, near)
     assert {(r.label, r.product_id) for r in chains.collect()} == {(2, 2), (2, 3)} | {(4, i) for i in range(4, 9)}
-    assert {tuple(r) for r in best.collect()} == {(2, 0.5), (4, 0.6)}
     assert {tuple(r) for r in typical(chains).collect()} == {(2, 2, 2), (2, 1, 3), (4, 1, 6), (4, 2, 5), (4, 3, 7)}
 
 
-def test_suggestions_name_shops_of_copies(spark, tmp_path):
-    rows = [(1, 1, 1, "alpha beta gamma"), (2, 2, 1, "alpha beta gamma"), (3, 1, 1, "alpha beta omega")]
-    spark.createDataFrame([(i, s, c, t, 700, True, "") for i, s, c, t in rows], SCHEMA).write.parquet(str(tmp_path / "products.parquet"))
-    assert [(r.shops, r.listings) for r in suggested_clusters(spark, str(tmp_path)).collect()] == [(2, "2,3")]
+def test_suggestions_name_shops_of_copies_and_score_every_pair_of_a_group(spark):
+    rows = [(1, 1, 1, "alpha beta gamma"), (2, 2, 1, "alpha beta gamma"), (3, 1, 1, "alpha beta omega"), (4, 1, 2, "aa bb cc dd"), (5, 2, 2, "aa bb cc ee ff"), (6, 3, 2, "aa bb cc dd ee ff")]
+    got = {}
+    for r in suggestions(spark.createDataFrame([(i, s, c, t, 700, True, "") for i, s, c, t in rows], SCHEMA)).collect():
+        got.setdefault((r.kind, r.label, round(r.jaccard, 3)), set()).add(r.product_id)
+    # 5 and 6 match by words and are no near miss; 4 chains them, and their score is the group's greatest.
+    assert got == {("near_miss", 2, 0.5): {2, 3}, ("near_miss", 4, 0.833): {4, 5, 6}}
+    assert suggestions(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_own_similarity_and_empty_keys(spark):
+    rows = [(1, 1, 1, "alpha beta gamma"), (2, 2, 1, "alpha beta"), (3, 3, 1, ""), (4, 4, 1, None), (5, 5, 1, "omega")]
+    df = spark.createDataFrame([(i, s, c, t, 700, True, "") for i, s, c, t in rows], SCHEMA)
+    shared = similarity_pairs(df, lambda a, b: F.size(F.array_intersect(a, b)) / F.lit(2.0), 1.0, name="two words")
+    assert [tuple(r) for r in shared.collect()] == [("two words", 1, 2)]
+    found = {(r.matcher, r.id_a, r.id_b) for r in matcher_pairs(df).collect()}
+    assert ("jaccard", 3, 4) in found and ("cosine", 3, 4) not in found
+    table = {(r.matcher_a, r.matcher_b): (r.common, r.percent) for r in agreement(matcher_pairs(df)).collect()}
+    assert len(table) == 16 and table["cosine", "jaccard"] == (0, 0.0)
+
+
+def test_stored_normal_form(spark):
+    df = spark.createDataFrame([(1, 1, 1, "x", 700, True, "", "ardbeg ten"), (2, 2, 1, "y", 700, True, "", "ardbeg ten"), (3, 3, 1, "z", 700, True, "", None)], SCHEMA + ", normalized_title string")
+    assert {r.product_id for r in match_rows(df, rules=Rules(stored=True)).collect()} == {1, 2}
+    assert match_rows(df).count() == 0
+
+
+def test_chains_of_any_length_and_hubs(spark):
+    from stillroom.operators import skew
+
+    before, skew.HEAVY_ROWS, skew.HEAVY_KEYS = (skew.HEAVY_ROWS, skew.HEAVY_KEYS), 20, 1000
+    try:
+        pairs = [(i, i + 1) for i in range(400)] + [(1000, i) for i in range(1001, 1200)]
+        nodes = spark.createDataFrame([(n,) for p in pairs for n in p], "node int")
+        got = {r.node: r.label for r in smallest_label(nodes, spark.createDataFrame(pairs, "a int, b int")).collect()}
+        assert got == {n: (0 if n < 1000 else 1000) for p in pairs for n in p}
+    finally:
+        skew.HEAVY_ROWS, skew.HEAVY_KEYS = before
+
+
+def test_rows_of_a_hot_key_are_not_shuffled(spark):
+    from stillroom.operators.skew import join_values
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("k"), "id")
+    values = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    got = join_values(rows, values, "k", 60_000)
+    assert got.count() == 60_000 and got.where("k = 7 and low = 0").count() == 20_001  # 0, 3, 6 and so on, and 7 itself
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Cartesian" not in plan
