@@ -67,22 +67,27 @@ def simple_title(title: Column) -> Column:
 
 
 def content_ml(text: Column) -> Column:
-    """The content in ml that a text states: the first pattern in order of precedence whose first occurrence gives 10 to 50000 ml; null if none does."""
+    """The content in ml that a text states: the first pattern in order of precedence whose first occurrence gives 10 to 50000 ml; null if none does.
+
+    Each pattern scans the text once and only if those before it gave nothing; its numbers are cut from what it found. Packs are tried only where a number
+    follows a times sign. Numbers may have any length: what overflows is no content.
+    """
     low = F.lower(text)
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(low, rx(pattern), group).try_cast("bigint")
+    def amount(pattern: str, kind: str, factor: int) -> Column:
+        def of(numbers: Column) -> Column:
+            a, b, c = (F.get(numbers, F.lit(i)).try_cast("bigint") for i in range(3))
+            thousand = lambda whole, rest: F.try_add(F.try_multiply(whole, F.lit(1000)), rest * factor)
+            each = thousand(b, c) if kind == "pack3" else F.try_multiply(b, F.lit(factor)) if kind == "pack" else thousand(a, b) if kind == "decimal" else F.try_multiply(a, F.lit(factor))
+            return F.try_multiply(a, each) if kind in ("pack3", "pack") else each
+
+        numbers = F.regexp_extract_all(F.regexp_extract(low, rx(pattern), 0), F.lit(rx(r"(\d+)")), 1)
+        return F.get(F.filter(F.transform(F.array(numbers), of), lambda x: x.between(LEAST_ML, MOST_ML)), F.lit(0))
 
-    tried = []
-    for pattern, kind, factor in CONTENT:
-        a = part(pattern, 1)
-        b = part(pattern, 2)
-        # Numbers of any length: what overflows is no content.
-        each = F.try_add(F.try_multiply(b, F.lit(1000)), part(pattern, 3) * factor) if kind == "pack3" else F.try_multiply(b, F.lit(factor))
-        ml = F.try_multiply(a, each) if kind in ("pack3", "pack") else F.try_add(F.try_multiply(a, F.lit(1000)), b * factor) if kind == "decimal" else F.try_multiply(a, F.lit(factor))
-        tried.append(ml)
-    # One array, so that each amount is worked out once; nulls and amounts out of range fall out.
-    return F.get(F.filter(F.array(*tried), lambda x: x.between(LEAST_ML, MOST_ML)), F.lit(0)).cast("int")
+    packs = F.coalesce(*[amount(*c) for c in CONTENT if c[1].startswith("pack")])
+    rest = F.coalesce(*[amount(*c) for c in CONTENT if not c[1].startswith("pack")])
+    stated = F.coalesce(F.when(low.rlike(rx(r"\d\s*[x×]\s*\d")), packs), rest)
+    return F.when(low.rlike(rx(r"\d\s*[mc]?l\b")), stated).cast("int")
 
 
 def listing_ml(size: Column, title: Column) -> Column:
@@ -102,6 +107,11 @@ def resolved_url(link: Column, base: Column) -> Column:
     return F.when(link.startswith("http"), link).when(link.startswith("/"), F.concat(base, link)).otherwise(link)
 
 
+def relative_url(link: Column, base: Column) -> Column:
+    """Like ``resolved_url``, and links that are neither absolute nor from the root are joined to the shop's address."""
+    return F.when(link.startswith("http"), link).when(link.startswith("/"), F.concat(base, link)).otherwise(F.concat(base, F.lit("/"), link))
+
+
 def fingerprint(members: Column) -> Column:
     """MD5 of the sorted source:url members of a group."""
     return F.md5(F.array_join(F.array_sort(members), ","))

@@ -197,11 +197,58 @@ def group_details(products: DataFrame, sources: DataFrame, matches: DataFrame) -
     )
 
 
+def volume_label(ml: Column, space: str) -> Column:
+    """A content as text: litres from 1000 ml on, one decimal unless whole."""
+    return F.when(ml >= 1000, F.concat(F.regexp_replace(F.format_string("%.1f", ml / F.lit(1000.0)), r"\.0$", ""), F.lit(f"{space}L"))).otherwise(F.concat(ml.cast("string"), F.lit(f"{space}ml")))
+
+
+def count_label(n: Column) -> Column:
+    """A count with thousands grouped by a hard blank, and a plus."""
+    return F.concat(F.regexp_replace(n.cast("string"), r"\B(?=(\d{3})+(?!\d))", "\u00a0"), F.lit("+"))
+
+
 def badges(groups: DataFrame) -> DataFrame:
-    """Labels of a group: savings badge, content and price as text."""
+    """Labels of a group: savings badge, content (for details and, without a blank, for filters), price and savings as text."""
     ml, rows = F.col("volume_ml"), with_savings(groups)
+    high = F.col("max_price").cast("double")
+    percent = F.when(high > 0, F.bround((F.col("max_price") - F.col("min_price")).cast("double") / high * 100, 1)).otherwise(0.0)
     return rows.select(
-        "group_id", ((F.col("store_count") > 1) & (F.col("savings") > 0.01)).alias("has_badge"),
-        F.when(ml >= 1000, F.concat(F.regexp_replace(F.format_string("%.1f", ml / F.lit(1000.0)), r"\.0$", ""), F.lit(" L"))).otherwise(F.concat(ml.cast("string"), F.lit(" ml"))).alias("volume_label"),
-        F.translate(F.col("min_price").cast("string"), ".", ",").alias("price_label"), F.substring("display_title", 1, 55).alias("short_title"),
+        "group_id", ((F.col("store_count") > 1) & (F.col("savings") > 0.01)).alias("has_badge"), volume_label(ml, " ").alias("volume_label"), volume_label(ml, "").alias("chip_label"),
+        F.translate(F.col("min_price").cast("string"), ".", ",").alias("price_label"), F.concat(F.translate(F.col("savings").cast("string"), ".", ","), F.lit(" €")).alias("savings_label"),
+        F.concat(F.floor(percent + 0.5).cast("string"), F.lit("%")).alias("percent_label"), F.substring("display_title", 1, 55).alias("short_title"),
     )
+
+
+def first_images(products: DataFrame, matches: DataFrame) -> DataFrame:
+    """(match_id, image_url): of a match's active listings the picture of the first shop in order that has one."""
+    live = active(products.select("id", "image_url", "price", "is_available"))
+    return matches.join(live, matches["product_id"] == live["id"]).groupBy("match_id").agg(first_of("image_url", PICTURE_ORDER).alias("image_url"))
+
+
+def review_items(candidates: DataFrame, products: DataFrame, sources: DataFrame, categories: DataFrame) -> DataFrame:
+    """Suggestions as they are shown: one row each with the named listings as an array of structs in shop order, and the first category and content any of them has.
+    Listings that are gone keep their place with nulls, times are ISO texts, scores numbers."""
+    shops = sources.select(F.col("id").alias("source_id"), "name", F.col("display_name").alias("shop"))
+    kinds = categories.select(F.col("id").alias("category_id"), F.col("display_name").alias("category"))
+    listed = products.select(F.col("id").alias("product_id"), "title", "price", "product_url", "volume_ml", "category_id").join(kinds, "category_id", "left")
+    rows = long_matches(candidates).join(listed, "product_id", "left").join(shops, "source_id")
+    entry = F.struct("source_id", "name", "shop", "title", F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price"), F.col("product_url").alias("url"), "volume_ml", "category")
+    of = rows.groupBy("match_id").agg(F.array_sort(F.collect_list(entry)).alias("stores"))
+    first = lambda c: F.get(F.filter(F.transform("stores", lambda s: s[c]), lambda x: x.isNotNull() & (x.cast("string") != "0")), F.lit(0))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    kept = candidates.select(F.col("id").alias("match_id"), "suggestion_source", F.col("jaccard_score").cast("double").alias("jaccard"), F.col("trigram_score").cast("double").alias("trigram"), "review_status", iso("reviewed_at").alias("reviewed_at"), "reviewer_notes", iso("created_at").alias("created_at"))
+    return kept.join(of, "match_id", "left").withColumns({"category": first("category"), "volume_ml": first("volume_ml")}).withColumnRenamed("match_id", "id")
+
+
+def parse_page(number: str | int | None, limit: str | int | None) -> Page:
+    """A page from request texts: missing ones have their defaults; what is no number raises ValueError."""
+    return Page(int(1 if number in (None, "") else number), int(24 if limit in (None, "") else limit))
+
+
+def paged(groups: DataFrame, filters: Filters | None = None, sort: str = "name_asc", page: Page | None = None) -> DataFrame:
+    """One page of the groups that meet the filters, each row with the total of such groups and the number of pages. An empty page has no rows."""
+    page = page or Page()
+    rows = groups.where((filters or Filters()).condition())
+    total = rows.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / page.limit)).cast("bigint"))
+    # One row on the right side.
+    return browse(groups, filters, sort, page).withColumn("__one", F.lit(1)).join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one").drop("__one")

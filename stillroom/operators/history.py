@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillroom.sources.tables import cut
@@ -124,3 +124,18 @@ def merged_pairs(blocks: DataFrame) -> DataFrame:
         F.when(two & ~through, b["root"]).otherwise(a["root"]).alias("root"),
         F.when(meet, F.concat(a["gone"], joint, F.transform(b["gone"], rehung))).when(two, F.concat(a["gone"], b["gone"])).otherwise(a["gone"]).alias("gone"),
     )
+
+
+def previous_values(rows: DataFrame, entity: str, order: list[str], value: str, slot: Column) -> DataFrame:
+    """Rows with ``before``, the value of the row before in its entity's order; null for the first.
+
+    ``slot`` cuts time into pieces that follow each other as the order does (a day, say). Each piece of an entity is sorted by itself, so an entity with a third of
+    all rows is as many tasks as it has pieces; from piece to piece only the last value goes on, one row each. Null values are values; rows with a null entity are left out.
+    """
+    slotted = rows.withColumn("__slot", slot)
+    inside = Window.partitionBy(entity, "__slot").orderBy(*order)
+    last = slotted.groupBy(entity, "__slot").agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
+    carried = last.withColumn("__carried", F.lag("__last").over(Window.partitionBy(entity).orderBy("__slot"))).select(F.col(entity).alias("__entity"), F.col("__slot").alias("__at"), "__carried")
+    numbered = slotted.withColumn("__k", F.row_number().over(inside)).withColumn("__inside", F.lag(value).over(inside))
+    both = numbered.join(carried, (F.col(entity) == F.col("__entity")) & F.col("__slot").eqNullSafe(F.col("__at")))
+    return both.select(*rows.columns, F.when(F.col("__k") == 1, F.col(f"__carried.{value}")).otherwise(F.col("__inside")).alias("before"))

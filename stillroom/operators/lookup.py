@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillroom.functions.titles import fingerprint
@@ -12,17 +12,30 @@ PREFIX = 40
 
 def looked_up(wanted: DataFrame, products: DataFrame) -> DataFrame:
     """(request, shop, product_id, pass) for every requested title (request, shop, title) that a shop's listings hold: equal but for case, else the shortest
-    title that begins with the request's first 40 letters; of equals the smallest id. Two equi-joins and one row number; a null or empty request finds nothing."""
-    asked = wanted.where(F.length(F.trim("title")) > 0).select("request", "shop", F.lower("title").alias("low"), F.lower(F.trim(F.substring("title", 1, PREFIX))).alias("head"))
-    listed = products.where("title is not null").select(F.col("id").alias("product_id"), F.col("source_id").alias("shop"), F.lower("title").alias("low_p"))
-    exact = asked.join(listed, (asked["low"] == listed["low_p"]) & (asked["shop"] == listed["shop"])).select("request", asked["shop"], "product_id", F.lit(1).alias("pass"), F.lit(0).alias("length"))
-    # A head shorter than the whole 40 letters begins titles too: heads are joined by their own length, of which there are 40 at most.
-    lengths = [r["n"] for r in asked.select(F.length("head").alias("n")).distinct().collect()]
-    heads = listed.select("product_id", F.col("shop").alias("shop_p"), "low_p", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("low_p") >= F.col("n"))
-    heads = heads.select("product_id", "shop_p", F.length("low_p").alias("length"), F.substring("low_p", F.lit(1), F.col("n")).alias("head_p"))
-    begun = asked.join(heads, (asked["head"] == heads["head_p"]) & (asked["shop"] == heads["shop_p"])).select("request", "shop", "product_id", F.lit(2).alias("pass"), "length")
-    best = Window.partitionBy("request", "shop").orderBy("pass", "length", "product_id")
-    return exact.unionByName(begun).withColumn("k", F.row_number().over(best)).where("k = 1").select("request", "shop", "product_id", "pass")
+    title that begins with the request's first 40 letters; of equals the smallest id. A null or empty request finds nothing.
+
+    Of the listings one row is kept for each whole title and for each beginning of a length that is asked for, combined before the shuffle, so that the joins are
+    one to one however many listings begin alike. % and _ in a request stand for themselves.
+    """
+    asked = wanted.where(F.length(F.trim("title")) > 0).select("request", "shop", F.lower("title").alias("text"), F.lower(F.trim(F.substring("title", 1, PREFIX))).alias("head")).distinct()
+    listed = products.where("title is not null").select(F.col("id").alias("product_id"), F.col("source_id").alias("shop"), F.lower("title").alias("text"))
+    whole = listed.groupBy("shop", "text").agg(F.min("product_id").alias("product_id"))
+    exact = asked.join(whole, ["shop", "text"]).select("request", "shop", "product_id", F.lit(1).alias("pass"))
+    # A head shorter than 40 letters begins titles too; a beginning may end in a blank that the request's head has lost, so all lengths up to 40 are kept.
+    heads = listed.select("shop", "product_id", F.length("text").alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(PREFIX), F.greatest(F.length("text"), F.lit(1)))), lambda n: F.substring(F.col("text"), F.lit(1), n))).alias("head"))
+    shortest = heads.join(asked.select("shop", "head").distinct(), ["shop", "head"], "left_semi").groupBy("shop", "head").agg(F.min(F.struct("length", "product_id")).alias("best"))
+    begun = asked.join(shortest, ["shop", "head"]).select("request", "shop", F.col("best.product_id").alias("product_id"), F.lit(2).alias("pass"))
+    return exact.unionByName(begun).groupBy("request", "shop").agg(F.min(F.struct("pass", "product_id")).alias("best")).select("request", "shop", "best.product_id", "best.pass")
+
+
+def seeded(entries: DataFrame, products: DataFrame, matched: DataFrame) -> DataFrame:
+    """(group_id, source_id, product_id) of curated groups (group_id, position, source_id, title) as the shops' listings: each entry is looked up, of a shop's several entries the
+    first that is found stays, groups of fewer than two shops and those that name a matched listing (product_id) are left out."""
+    wanted = entries.select(F.struct("group_id", "position").alias("request"), F.col("source_id").alias("shop"), "title")
+    found = looked_up(wanted, products).groupBy("request.group_id", F.col("shop").alias("source_id")).agg(F.min_by("product_id", "request.position").alias("product_id"))
+    hit = found.join(matched.select("product_id").distinct(), "product_id", "left_semi").select("group_id").distinct()
+    whole = found.groupBy("group_id").agg(F.count("*").alias("shops")).where("shops > 1").select("group_id")
+    return found.join(whole, "group_id", "left_semi").join(hit, "group_id", "left_anti")
 
 
 def queued(suggested: DataFrame, queue: DataFrame, matched: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stillroom.functions.titles import content_ml, fingerprint, listing_ml, normalized_title, parsed_price, resolved_url, simple_title
-from stillroom.operators.groups import SHOPS, Filters, Page, active, autocomplete, badges, browse, confirmed_matches, group_details, long_matches, product_groups, search, wide_matches, with_savings
-from stillroom.operators.ingest import backfilled, last_writes, merged, recorded_changes
-from stillroom.operators.lookup import looked_up, word_search
+from stillroom.functions.titles import content_ml, fingerprint, listing_ml, normalized_title, parsed_price, relative_url, resolved_url, simple_title
+from stillroom.operators.groups import SHOPS, Filters, Page, active, autocomplete, badges, browse, confirmed_matches, count_label, first_images, group_details, long_matches, paged, parse_page, product_groups, review_items, search, wide_matches
+from stillroom.operators.history import previous_values
+from stillroom.operators.ingest import backfilled, last_writes, merged, recorded_changes, without_categories, without_shops
+from stillroom.operators.lookup import looked_up, seeded, word_search
 from stillroom.plans.catalogue_sql import ORACLES  # noqa: F401
-from stillroom.sources.landing import export_json, file_slug, page_listings
-from stillroom.sources.tables import cut, table
+from stillroom.sources.landing import dump, export_csv, export_json, file_slug, page_listings, read_groups, read_landing, restore, write_landing
+from stillroom.sources.tables import cut, shared_folder, table
 
 TODAY = "2026-03-15"
 QUERY = "reserve"
@@ -41,10 +42,11 @@ def current_prices(spark, d):
 
 
 def price_comparison(spark, d):
+    """Every match with the listing, price and link of each shop, available or not; a match whose listings are all gone keeps its row."""
     rows = table(spark, d, "products").select(F.col("id").alias("product_id"), "title", "volume_ml", "price", "product_url")
-    of = matches(spark, d).join(rows, "product_id")
+    of = matches(spark, d).join(rows.withColumn("listed", F.col("product_id")), "product_id", "left").withColumnRenamed("product_url", "url")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("source_id")))
-    places = [F.min(F.when(F.col("source_id") == s, F.col(c))).alias(f"{name.removesuffix('_id')}_{c}") for s, name in SHOPS.items() for c in ("product_id", "price")]
+    places = [F.min(F.when(F.col("source_id") == s, F.col(c))).alias(f"{name.removesuffix('_id')}_{as_}") for s, name in SHOPS.items() for c, as_ in (("listed", "product_id"), ("price", "price"), ("url", "url"))]
     return of.groupBy("match_id").agg(first("title").alias("title"), first("volume_ml").alias("volume_ml"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), *places)
 
 
@@ -63,6 +65,11 @@ def browse_filtered(spark, d):
     return browse(groups(spark, d), Filters(("gin", "rum", "whisky"), 5.0, 60.0, 700), "price_asc", Page(1, 100))
 
 
+def browse_page(spark, d):
+    """A page with its total and the number of pages."""
+    return paged(groups(spark, d), Filters(("gin", "rum", "whisky"), shops=1), "price_desc", parse_page("2", "10"))
+
+
 def browse_total(spark, d):
     return groups(spark, d).where(Filters(("gin", "rum", "whisky"), 5.0, 60.0, shops=1).condition()).agg(F.count("*").alias("total"))
 
@@ -91,7 +98,7 @@ def search_groups(spark, d):
 
 
 def search_filtered(spark, d):
-    return searched(spark, d).where(Filters(("whisky", "rum"), price_to=80.0).condition())
+    return searched(spark, d).where(Filters(("whisky", "rum"), price_to=80.0, shops=2).condition())
 
 
 def search_total(spark, d):
@@ -106,6 +113,10 @@ def group_badges(spark, d):
     return badges(groups(spark, d))
 
 
+def group_images(spark, d):
+    return first_images(table(spark, d, "products"), matches(spark, d))
+
+
 # ---- statistics ----
 
 
@@ -121,9 +132,17 @@ def vendor_counts(spark, d):
 
 
 def landing_stats(spark, d):
-    g = with_savings(groups(spark, d)).agg(F.count("*").alias("groups"), F.count_distinct("category_slug").alias("categories"), F.max("savings").alias("best_savings"), F.count_if(F.col("store_count") > 1).alias("compared"))
-    n = active(table(spark, d, "products", "is_available", "price")).agg(F.count("*").alias("listings"))
-    return g.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").drop("one")
+    """Five numbers in one row."""
+    one = lambda df: df.withColumn("one", F.lit(1))
+    g = groups(spark, d).agg(F.count("*").alias("groups_total"), F.count_distinct("category_slug").alias("categories_total"), F.count_if(F.col("store_count") >= 2).alias("matched_groups"))
+    n = active(table(spark, d, "products", "is_available", "price")).agg(F.count("*").alias("products_total"))
+    s = table(spark, d, "sources", "is_active").where("is_active").agg(F.count("*").alias("stores_total"))
+    return one(g).join(one(n), "one").join(one(s), "one").drop("one")
+
+
+def landing_labels(spark, d):
+    """The numbers of listings and groups as they are shown."""
+    return landing_stats(spark, d).select(count_label(F.col("products_total")).alias("products_label"), count_label(F.col("groups_total")).alias("groups_label"))
 
 
 def cheapest_in_category(spark, d):
@@ -195,9 +214,13 @@ def mapping_check(spark, d):
 
 
 def cheapest_hits(spark, d):
-    """The fifty cheapest active listings whose title holds a text."""
-    rows = active(table(spark, d, "products", "id", "title", "price", "is_available")).where(F.col("title").ilike(f"%{QUERY}%"))
-    return rows.orderBy("price", "id").limit(50).select("id", "title", "price")
+    """The second fifty of the cheapest available listings whose title holds a text; null prices come last."""
+    return current_prices(spark, d).where(F.col("title").ilike(f"%{QUERY}%")).orderBy(F.asc_nulls_last("price"), "id").offset(50).limit(50)
+
+
+def cheapest_of_category(spark, d):
+    """The hundred cheapest available listings of a category."""
+    return current_prices(spark, d).where("category_slug = 'whisky'").orderBy(F.asc_nulls_last("price"), "id").limit(100)
 
 
 def word_hits(spark, d):
@@ -206,8 +229,8 @@ def word_hits(spark, d):
 
 def price_steps(spark, d):
     """Every change of a listing's price against the row before it in time."""
-    w = Window.partitionBy("product_id").orderBy("recorded_at", "id")
-    rows = table(spark, d, "price_history", "id", "product_id", "price", "recorded_at").withColumn("before", F.lag("price").over(w))
+    history = table(spark, d, "price_history", "id", "product_id", "price", "recorded_at")
+    rows = previous_values(history, "product_id", ["recorded_at", "id"], "price", F.date_trunc("day", "recorded_at"))
     return rows.where(F.col("price") != F.col("before")).select("id", "product_id", "before", "price", (F.col("price") - F.col("before")).cast(MONEY).alias("step"))
 
 
@@ -218,15 +241,40 @@ def title_lookup(spark, d):
     return looked_up(asked.withColumn("shop", F.explode(F.sequence(F.lit(1), F.lit(5)))), rows)
 
 
+def curated(spark, d) -> DataFrame:
+    """Curated groups with nested entries, made of the open suggestions: each names its listings' titles in capitals, twice for the first shop."""
+    rows = long_matches(table(spark, d, "possible_matches").where("review_status = 'pending'")).join(table(spark, d, "products").select(F.col("id").alias("product_id"), "title"), "product_id").join(table(spark, d, "sources").select(F.col("id").alias("source_id"), "name"), "source_id")
+    entry = F.struct("source_id", F.col("name").alias("source"), F.upper("title").alias("original_title"))
+    grouped = rows.groupBy(F.col("match_id").cast("int").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    entries = F.transform(F.concat("e", F.slice("e", F.lit(1), F.lit(1))), lambda x: F.struct(x["source"].alias("source"), x["original_title"].alias("original_title")))
+    return grouped.select("id", F.concat(F.lit("group "), "id").alias("matched_name"), F.lit("mixed").alias("category"), F.lit("ambiguous").alias("classification"), entries.alias("entries"))
+
+
+def curated_groups(spark, d):
+    """The curated groups written as nested JSON, a group a line, and read again, one row for each entry."""
+    path = shared_folder(spark)
+    curated(spark, d).select(F.array(F.struct("id", "matched_name", "category", "classification", "entries")).alias("groups")).write.json(path)
+    return read_groups(spark, path, lines=True)
+
+
+def seeded_groups(spark, d):
+    """Curated groups found among the listings that no confirmed match names."""
+    shops = table(spark, d, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    entries = curated_groups(spark, d).join(shops, "source").select("group_id", "position", "source_id", F.col("original_title").alias("title"))
+    return seeded(entries, table(spark, d, "products", "id", "source_id", "title"), matches(spark, d))
+
+
 # ---- candidates ----
 
 
 def review_queue(spark, d):
-    """Open suggestions by scores, with the listings they name as one array."""
-    order = [F.desc_nulls_last("jaccard_score"), F.desc_nulls_last("trigram_score"), F.asc("id")]
-    rows = table(spark, d, "possible_matches").where("review_status = 'pending'")
-    ids = F.array_compact(F.array(*SHOPS.values()))
-    return rows.orderBy(*order).select("id", F.size(ids).alias("shops"), F.array_min(ids).alias("first_listing"), F.col("jaccard_score").cast("double").alias("jaccard"), F.col("trigram_score").cast("double").alias("trigram"))
+    """Open suggestions by scores, with the listings they name, as JSON."""
+    order = [F.desc_nulls_last("jaccard"), F.desc_nulls_last("trigram"), F.asc("id")]
+    rows = review_items(table(spark, d, "possible_matches").where("review_status = 'pending'"), table(spark, d, "products"), table(spark, d, "sources"), table(spark, d, "categories"))
+    titles = F.array_join(F.transform("stores", lambda s: F.coalesce(s["title"], F.lit("?"))), " / ")
+    prices = F.array_join(F.transform("stores", lambda s: F.format_string("%.2f", s["price"])), " / ")
+    urls = F.array_join(F.transform("stores", lambda s: F.coalesce(s["url"], F.lit("?"))), " ")
+    return rows.orderBy(*order).select("id", F.size("stores").alias("shops"), titles.alias("titles"), prices.alias("prices"), urls.alias("urls"), "category", "volume_ml", "suggestion_source", "jaccard", "trigram", "created_at")
 
 
 def review_counts(spark, d):
@@ -236,7 +284,7 @@ def review_counts(spark, d):
 
 def review_history(spark, d):
     rows = table(spark, d, "possible_matches").where("review_status in ('confirmed', 'rejected', 'superseded')")
-    return rows.orderBy(F.desc_nulls_last("reviewed_at"), F.asc("id")).limit(200).select("id", "review_status", "reviewed_at")
+    return rows.orderBy(F.desc_nulls_last("reviewed_at"), F.asc("id")).limit(200).select("id", "review_status", F.date_format("reviewed_at", "yyyy-MM-dd'T'HH:mm:ss").alias("reviewed_at"))
 
 
 def match_table(spark, d):
@@ -265,10 +313,11 @@ def parsed_prices(spark, d):
 
 
 def resolved_urls(spark, d):
-    """Links cut to their path and resolved against their shop again."""
+    """Every link as it is, cut to its path, and cut to a path without the leading slash, resolved against its shop again."""
     rows = table(spark, d, "products", "id", "source_id", "product_url").join(table(spark, d, "sources").select(F.col("id").alias("source_id"), "website_url"), "source_id")
-    path = F.when(F.col("id") % 2 == 0, F.regexp_replace("product_url", r"^https?://[^/]+", "")).otherwise(F.col("product_url"))
-    return rows.select("id", resolved_url(path, F.col("website_url")).alias("url"))
+    path = F.regexp_replace("product_url", r"^https?://[^/]+", "")
+    base = F.col("website_url")
+    return rows.select("id", resolved_url(F.col("product_url"), base).alias("url"), resolved_url(path, base).alias("from_path"), relative_url(F.regexp_replace(path, "^/", ""), base).alias("from_relative"))
 
 
 def fingerprints(spark, d):
@@ -302,12 +351,44 @@ def landing_slugs(spark, d):
     return rows.select("id", file_slug(F.concat(F.lit("landing/"), F.replace("file_slug", F.lit("/"), F.lit("-")), F.lit("_"), "name", F.lit(".json")), F.col("name")).alias("slug"))
 
 
-def image_backfill(spark, d):
-    rows = table(spark, d, "products", "id", "title", "image_url")
-    return backfilled(rows.where("id % 2 = 0"), rows.where("id % 2 = 1").select("id", "title", "image_url"), "title", "image_url", "id")
+def paged_listings(spark, d):
+    """A shop's pages read in turn with the first page read a second time at the end, as a scan that starts over delivers them: every listing's last reading counts."""
+    pages = pages_of(spark, d).withColumn("turn", F.col("page_id"))
+    again = pages.groupBy().agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("p"), F.max("page_id").alias("last")).select("p.page_id", "p.html", (F.col("last") + 1).alias("turn"))
+    readings = page_listings(pages.unionByName(again).select(F.col("turn").alias("page_id"), "html"))
+    return last_writes(readings.select("link", "title", "price", F.col("page_id").alias("turn"), "position"), ["link"], [F.col("turn"), F.col("position")]).select("link", "title", "price", "turn")
+
+
+def landed_listings(spark, d):
+    """Listings written as landing files, one folder for each shop and slug, and read again."""
+    rows = table(spark, d, "products", "source_id", "title", "price_original", "product_url", "image_url", "category_id", "metadata")
+    path = shared_folder(spark)
+    write_landing(rows.select("title", F.col("price_original").alias("price"), F.get_json_object("metadata", "$.size").alias("size"), F.col("product_url").alias("link"), F.col("image_url").alias("image"), F.col("source_id").alias("source"), F.coalesce(F.col("category_id").cast("string"), F.lit("none")).alias("file_slug")), path)
+    return read_landing(spark, f"{path}/*/*", lines=True)[0].withColumns({"source": F.regexp_extract("file", r"source=(\d+)", 1).cast("int"), "file_slug": F.regexp_extract("file", r"file_slug=(\w+)", 1)}).drop("file")
+
+
+def restored_listings(spark, d):
+    """The listings dumped and restored."""
+    path = shared_folder(spark)
+    dump({"products": table(spark, d, "products", "id", "title", "price", "last_seen_at")}, path)
+    return restore(spark, path, ["products"])["products"]
+
+
+def csv_listings(spark, d):
+    """Listings exported as CSV with a header and read again: nothing is lost, but an empty text comes back as null."""
+    path = shared_folder(spark)
+    export_csv(table(spark, d, "products", "id", "title", "price"), path)
+    return spark.read.schema("id int, title string, price decimal(10,2)").option("header", True).option("multiLine", True).option("escape", "\"").csv(path)
 
 
-def image_backfill_all(spark, d):
+def mapped_slugs(spark, d):
+    """Every typed slug with its shop and category by name; outcome says whether its file would be read or skipped."""
+    m = table(spark, d, "source_category_mappings", "id", "source_id", "file_slug", "canonical_category_id").withColumnRenamed("canonical_category_id", "category_id")
+    named = m.join(table(spark, d, "sources").select(F.col("id").alias("source_id"), F.col("name").alias("shop")), "source_id").join(table(spark, d, "categories").select(F.col("id").alias("category_id"), F.col("slug").alias("category")), "category_id", "left")
+    return named.select("id", "shop", "file_slug", "category", F.when(F.col("category").isNull(), "skipped").otherwise("mapped").alias("outcome"))
+
+
+def image_backfill(spark, d):
     """The whole table as the current landing, its rows with an image as the previous one."""
     rows = table(spark, d, "products", "id", "title", "image_url")
     return backfilled(rows, rows, "title", "image_url", "id")
@@ -325,55 +406,56 @@ def delivery(spark, d, n):
     return last_writes(rows, ["source_id", "product_id"], [F.col("last_seen_at")])
 
 
-def after_merge(spark, d):
-    """Delivery 2, as a landing, merged into delivery 1."""
-    landed = delivery(spark, d, 2)
-    return merged(delivery(spark, d, 1), landed, ["source_id", "product_id"], ["source_id"], F.to_timestamp(F.lit("2026-03-11 03:00:00")))
-
-
-def snapshot_merge(spark, d):
-    return after_merge(spark, d).select("source_id", "product_id", "price", "is_available", "last_seen_at", "outcome")
-
-
-def deactivated(spark, d):
-    return after_merge(spark, d).where("outcome = 'deactivated'").select("source_id", "product_id")
-
-
-def history_delta(spark, d):
-    return recorded_changes(after_merge(spark, d), ["source_id", "product_id"])
-
-
 def all_merges(spark, d):
     """Every delivery after the first merged in turn into the state that the ones before it left, with its snapshot_no; seen is the time of the delivery."""
     key = ["source_id", "product_id"]
     numbers = table(spark, d, "product_snapshots", "snapshot_no", "snapshot_at").groupBy("snapshot_no").agg(F.max("snapshot_at").alias("at"))
-    order = [r["snapshot_no"] for r in numbers.orderBy("snapshot_no").collect()]
-    state, out = delivery(spark, d, order[0] if order else 1), None
-    for n in order[1:] or [2]:
-        landed = delivery(spark, d, n)
-        at = numbers.where(F.col("snapshot_no") == n).select("at")
-        after = merged(state, landed, key, ["source_id"], F.lit(None).cast("timestamp")).withColumn("snapshot_no", F.lit(n))
-        after = cut(after.crossJoin(F.broadcast(at)).withColumn("last_seen_at", F.when(F.col("outcome").isin("inserted", "updated"), F.col("at")).otherwise(F.col("last_seen_at"))).drop("at"))
+    # One row a delivery.
+    order = [(r["snapshot_no"], r["at"]) for r in numbers.orderBy("snapshot_no").collect()]
+    state, out = delivery(spark, d, order[0][0] if order else 1), None
+    for n, at in order[1:] or [(2, None)]:
+        after = cut(merged(state, delivery(spark, d, n), key, ["source_id"], F.lit(at).cast("timestamp")).withColumn("snapshot_no", F.lit(n)))
         state = after.select(*state.columns)
         out = after if out is None else out.unionByName(after)
     return out
 
 
-def snapshot_merge_all(spark, d):
+def snapshot_merge(spark, d):
     return all_merges(spark, d).select("snapshot_no", "source_id", "product_id", "price", "is_available", "last_seen_at", "outcome")
 
 
-def deactivated_all(spark, d):
+def deactivated(spark, d):
     return all_merges(spark, d).where("outcome = 'deactivated'").select("snapshot_no", "source_id", "product_id")
 
 
-def history_delta_all(spark, d):
+def history_delta(spark, d):
     return recorded_changes(all_merges(spark, d), ["snapshot_no", "source_id", "product_id"])
 
 
+def listing_upsert(spark, d):
+    """Delivery 4 landed on the listings with all fields: title, normal form and content are read anew; changes are stamped, and what is missing is counted."""
+    state = table(spark, d, "products", "id", "source_id", "title", "normalized_title", "volume_ml", "price", "is_available", "last_seen_at", "updated_at", "out_of_stock_count").withColumnRenamed("id", "product_id")
+    fresh = state.select("product_id", F.trim("title").alias("title"), normalized_title(F.col("title")).alias("normalized_title"), content_ml(F.col("title")).alias("volume_ml"))
+    landed = delivery(spark, d, 4).select("source_id", "product_id", "price").join(fresh, "product_id", "left")
+    after = merged(state, landed, ["source_id", "product_id"], ["source_id"], F.to_timestamp(F.lit(TODAY)), ("title", "normalized_title", "volume_ml"), "updated_at", "out_of_stock_count")
+    return after.select("source_id", "product_id", "title", "normalized_title", "volume_ml", "price", "is_available", "last_seen_at", "updated_at", "out_of_stock_count", "outcome")
+
+
+def after_removals(spark, d):
+    """What is left when the shops that aren't active and the categories without a slug like theirs are removed: rows of each table by shop."""
+    sources, kinds = table(spark, d, "sources"), table(spark, d, "categories")
+    gone = sources.where("is_active is distinct from true").select(F.col("id").alias("source_id"))
+    products, history, members = without_shops(gone, table(spark, d, "products", "id", "source_id", "category_id"), table(spark, d, "price_history", "id", "product_id"), long_matches(candidates(spark, d)))
+    products = without_categories(kinds.where("slug = 'whisky'").select(F.col("id").alias("category_id")), products)
+    of = history.join(products.select(F.col("id").alias("product_id"), "source_id"), "product_id").groupBy("source_id").agg(F.count("*").alias("history"))
+    named = members.groupBy("source_id").agg(F.count("*").alias("members"))
+    left = products.groupBy("source_id").agg(F.count("*").alias("listings"), F.count("category_id").alias("with_category"))
+    return left.join(of, "source_id", "left").join(named, "source_id", "left")
+
+
 QUERIES = {f.__name__: f for f in (
-    current_prices, price_comparison, groups_view, browse_filtered, browse_total, featured_savings, group_detail, singleton_detail, search_groups, search_filtered, search_total, suggestions_for_title, group_badges,
-    category_counts, vendor_counts, landing_stats, cheapest_in_category, cheapest_hits, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
+    current_prices, price_comparison, groups_view, browse_filtered, browse_page, browse_total, featured_savings, group_detail, singleton_detail, search_groups, search_filtered, search_total, suggestions_for_title, group_badges, group_images,
+    category_counts, vendor_counts, landing_stats, landing_labels, cheapest_in_category, cheapest_hits, cheapest_of_category, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
     wrong_shop_check, mapping_check, review_queue, review_counts, review_history, match_table, normalized_titles, simple_titles, title_contents, parsed_prices, resolved_urls, fingerprints, parsed_pages, landing_slugs,
-    image_backfill, image_backfill_all, exported_sources, snapshot_merge, deactivated, history_delta, snapshot_merge_all, deactivated_all, history_delta_all,
+    paged_listings, landed_listings, restored_listings, csv_listings, mapped_slugs, curated_groups, seeded_groups, image_backfill, exported_sources, snapshot_merge, deactivated, history_delta, listing_upsert, after_removals,
 )} | {f"browse_{s}": browsed(s) for s in ("price_asc", "price_desc", "name_asc", "name_desc", "savings_desc")}

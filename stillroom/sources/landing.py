@@ -17,21 +17,22 @@ def write_landing(listings: DataFrame, path: str) -> None:
     listings.write.mode("overwrite").partitionBy("source", "file_slug").json(path)
 
 
-def read_landing(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """(listings, damaged): the objects of JSON files, arrays or lines, with their file; what can't be read is set aside, never fatal.
+def read_landing(spark: SparkSession, *paths: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(listings, damaged): the objects of JSON files with their file, arrays, or with ``lines`` an object a line as ``write_landing`` writes them; what can't be read is
+    set aside, never fatal.
 
     Reads whole files with one schema and no inference; a file that isn't a list of objects gives damaged rows only.
     """
     schema = T.StructType([*LISTING.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(list(paths)).select("*", F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(list(paths)).select("*", F.col("_metadata.file_path").alias("file"))
     empty = F.coalesce("title", "price", "size", "link", "image").isNull()
     return rows.where(F.col("_corrupt_record").isNull() & ~empty).drop("_corrupt_record"), rows.where(F.col("_corrupt_record").isNotNull() | empty).select("file", "_corrupt_record")
 
 
-def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """(group_id, matched_name, category, classification, position, source, original_title) of a curated file with nested entries."""
+def read_groups(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(group_id, matched_name, category, classification, position, source, original_title) of curated files with nested entries: one object a file, or with ``lines`` one a line."""
     entry = "array<struct<source: string, original_title: string>>"
-    groups = spark.read.schema(f"groups array<struct<id: int, matched_name: string, category: string, classification: string, entries: {entry}>>").option("multiLine", True).json(path)
+    groups = spark.read.schema(f"groups array<struct<id: int, matched_name: string, category: string, classification: string, entries: {entry}>>").option("multiLine", not lines).json(path)
     flat = groups.select(F.inline("groups")).withColumnRenamed("id", "group_id")
     return flat.select("group_id", "matched_name", "category", "classification", F.posexplode("entries").alias("position", "e")).select("group_id", "matched_name", "category", "classification", "position", "e.source", "e.original_title")
 

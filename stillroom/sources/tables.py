@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,16 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names in spark.checkpoint.dir, else (tests only) a temporary one."""
+    """The folder for checkpoints: the one the cluster names in spark.checkpoint.dir. Where that is unset, a temporary folder is used if Spark runs on this machine
+    alone; on a cluster no other machine could read it, so there it is an error."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stillroom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name beside the checkpoints, for files that are written and read again."""
+    return f"{use_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, so that later steps neither repeat nor re-partition it."""
     use_checkpoint_dir(df.sparkSession)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +23,7 @@ def merge_stream(arrivals: DataFrame, target: str, key: list[str], order: str, p
 
 
 def current_state(spark: SparkSession, target: str) -> DataFrame:
-    """The last version of a state on a file system that this process can list."""
-    versions = sorted(int(name.split("=")[1]) for name in os.listdir(target) if name.startswith("v="))
-    return spark.read.parquet(f"{target}/v={versions[-1]}")
+    """The last version of a state, on any file system that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    return spark.read.parquet(f"{target}/v={max(int(n.split('=')[1]) for n in names if n.startswith('v='))}")

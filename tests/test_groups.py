@@ -1,8 +1,9 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
-from stillroom.operators.groups import Filters, Page, autocomplete, badges, browse, confirmed_matches, group_details, like_pattern, long_matches, page_count, page_numbers, product_groups, search, wide_matches
+from stillroom.operators.groups import Filters, Page, autocomplete, badges, browse, confirmed_matches, count_label, first_images, group_details, like_pattern, long_matches, page_count, page_numbers, paged, parse_page, product_groups, search, wide_matches
 
 PRODUCTS = "id int, source_id int, category_id int, title string, normalized_title string, volume_ml int, price decimal(10,2), image_url string, product_url string, is_available boolean"
 MATCHES = "id int, ecuga_id int, cugaklik_id int, promili_id int, diskontfumar_id int, rotodinamic_id int, review_status string"
@@ -60,6 +61,29 @@ def test_browse_search_detail(spark, data):
     assert labels["g1"].has_badge and labels["p8"].volume_label == "1.5 L" and labels["g1"].volume_label == "700 ml" and labels["p8"].price_label == "7,25"
 
 
+def test_labels_pages_and_images(spark, data):
+    products, categories, candidates = data
+    matches = confirmed_matches(candidates)
+    rows = paged(product_groups(products, categories, matches), page=Page(1, 2)).collect()
+    assert [(r.group_id, r.total, r.pages) for r in rows] == [("g1", 3, 2), ("g2", 3, 2)]
+    assert {r.match_id: r.image_url for r in first_images(products, matches).collect()} == {1: "i2", 2: None}
+    labels = spark.createDataFrame([(0,), (4573,), (1234567,)], "n bigint").select(count_label(F.col("n")).alias("l"))
+    assert [r.l for r in labels.collect()] == ["0+", "4\u00a0573+", "1\u00a0234\u00a0567+"]
+    assert parse_page(None, "") == Page(1, 24) and parse_page("3", "10") == Page(3, 10)
+    for bad in (("x", "1"), ("1", "1.5"), ("0", "1")):
+        with pytest.raises(ValueError):
+            parse_page(*bad)
+
+
+def test_group_ids():
+    from stillroom.operators.lookup import parse_group
+
+    assert parse_group("g12") == ("g", 12) and parse_group("p7") == ("p", 7)
+    for bad in ("", "g", "x1", "g-1", "g1.5", "12"):
+        with pytest.raises(ValueError):
+            parse_group(bad)
+
+
 def test_pages_and_patterns():
     assert [page_count(n, 24) for n in (0, 24, 25)] == [1, 1, 2]
     assert page_numbers(1, 3) == [1, 2, 3] and page_numbers(10, 20) == [1, None, 8, 9, 10, 11, 12, None, 20]

@@ -68,3 +68,22 @@ def test_empty_and_disagreeing(spark):
     assert versions(df, "product_id", "at", ["price", "ok"], 4).count() == 0
     two = spark.createDataFrame([(1, at(5), Decimal("1.00"), True, ""), (1, at(5), Decimal("3.00"), True, "")], SCHEMA)
     assert [r.price for r in versions(two, "product_id", "at", ["price", "ok"], 4).collect()] == [Decimal("3.00")]
+
+
+def test_previous_values_across_slots(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stillroom.operators.history import previous_values
+
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice([1, 1, 1, 2, None]), rnd.choice([None, 1.0, 2.0]), rnd.randrange(60), "clash") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, product_id int, price double, at int, k string")
+    got = {r.id: r.before for r in previous_values(df, "product_id", ["at", "id"], "price", F.floor(F.col("at") / 7)).collect()}
+    last, expected = {}, {}
+    for i, p, price, _, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        if p is not None:
+            expected[i] = last.get(p)
+            last[p] = price
+    assert got == expected

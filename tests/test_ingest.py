@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from stillroom.operators.ingest import backfilled, last_writes, merged, numbered_last, recorded_changes
+from stillroom.operators.ingest import backfilled, last_writes, merged, recorded_changes, without_categories, without_shops
 from stillroom.sources.landing import CARDS, dump, export_csv, export_json, file_slug, page_listings, read_groups, read_landing, restore, write_landing
 from stillroom.streaming.merge import merge_stream
 
@@ -26,8 +26,23 @@ def test_merge_and_history(spark):
 
 def test_last_writes(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (2, None, "x")], "k int, at int, v string")
-    for f in (last_writes, numbered_last):
-        assert {(r.k, r.v) for r in f(df, ["k"], [F.col("at"), F.col("v")]).collect()} == {(1, "c"), (2, "x")}
+    assert {(r.k, r.v) for r in last_writes(df, ["k"], [F.col("at"), F.col("v")]).collect()} == {(1, "c"), (2, "x")}
+
+
+def test_all_fields_are_overwritten_stamped_and_counted(spark):
+    state = spark.createDataFrame([("a", "old", 1, True, T, T, None), ("b", "old", 1, True, T, T, 2), ("c", "old", 1, False, T, T, 2)], "url string, title string, price int, is_available boolean, last_seen_at timestamp, updated_at timestamp, missed int").withColumn("shop", F.lit(1))
+    landed = spark.createDataFrame([("a", "new", 1), ("d", None, 2)], "url string, title string, price int").withColumn("shop", F.lit(1))
+    now = datetime.datetime(2026, 2, 2)
+    got = {r.url: (r.title, r.updated_at, r.missed, r.outcome) for r in merged(state, landed, ["shop", "url"], ["shop"], F.lit(now), ("title",), "updated_at", "missed").collect()}
+    assert got == {"a": ("new", now, 0, "updated"), "b": ("old", now, 3, "deactivated"), "c": ("old", T, 2, "kept"), "d": (None, now, 0, "inserted")}
+
+
+def test_removals(spark):
+    products = spark.createDataFrame([(1, 1, 5), (2, 2, 5), (3, 2, None)], "id int, source_id int, category_id int")
+    history, members = spark.createDataFrame([(1, 9), (2, 8), (2, 7)], "product_id int, price int"), spark.createDataFrame([(50, 1, 1), (50, 2, 2)], "match_id int, source_id int, product_id int")
+    kept = without_shops(spark.createDataFrame([(2,), (2,), (None,)], "source_id int"), products, history, members)
+    assert [sorted(r[0] for r in k.select("id" if "id" in k.columns else "product_id").collect()) for k in kept] == [[1], [1], [1]]
+    assert {(r.id, r.category_id) for r in without_categories(spark.createDataFrame([(5,)], "category_id int"), products).collect()} == {(1, None), (2, None), (3, None)}
 
 
 def test_backfill(spark):
@@ -80,20 +95,20 @@ def test_stream_keeps_the_last_state_of_every_listing(spark, tmp_path):
 
 
 def test_every_delivery_is_merged(spark, tmp_path):
-    from stillroom.plans.catalogue import deactivated_all, history_delta_all, snapshot_merge_all
+    from stillroom.plans.catalogue import deactivated, history_delta, snapshot_merge
 
     rows = [(n, i, 1, p) for n, held in {1: {1: 5, 2: 5}, 2: {1: 5, 2: 5}, 3: {1: 6}, 4: {1: 6, 2: 5}, 5: {1: 6, 3: 1}}.items() for i, p in held.items()]
     frame = spark.createDataFrame(rows, "snapshot_no int, product_id int, source_id int, price int").selectExpr("snapshot_no", "timestamp_seconds(snapshot_no * 100) as snapshot_at", "product_id", "source_id", "cast(price as decimal(10,2)) as price", "true as is_available", "timestamp_seconds(snapshot_no * 100 - 1) as last_seen_at")
     frame.write.parquet(str(tmp_path / "product_snapshots.parquet"))
     d = str(tmp_path)
-    assert {(r.snapshot_no, r.product_id) for r in deactivated_all(spark, d).collect()} == {(3, 2), (5, 2)}
-    assert {(r.snapshot_no, r.product_id, int(r.price), r.was_available) for r in history_delta_all(spark, d).collect()} == {(3, 1, 6, True), (3, 2, 5, False), (4, 2, 5, True), (5, 2, 5, False)}
-    merges = {(r.snapshot_no, r.product_id): (r.outcome, r.last_seen_at.timestamp()) for r in snapshot_merge_all(spark, d).collect()}
+    assert {(r.snapshot_no, r.product_id) for r in deactivated(spark, d).collect()} == {(3, 2), (5, 2)}
+    assert {(r.snapshot_no, r.product_id, int(r.price), r.was_available) for r in history_delta(spark, d).collect()} == {(3, 1, 6, True), (3, 2, 5, False), (4, 2, 5, True), (5, 2, 5, False)}
+    merges = {(r.snapshot_no, r.product_id): (r.outcome, r.last_seen_at.timestamp()) for r in snapshot_merge(spark, d).collect()}
     assert len(merges) == 9 and merges[5, 3] == ("inserted", 500) and merges[5, 2] == ("deactivated", 400)
 
 
 def test_every_listing_may_give_and_take_an_image(spark, tmp_path):
-    from stillroom.plans.catalogue import image_backfill_all
+    from stillroom.plans.catalogue import image_backfill
 
     spark.createDataFrame([(1, "a", None), (2, "b", "y"), (3, "a", "x"), (4, "b", None), (5, "c", None), (6, None, None)], "id int, title string, image_url string").write.parquet(str(tmp_path / "products.parquet"))
-    assert {(r.id, r.image_url) for r in image_backfill_all(spark, str(tmp_path)).collect()} == {(1, "x"), (2, "y"), (3, "x"), (4, "y"), (5, None), (6, None)}
+    assert {(r.id, r.image_url) for r in image_backfill(spark, str(tmp_path)).collect()} == {(1, "x"), (2, "y"), (3, "x"), (4, "y"), (5, None), (6, None)}
