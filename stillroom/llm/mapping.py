@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stillroom.sources.tables import cut
+
 # Accented letters of the catalogue's languages and their plain form.
 ACCENTED, PLAIN = "čćžšđáàâäãåéèêëíìîïóòôöõúùûüýñç", "cczsdaaaaaaeeeeiiiiooooouuuuync"
-#: Reference tokens in one trie; a longer list is cut into tries of this size, each searched in turn.
+#: Reference tokens in one trie; a longer list is cut into tries of this size, each searched in turn. Also the rows of the list (a name's tokens) that are broadcast.
 SHARD = 100_000
 
 
@@ -81,8 +83,11 @@ def repairs(words: DataFrame, vocabulary: list[str]) -> DataFrame:
 
         return run
 
-    # A search is work, not data: few bytes that adaptive execution would put into one task, so the number of tasks is set here.
-    words = words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2, "word")
+    # A search is work, not data: few bytes that adaptive execution would put into one task, so the number of tasks is set here. By a hash of the word: by the
+    # word itself the planner takes the grouping before it for the same exchange and drops the number.
+    spark = words.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = words.repartition(tasks, F.xxhash64("word"))
     parts = [words.mapInPandas(search(vocabulary[i : i + SHARD]), "word string, token string, similarity double") for i in range(0, max(1, len(vocabulary)), SHARD)]
     found = parts[0]
     for p in parts[1:]:
@@ -109,7 +114,8 @@ def map_values(values: DataFrame, key: str, value: str, entries: DataFrame, leas
     wide = names.where(F.size("words") > 1).select("name_id", "entry_id", F.explode(F.array_distinct(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), "")))).alias("token"))
     # A name written as one word stands for all of its words.
     reference = parts.select("name_id", "entry_id", "token", "idf", F.lit(False).alias("whole")).unionByName(wide.join(totals, "name_id").select("name_id", "entry_id", "token", F.col("mass").alias("idf"), F.lit(True).alias("whole")))
-    reference = reference.join(totals, "name_id")
+    reference = cut(reference.join(totals, "name_id"))
+    reference_rows = reference.count()
     vocabulary = sorted(r[0] for r in reference.select("token").distinct().collect())
 
     distinct = values.select(value).where(F.col(value).isNotNull()).distinct().select(value, tokens_of(F.col(value)).alias("words"))
@@ -119,8 +125,9 @@ def map_values(values: DataFrame, key: str, value: str, entries: DataFrame, leas
     # A word much commoner than the one it resembles is no misspelling of it but a word of its own.
     counted = words.groupBy("word").agg(F.count("*").alias("df"))
     fixed = repairs(counted.select("word"), vocabulary).join(counted, "word").join(counted.select(F.col("word").alias("token"), F.col("df").alias("token_df")), "token", "left")
-    fixed = fixed.where((F.col("word") == F.col("token")) | (F.col("df") <= 3 * F.coalesce("token_df", F.lit(0)) + 3)).select("word", "token", "similarity")
-    hits = words.join(fixed, "word").join(F.broadcast(reference) if len(vocabulary) <= SHARD else reference, "token")
+    # If the values never write the list's word rightly there is nothing to compare with.
+    fixed = fixed.where((F.col("word") == F.col("token")) | F.col("token_df").isNull() | (F.col("df") <= 3 * F.col("token_df"))).select("word", "token", "similarity")
+    hits = words.join(fixed, "word").join(F.broadcast(reference) if reference_rows <= SHARD else reference, "token")
     # The norm of a value counts its own words that mean anything to the list, each by its best repair.
     own = hits.where("is_single and not whole").groupBy(value, "word").agg(F.max_by("idf", F.struct("similarity", "idf")).alias("idf")).groupBy(value).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("own_norm"))
     # A word stands for one word of a name only, and a name's word is found once.
