@@ -16,6 +16,7 @@ ROOTS = {
     "liter": ("volume", "1000", True), "litre": ("volume", "1000", True), "litra": ("volume", "1000", True), "litara": ("volume", "1000", True), "litar": ("volume", "1000", True),
     "liters": ("volume", "1000", True), "litres": ("volume", "1000", True), "litri": ("volume", "1000", True), "litru": ("volume", "1000", True),
     "oz": ("volume", "29.5735", False), "floz": ("volume", "29.5735", False), "usfloz": ("volume", "29.5735", False), "usoz": ("volume", "29.5735", False), "ounce": ("volume", "29.5735", False), "fluidounce": ("volume", "29.5735", False), "fluidounces": ("volume", "29.5735", False),
+    "ccm": ("volume", "1", False), "cc": ("volume", "1", False), "pint": ("volume", "473.176", False), "pints": ("volume", "473.176", False), "quart": ("volume", "946.352", False), "quarts": ("volume", "946.352", False), "gal": ("volume", "3785.408", False), "gallon": ("volume", "3785.408", False), "gallons": ("volume", "3785.408", False),
     "eur": ("eur", "100", False), "euro": ("eur", "100", False), "eura": ("eur", "100", False), "euros": ("eur", "100", False), "€": ("eur", "100", False),
     "c": ("eur", "1", False), "ct": ("eur", "1", False), "cent": ("eur", "1", False), "cents": ("eur", "1", False), "centi": ("eur", "1", False), "centa": ("eur", "1", False), "¢": ("eur", "1", False),
     "hrk": ("hrk", "100", False), "kn": ("hrk", "100", False), "kuna": ("hrk", "100", False), "kune": ("hrk", "100", False),
@@ -40,6 +41,8 @@ def trie(words) -> dict:
 
 
 PREFIX_TRIE, ROOT_TRIE, EXPONENT_TRIE = trie(PREFIXES), trie(ROOTS), trie(EXPONENTS)
+#: No reading is longer.
+LONGEST = sum(max(map(len, words)) for words in (PREFIXES, ROOTS, EXPONENTS))
 
 
 def ends(node: dict, text: str, start: int):
@@ -59,7 +62,7 @@ def segment(unit: str, field: str) -> tuple[str, Fraction] | None:
     dimension, less a cost for each part, for a prefix and root of unequal style and for leaving a whole-word root unread.
     """
     text = re.sub(r"[\s.]+", "", unit.lower())
-    if not text or len(text) > 24:
+    if not text or len(text) > LONGEST:
         return None
     best: dict[tuple[int, int], tuple[float, str, str, str]] = {(0, 0): (0.0, "", "", "")}
 
@@ -101,8 +104,19 @@ PIECE = r"(?:kom(?:ada|\.)?|pcs|pieces|st(?:k|ück|uck)\.?|boca|bottles|cans|lim
 WORD = r"[^\W\d_]+\.?"
 CUBE = r"(?:(?<=m)\^?[23²³](?!\w))?"
 QUANTITY = re.compile(rf"(?<![\d.,/])(?P<n>{NUMBER})\s*(?P<u>(?:{WORD})(?:\s{WORD}){{0,2}}{CUBE})|(?<!\w)(?P<w>{'|'.join(PART_WORDS)})\s+(?P<v>{WORD})", re.I)
-BEFORE = re.compile(r"(?<![\d.,])(\d{1,3})\s*(?:[x×*]|/\s?1(?=\s|x|×)\s*[x×]?|" + PIECE + r"\s*(?:[x×àa]\s*)?)\s*$", re.I)
-AFTER = re.compile(r"^\s*(?:[x×*]\s*(\d{1,3})(?![\d.,]*\d)(?!\s?/)|[(\[]?\s*(\d{1,3})\s*" + PIECE + r"\s*[)\]]?|[(\[]\s*(?:[x×]\s*)?(\d{1,3})\s*(?:/\s?1|[x×])?\s*[)\]])", re.I)
+# A number of pieces has any number of digits; a bare year in brackets or before a word for pieces is none.
+COUNT, NO_YEAR = r"(?:\d{1,3}(?:\.\d{3})+|\d+)", r"(?!(?:19|20)\d\d(?!\d))"
+BEFORE = re.compile(rf"(?<![\d.,])(?:({COUNT})\s*(?:[x×*]|/\s?1(?=\s|x|×)\s*[x×]?|{PIECE}\s*[x×àa])|{NO_YEAR}({COUNT})\s*{PIECE})\s*$", re.I)
+AFTER = re.compile(rf"^\s*(?:[x×*]\s*({COUNT})(?![\d.,]*\d)(?!\s?/)|[(\[]?\s*{NO_YEAR}({COUNT})\s*{PIECE}\s*[)\]]?|[(\[]\s*(?:[x×]\s*({COUNT})|{NO_YEAR}({COUNT})|({COUNT})\s*(?:/\s?1|[x×]))\s*(?:/\s?1|[x×])?\s*[)\]])", re.I)
+# Packs of packs.
+OUTER, FURTHER = re.compile(rf"(?<![\d.,])({COUNT})\s*[x×*]\s*$"), re.compile(rf"^\s*[x×*]\s*({COUNT})(?![\d.,]*\d)(?!\s?/)")
+# Digits grouped by thousands, as only a number of small units has them.
+GROUPED = re.compile(r"[1-9]\d{0,2}(?:[.,]\d{3})+")
+
+
+def count(found: re.Match) -> int:
+    """The number of a pack pattern's one group that matched."""
+    return int(next(g for g in found.groups() if g).replace(".", ""))
 
 
 def number(text: str) -> Fraction:
@@ -139,11 +153,17 @@ def contents(text: str, cache: dict) -> list[tuple[int, int, int, int]]:
                 break
         if size is None or not value:
             continue
+        if size == 1 and m["n"] and GROUPED.fullmatch(m["n"]):
+            value = Fraction(re.sub(r"[.,]", "", m["n"]))
         start, pieces = m.start(), 1
         if b := BEFORE.search(text, 0, start):
-            start, pieces = b.start(), int(b[1])
+            start, pieces = b.start(), count(b)
+            while b := OUTER.search(text, 0, start):
+                start, pieces = b.start(), pieces * count(b)
         elif a := AFTER.match(text[end:]):
-            pieces, end = int(a[1] or a[2] or a[3]), end + a.end()
+            pieces, end = count(a), end + a.end()
+            while a := FURTHER.match(text[end:]):
+                pieces, end = pieces * count(a), end + a.end()
         at, ml = end, half_up(value * size)
         if ml > 0 and pieces > 0:
             out.append((start, end, ml, pieces))

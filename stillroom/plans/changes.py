@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stillroom.operators.history import versions
 from stillroom.operators.snapshots import changes
-from stillroom.operators.units import common_units, misstated
+from stillroom.operators.units import all_in_common_units, misstated
 from stillroom.sources.tables import table
 
 
@@ -16,9 +16,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_units(spark: SparkSession, d: str) -> DataFrame:
-    """Content in ml and price in EUR cents of every listing whose texts state them."""
-    rows = common_units(table(spark, d, "products", "id", "title", "metadata", "price_original", "currency"))
-    return rows.select(F.col("id").alias("product_id"), "common_ml", "common_cents")
+    """Content in ml and price in EUR cents of every listing that states or records them, and from which of both they are."""
+    rows = table(spark, d, "products", "id", "source_id", "title", "metadata", "price_original", "currency", "volume_ml", "price")
+    return all_in_common_units(rows).withColumnRenamed("id", "product_id")
 
 
 def p5_versions(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 from stillroom.functions.unicode import simple_plain
 from stillroom.functions.units import cents, contents, segment
-from stillroom.operators.units import common_units, misstated
+from stillroom.operators.units import all_in_common_units, common_units, misstated
 
 SCHEMA = "id int, title string, metadata string, price_original string, currency string, volume_ml int, price decimal(10,2)"
 
@@ -30,7 +30,7 @@ def test_segment_unknown(unit):
 
 @pytest.mark.parametrize("text, ml", [
     ("Gin 0,7l", 700), ("Rum 0.70 l 40%", 700), ("Rum 1,75 lit.", 1750), ("12 x 0,05L", 600), ("24 × 0,33 l", 7920), ("50 ML x 12", 600), ("20 CL (24 kom)", 4800), ("6/1 75cl", 4500), ("12 US fl oz x 6", 2130), ("16 fl. oz.", 473),
-    ("3/4 l", 750), ("6x3/4 l", 4500), ("8yo pola litre", 500), ("6x33 cl", 1980), ("4x2 dl", 800), ("12 godina 10 dl", 1000), ("Ginger ２００ｍｌ", 200), ("1.000 ml", 1), ("0 l", None), ("berba 2019. 13%", None), ("1887 Gin", None), ("", None),
+    ("3/4 l", 750), ("6x3/4 l", 4500), ("8yo pola litre", 500), ("6x33 cl", 1980), ("4x2 dl", 800), ("12 godina 10 dl", 1000), ("Ginger ２００ｍｌ", 200), ("1.000 ml", 1000), ("0.500 ml", 1), ("1000 x 0,33 l", 330_000), ("0,7 L (1200 kom)", 840_000), ("1.200 kom x 0,7 l", 840_000), ("2 x 6 x 0,33 l", 3960), ("0,33 l x 6 x 4", 7920), ("0,75 l (2019)", 750), ("berba 2019 boca 0,75 l", 750), ("750 ccm", 750), ("1 pint", 473), ("1/2 gallon", 1893), ("1.000 l", 1000), ("0 l", None), ("berba 2019. 13%", None), ("1887 Gin", None), ("", None),
 ])
 def test_contents(text, ml):
     found = contents(simple_plain(text), {})
@@ -55,3 +55,14 @@ def test_rows_with_nulls_repeats_and_clashing_columns(spark):
     assert got == {(2, "volume_ml"): 700, (2, "price"): 1000, (3, "volume_ml"): 330}
     assert common_units(df).count() == len(rows)
     assert misstated(df.limit(0)).count() == 0
+
+
+def test_recorded_numbers_are_converted_by_the_scale_of_their_shop(spark):
+    d = Decimal
+    rows = [(i, "Gin 0,7 l", None, "75,35 kn", None, 70, d("75.35"), 1) for i in range(5)] + [(10 + i, "Gin 0,7 l", None, "10,00 €", "EUR", 700, d("10.00"), 2) for i in range(5)]
+    rows += [(20, "Rum", None, None, None, 70, d("75.00"), 1), (21, "Rum", None, None, "EUR", 700, d("10.50"), 2), (22, None, None, "", None, None, None, 1), (23, "", "", "", "EUR", 0, d("0.00"), 2), (23, "", "", "", "EUR", 0, d("0.00"), 2)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", source_id int, inferred string")
+    got = {r.id: (r.common_ml, r.common_cents, r.ml_from, r.cents_from) for r in all_in_common_units(df).collect()}
+    assert got[0] == (700, 1000, "stated", "stated") and got[20] == (700, 995, "recorded", "recorded") and got[21] == (700, 1050, "recorded", "recorded")
+    assert got[22] == (None, None, None, None) and got[23] == (None, 0, None, "recorded")
+    assert all_in_common_units(df).count() == len(rows) and all_in_common_units(df.limit(0)).count() == 0
