@@ -49,3 +49,11 @@ def test_chain_hub_and_repeats(spark):
 def test_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [[None, None]]) == {}
+
+
+def test_hubs_get_their_minimum_by_broadcast(spark, monkeypatch):
+    from stillroom.operators import skew
+
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 20)
+    hubs = [[7, i] for i in range(1000, 1400)] + [[i, 3] for i in range(1399, 1700)] + [[i, i + 1] for i in range(2000, 2060)]
+    assert run(spark, hubs) == brute(hubs)

@@ -56,3 +56,19 @@ def test_long_value(spark, entries):
     df = spark.createDataFrame([(1, "x" * 50_000 + "-gin")], "id int, slug string")
     assert [r.entry_id for r in map_values(df, "id", "slug", entries).collect()] == [2]
     assert allowed(2) == 0
+
+
+def test_search_is_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from stillroom.llm.mapping import repairs
+
+    words = spark.range(400).select(F.concat(F.lit("w"), F.col("id")).alias("word")).groupBy("word").count().select("word")
+    found = repairs(words, ["whisky"])
+    assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_list_word_that_nobody_writes_rightly_is_still_found(spark, entries):
+    # Five values misspell it in the same way, none writes it rightly.
+    df = spark.createDataFrame([(i, f"shop{c}/gorkii-likerri") for i, c in enumerate("abcde")], "id int, slug string")
+    assert {r.entry_id for r in map_values(df, "id", "slug", entries).collect()} == {27}
