@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import math
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,16 +22,20 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) in tokens of a public byte-level BPE vocabulary, whole texts; a null text has none.
 
-    ``tokenizer`` names the rank file, which every executor must be able to read; it is loaded once in a Python worker.
+    ``tokenizer`` names the rank file on the driver; it is sent to the executors and loaded once in a Python worker.
     """
+    from public_tokenizers import PATTERN
+
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(tokenizer, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("mix", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             n = [0 if t is None else len(encoding.encode_ordinary(t)) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": n})
@@ -80,68 +87,118 @@ def packed(sized: DataFrame, bucket_docs: int = 20_000) -> DataFrame:
     return sized.withColumn("inside", inside).join(offsets, ["source", "bucket"]).select("doc_id", "source", "n_tokens", (F.col("offset") + F.col("inside")).alias("start"))
 
 
-def drawn_slots(spark, sources: list[dict], total_slots: int, shard_slots: int, seed: int) -> DataFrame:
-    """(shard, s, n): how many slots of each output shard go to source number s, drawn for each shard by itself."""
-    shards = max(1, -(-total_slots // shard_slots))
-    shares = np.array([x["share"] for x in sources], dtype=float)
-    shares = shares / shares.sum()
+def apportioned(shares: list[float], limits: list[int], slots: int) -> list[int]:
+    """Whole slots by shares, largest remainders first, each within its limit; what a limit leaves over stays empty."""
+    exact = [s / (sum(shares) or 1.0) * slots for s in shares]
+    counts = [int(x) for x in exact]
+    for k in sorted(range(len(exact)), key=lambda k: (counts[k] - exact[k], k))[: slots - sum(counts)]:
+        counts[k] += 1
+    return [min(n, most) for n, most in zip(counts, limits, strict=True)]
+
+
+def split(counts: list[int], size: int, draw: np.random.Generator) -> list[int]:
+    """``size`` slots drawn without replacement from counts of sources: how many of each. Source by source by the hypergeometric law; beyond the size that numpy draws
+    exactly, by the normal law with its mean and variance."""
+    out, rest, need = [], sum(counts), size
+    for n in counts:
+        rest -= n
+        if n + rest < 1_000_000_000:
+            x = int(draw.hypergeometric(n, rest, need)) if need and n else 0
+        else:
+            all_, mean = n + rest, need * n / (n + rest)
+            x = round(draw.normal(mean, math.sqrt(max(0.0, mean * (rest / all_) * ((all_ - need) / max(1, all_ - 1))))))
+        out.append(max(need - rest, min(x, n, need)))
+        need -= out[-1]
+    return out
+
+
+def drawn_slots(spark: SparkSession, counts: list[int], shard_slots: int, seed: int) -> DataFrame:
+    """(shard, s, first, n): how many slots of each output shard go to source number s, and how many of its slots come in shards before.
+
+    The shards' counts are multinomial draws given the totals: the totals are halved again and again by draws without replacement, each half by a random number
+    of its own place, down to single shards. So every task finds its shards' draws, and what comes before them, without a word from others.
+    """
+    total = sum(counts)
+    shards = max(1, -(-total // shard_slots))
+    size = lambda lo, hi: min(hi * shard_slots, total) - lo * shard_slots
+
+    def below(lo: int, hi: int, held: list[int], before: list[int], first: int, last: int) -> Iterator[tuple]:
+        if last < lo or first >= hi:
+            return
+        if hi - lo == 1:
+            yield from ((lo, k, b, n) for k, (n, b) in enumerate(zip(held, before, strict=True)) if n)
+            return
+        mid = (lo + hi) // 2
+        left = split(held, size(lo, mid), np.random.default_rng([seed, lo, hi]))
+        yield from below(lo, mid, left, before, first, last)
+        yield from below(mid, hi, [a - b for a, b in zip(held, left, strict=True)], [a + b for a, b in zip(before, left, strict=True)], first, last)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for shard in batch["id"]:
-                size = min(shard_slots, total_slots - int(shard) * shard_slots)
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(size, shares)
-                rows.extend((int(shard), k, int(n)) for k, n in enumerate(counts))
-            yield pd.DataFrame(rows, columns=["shard", "s", "n"])
+            if len(batch):  # a range's batch holds consecutive numbers
+                rows = below(0, shards, counts, [0] * len(counts), int(batch["id"].iloc[0]), int(batch["id"].iloc[-1]))
+                yield pd.DataFrame(rows, columns=["shard", "s", "first", "n"])
+
+    return spark.range(shards).mapInPandas(draw, "shard bigint, s int, first bigint, n bigint")
+
+
+@dataclass
+class Mix:
+    """A drawn mix: ``sized`` (documents and their tokens), ``slots`` (drawn slots of each source) and ``chosen``."""
+
+    targets: DataFrame
+    sized: DataFrame
+    slots: DataFrame
+    chosen: DataFrame
 
-    return spark.range(shards).mapInPandas(draw, "shard bigint, s int, n bigint")
+    def reached(self) -> DataFrame:
+        """(source, target_share, max_repeats, n_documents, available_tokens, used_tokens, reached_share, max_used, slots_drawn): one row for each target."""
+        chosen = cut(self.chosen)
+        sums = chosen.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("used_tokens").alias("used_tokens"), F.max("repeats").alias("max_used"))
+        total = chosen.agg(F.sum("used_tokens").alias("n")).collect()[0]["n"]
+        available = self.sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
+        zero = F.lit(0).cast("bigint")
+        return self.targets.select("source", "target_share", "max_repeats").join(available, "source", "left").join(sums, "source", "left").join(self.slots, "source", "left").select(
+            "source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("n_documents", "available_tokens", "used_tokens")],
+            F.coalesce(F.col("used_tokens") / F.lit(float(total or 1)), F.lit(0.0)).alias("reached_share"), *[F.coalesce(c, zero).alias(c) for c in ("max_used", "slots_drawn")],
+        )
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 64, shard_slots: int = 4_096, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """(chosen, reached): the documents used with how often, and the share that each source reached.
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = 512, shard_slots: int = 4_096, seed: int = 7, tokenizer: str = TOKENIZER) -> Mix:
+    """The documents used with how often, and (``Mix.reached``) the share that each source reached.
 
     chosen (doc_id, source, n_tokens, repeats, used_tokens): repeats is the number of times the most used block of the document is used, and at most
-    max_repeats; used_tokens counts its tokens in all blocks drawn. reached (source, target_share, max_repeats, n_documents, available_tokens,
-    used_tokens, reached_share, max_used, slots_drawn, slots_over_cap): one row for each target.
+    max_repeats; used_tokens counts its tokens in all blocks drawn.
 
-    The documents of a source, packed end to end, are cut into blocks of ``block_tokens`` (the last one shorter). Each output shard of ``shard_slots`` slots draws
-    its slots' sources multinomially; the slots of a source are numbered through over all shards, and slot k takes block permutation(k mod blocks), a
-    new permutation for each pass; passes beyond max_repeats stay empty and are reported. Blocks are then joined by index.
+    The documents of a source, packed end to end, are cut into blocks of ``block_tokens`` (the last one shorter). The slots of the whole mix are apportioned to the
+    sources by their shares; each output shard of ``shard_slots`` slots draws its slots' sources from them multinomially. Slot k of a source takes block
+    permutation(k mod blocks), a new permutation for each pass, and passes end with max_repeats. Blocks are then joined by index. Shares are off by less than a
+    block for each source, and by the shorter last blocks.
 
-    Without ``total_tokens`` the mix is as large as it can be with every source at its share: 0.97 times the size at which the scarcest source reaches its
-    cap. Targets without documents get nothing and the others' shares are taken relative to each other; documents of no target source or
-    without tokens are never used. Empty tables give empty results. The targets are a list of sources, read to the driver; documents never are.
+    Without ``total_tokens`` the mix is as large as it can be with every source at its share. Targets without documents get nothing and the others' shares are taken
+    relative to each other; a source that can't fill its share leaves its slots empty; documents of no target source or without tokens are never used. Empty
+    tables give empty results. The targets are a list of sources, read to the driver; documents never are.
     """
     spark = documents.sparkSession
     wanted = {r["source"]: r for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").collect()}
     known = documents.where(F.col("source").isin(list(wanted))) if wanted else documents.limit(0)
     sized = cut(token_counts(known, tokenizer).where("n_tokens > 0"))
-    stock = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
-    sources = [{"source": s, "share": float(wanted[s]["target_share"]), "cap": int(wanted[s]["max_repeats"]), "tokens": int(stock[s]["tokens"]), "blocks": -(-int(stock[s]["tokens"]) // block_tokens)} for s in sorted(stock)]
+    # One row for each source.
+    stock = {r["source"]: r["tokens"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
+    sources = [{"source": s, "share": float(wanted[s]["target_share"]), "cap": int(wanted[s]["max_repeats"]), "blocks": -(-int(stock[s]) // block_tokens)} for s in sorted(stock)]
     whole = sum(x["share"] for x in sources) or 1.0
-    if total_tokens is None:
-        total_tokens = int(0.97 * min((x["cap"] * x["tokens"] * whole / x["share"] for x in sources), default=0))
-    table = spark.createDataFrame([(k, x["source"], x["cap"], x["blocks"]) for k, x in enumerate(sources)], "s int, source string, cap int, blocks bigint")
-    drawn = drawn_slots(spark, sources, max(0, total_tokens // block_tokens), shard_slots, seed) if sources else spark.createDataFrame([], "shard bigint, s int, n bigint")
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0").join(F.broadcast(table), "s")
-    slots = numbered.select("s", "source", "cap", "blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
-    slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("bigint"))
-    placed = slots.where("turn < cap").withColumn("block", permuted_index(F.col("slot") % F.col("blocks"), F.col("blocks"), F.abs(F.hash(F.lit(seed), "s", "turn")).cast("bigint")))
+    most = int(min((x["cap"] * x["blocks"] * whole / x["share"] for x in sources), default=0))
+    slots = most if total_tokens is None else max(0, total_tokens // block_tokens)
+    counts = apportioned([x["share"] for x in sources], [x["cap"] * x["blocks"] for x in sources], slots)
+    table = spark.createDataFrame([(k, x["source"], x["blocks"], n) for k, (x, n) in enumerate(zip(sources, counts, strict=True))], "s int, source string, blocks bigint, slots_drawn bigint")
+    drawn = drawn_slots(spark, counts, shard_slots, seed) if sum(counts) else spark.createDataFrame([], "shard bigint, s int, first bigint, n bigint")
+    taken = drawn.join(F.broadcast(table), "s").select("s", "source", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    turn = F.floor(F.col("slot") / F.col("blocks")).cast("bigint")
+    placed = taken.withColumn("block", permuted_index(F.col("slot") % F.col("blocks"), F.col("blocks"), F.abs(F.hash(F.lit(seed), "s", turn)).cast("bigint")))
     uses = placed.groupBy("source", "block").agg(F.count("*").alias("uses"))
     end = F.col("start") + F.col("n_tokens")
     pieces = packed(sized).select("doc_id", "source", "n_tokens", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((end - 1) / block_tokens))).alias("block"))
     within = F.least(F.col("end"), (F.col("block") + 1) * block_tokens) - F.greatest(F.col("start"), F.col("block") * block_tokens)
     used = pieces.withColumn("within", within).join(uses, ["source", "block"])
-    chosen = cut(used.groupBy("doc_id", "source", "n_tokens").agg(F.max("uses").alias("repeats"), F.sum(F.col("within") * F.col("uses")).alias("used_tokens")))
-    sums = chosen.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("used_tokens").alias("used_tokens"), F.max("repeats").alias("max_used"))
-    slot_sums = slots.groupBy("source").agg(F.count("*").alias("slots_drawn"), F.count_if(F.col("turn") >= F.col("cap")).alias("slots_over_cap"))
-    total = chosen.agg(F.sum("used_tokens").alias("n")).collect()[0]["n"]
-    available = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
-    zero = F.lit(0).cast("bigint")
-    reached = targets.select("source", "target_share", "max_repeats").join(available, "source", "left").join(sums, "source", "left").join(slot_sums, "source", "left").select(
-        "source", "target_share", "max_repeats", *[F.coalesce(c, zero).alias(c) for c in ("n_documents", "available_tokens", "used_tokens")],
-        F.coalesce(F.col("used_tokens") / F.lit(float(total or 1)), F.lit(0.0)).alias("reached_share"), *[F.coalesce(c, zero).alias(c) for c in ("max_used", "slots_drawn", "slots_over_cap")],
-    )
-    return chosen, reached
+    chosen = used.groupBy("doc_id", "source", "n_tokens").agg(F.max("uses").alias("repeats"), F.sum(F.col("within") * F.col("uses")).alias("used_tokens"))
+    return Mix(targets, sized, table.select("source", "slots_drawn"), chosen)

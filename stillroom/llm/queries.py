@@ -9,7 +9,7 @@ from stillroom.llm.components import components
 from stillroom.llm.confusables import disguised, normalized
 from stillroom.llm.leakage import leaks
 from stillroom.llm.mapping import map_values
-from stillroom.llm.mixing import mix
+from stillroom.llm.mixing import Mix, mix
 from stillroom.llm.quality import judged, known_words, text_statistics, train
 from stillroom.llm.titles import pairs_within, product_groups
 from stillroom.sources.tables import cut, table
@@ -79,16 +79,16 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.join(table(spark, d, "eval_items", "item_id", "suite"), "item_id")
 
 
-def mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def mixture(spark: SparkSession, d: str) -> Mix:
     return mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture(spark, d)[0]
+    return mixture(spark, d).chosen
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture(spark, d)[1]
+    return mixture(spark, d).reached()
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
