@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillroom.functions.unicode import simple_plain
+from stillroom.llm.markup import TAG
 
-# Beyond one line or 300 characters only what has the form of attributes is a tag, so that no text between a stray < and a quoting sign is lost.
-TAG = re.compile(r"""</?[a-zA-Z][^<>\n]{0,300}>|<[a-zA-Z][\w:-]*+(?:\s++[\w:@.-]++\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))++\s*+/?>|<!--|-->""")
 ESCAPED = re.compile(r"\\[ntr\"'/]")
 BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n[\s>*/#%;|'!-]*(?=\w)")
 INSIDE = re.compile(r"(?<=\w)[-'](?=\w)")
@@ -138,38 +137,56 @@ def contains(words: list[str], part: list[str]) -> bool:
     return bool(part) and any(words[i : i + n] == part for i in range(len(words) - n + 1))
 
 
-def search(index: Index, words: list[str]) -> dict[int, int]:
-    """{item: words of the longest verified run} of a document. Passages overlap by RUN - 1 words; one whose terms cannot reach 1 together is passed over."""
-    most, total, reach = index.most, 0.0, [0.0]
-    for w in words:
-        total += most.get(w, 0.0)
-        reach.append(total)
-    best: dict[int, int] = {}
-    for start in range(0, max(1, len(words) - RUN + 1), PASSAGE - RUN + 1):
-        end = min(len(words), start + PASSAGE)
-        if reach[end] - reach[start] < 0.999:
-            continue
-        candidates = set(index.above({w for w in words[start:end] if w in most}))
-        if not candidates:
+def stretches(most: dict[str, float], words: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the longest stretches of words that all stand in the index: a run of an item's words never goes beyond one."""
+    start, n = 0, len(words)
+    while start + RUN <= n:
+        # Of the next RUN words the last unknown one is looked for first: no run can begin up to it.
+        end = start + RUN - 1
+        while end >= start and words[end] in most:
+            end -= 1
+        if end >= start:
+            start = end + 1
             continue
-        for p in range(start, end - RUN + 1):
-            for k, q in index.runs.get(tuple(words[p : p + RUN]), ()):
-                if k in candidates and (p == 0 or q == 0 or words[p - 1] != index.items[k][1][q - 1] or best.get(k, 0) < RUN):
-                    own, n = index.items[k][1], RUN
-                    while p + n < len(words) and q + n < len(own) and words[p + n] == own[q + n]:
-                        n += 1
-                    best[k] = max(best.get(k, 0), n)
+        end = start + RUN
+        while end < n and words[end] in most:
+            end += 1
+        yield start, end
+        start = end + 1
+
+
+def search(index: Index, words: list[str]) -> dict[int, int]:
+    """{item: words of the longest verified run} of a document. Its stretches of indexed words are cut into passages that overlap by RUN - 1 words, and every
+    passage is a query; one whose terms cannot reach 1 together is passed over."""
+    most, best = index.most, {}
+    for first, last in stretches(most, words):
+        for start in range(first, last - RUN + 1, PASSAGE - RUN + 1):
+            end = min(last, start + PASSAGE)
+            terms = set(words[start:end])
+            if sum(map(most.__getitem__, terms)) < 0.999:
+                continue
+            candidates = set(index.above(terms))
+            if not candidates:
+                continue
+            for p in range(start, end - RUN + 1):
+                for k, q in index.runs.get(tuple(words[p : p + RUN]), ()):
+                    if k in candidates and (p == 0 or q == 0 or words[p - 1] != index.items[k][1][q - 1] or best.get(k, 0) < RUN):
+                        own, n = index.items[k][1], RUN
+                        while p + n < len(words) and q + n < len(own) and words[p + n] == own[q + n]:
+                            n += 1
+                        best[k] = max(best.get(k, 0), n)
     return best
 
 
 def leaks(documents: DataFrame, items: DataFrame, shard_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, run_words, item_words, answer_found) for every document that holds at least RUN consecutive words of an item.
+    """(doc_id, item_id, run_words, item_words, answer_found, leak) for every document that holds at least RUN consecutive words of an item.
 
     The items, by their nature few, are indexed in shards of at most ``shard_items``; each shard is small enough to be sent to every task, and the
     documents are scanned once for each shard. Documents never move: the search is a map over them, whole texts, of any length and number.
 
     Null or empty texts and items of fewer than RUN words match nothing; repeated rows give one row. answer_found tells whether the item's answer
-    stands in the document too, as consecutive words.
+    stands in the document too, as consecutive words; leak is 'whole' if all of the passage is there and its answer too, 'passage' if all of it without the answer,
+    'part with answer' or 'part'.
     """
     chosen = items.select("item_id", "text", "answer").distinct()
     shards = max(1, math.ceil(chosen.count() / shard_items))
@@ -194,4 +211,6 @@ def leaks(documents: DataFrame, items: DataFrame, shard_items: int = 20_000) ->
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"), F.max("answer_found").alias("answer_found"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"), F.max("answer_found").alias("answer_found"))
+    all_ = F.col("run_words") == F.col("item_words")
+    return best.withColumn("leak", F.when(all_ & F.col("answer_found"), "whole").when(all_, "passage").when(F.col("answer_found"), "part with answer").otherwise("part"))

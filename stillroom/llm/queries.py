@@ -75,7 +75,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     """The items that leaked, how often and how far."""
-    found = leak_rows(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.count_if("answer_found").alias("with_answer"))
+    found = leak_rows(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run_words").alias("longest_run"), F.count_if("answer_found").alias("with_answer"), F.count_if(F.col("leak") == "whole").alias("whole"))
     return found.join(table(spark, d, "eval_items", "item_id", "suite"), "item_id")
 
 

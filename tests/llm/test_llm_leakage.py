@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from stillroom.llm.leakage import RUN, Index, leaks, search, words_of
+from stillroom.llm.leakage import RUN, Index, leaks, search, stretches, words_of
 
 ITEM = "In 1849 the archivist Ilvana of Pellingrad bought 73 bundles of hop bines for 64 marks apiece and the bell-founder Urmas-Ken kept the rest."
 
@@ -77,3 +77,17 @@ def test_long_and_broken_tags_are_no_words(tag):
 
 def test_text_after_a_stray_sign_stays():
     assert words_of("if n <m\n" + ITEM + "\n> quoted")[-len(words_of(ITEM)) - 1 : -1] == words_of(ITEM)
+
+
+def test_tags_of_any_length_and_text_that_only_looks_like_one():
+    inside = "word " * 100
+    assert words_of(f"one <a href='x' title='{inside}'> two <p {inside}= > three") == ["one", "two", "three"]
+    assert words_of("one <td nowrap> two </td > three <https://x.example/y> four <br/> five <!-- six") == ["one", "two", "three", "four", "five", "six"]
+    assert words_of("is a <b and c\n> quoted") == ["is", "a", "b", "and", "c", "quoted"]
+
+
+def test_stretches():
+    known = dict.fromkeys("abc", 1.0)
+    words = list("abc" * 5) + ["x"] + list("ab" * 6) + ["y", "z"] + list("cab" * 5)
+    assert list(stretches(known, words)) == [(0, 15), (30, 45)]
+    assert list(stretches(known, [])) == list(stretches(known, list("abc" * 4))) == []
