@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillroom.llm.boosting import Boosted, fit
+from stillroom.llm.markup import TAG
 
 KINDS = ("prose", "list", "table", "junk")
 #: The statistics, in the order of the model's columns. The first five are those asked for by name.
@@ -27,83 +29,86 @@ INDENTED = re.compile(r"(?:(?<=\n)|\A)(?: {4}|\t)[^\n]*(?=[(){}\[\];=<>$:#]|Erro
 ROW = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.S | re.I)
 CELL = re.compile(r"<t[dh]\b[^>]*>(.*?)(?=</t[dh]>|<t[dh]\b|\Z)", re.S | re.I)
 LINK = re.compile(r"https?://\S+")
-TAGS = re.compile(r"</?[a-zA-Z][^<>\n]{0,300}>")
 BULLET = re.compile(r"^\s*(?:[-*+•·‣▪–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 ENDS = re.compile(r"[.!?:;…][\"')\]»”*_]*$")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 GAPS = re.compile(r"\s{2,}")
-VOWELS = re.compile("[aeiouyäöüáéíóúàèìòùâêîôû]")
+# Vowels of the corpus' languages.
+PLAIN_VOWELS, VOWELS = "aeiouy", "aeiouyäöüáéíóúàèìòùâêîôû"
+
+
+# What is not letter or digit; words that hold a digit; signs that may stand around a word of letters.
+SYMBOLS, DIGITS, NUMBERED = re.compile(r"[\W_]+"), re.compile(r"\d+"), re.compile(r"(?<!\S)[^\s\d]*+\d")
+AROUND = ".,;:!?()[]\"'*_"
 
 
 def cells_of(line: str) -> int:
-    """The number of cells that a line falls into by its most frequent separator; 1 if there is none."""
+    """The number of cells that a line falls into by its most frequent separator; 1 if there is none. Commas and semicolons separate without a blank after them."""
     bare = line.strip()
-    counts = [bare.count("\t") + 1, bare.strip("|").count("|") + 1]
-    for mark in ",;":
-        # As separators these stand without a blank after them.
-        counts.append(len(re.findall(rf"{mark}(?! )", bare)) + 1)
-    counts.append(len(GAPS.split(bare)))
-    return max(counts)
+    gaps = len(GAPS.findall(bare)) if "  " in bare or not bare.isascii() or "\t" in bare else 0
+    return 1 + max(bare.count("\t"), bare.strip("|").count("|"), bare.count(",") - bare.count(", "), bare.count(";") - bare.count("; "), gaps)
 
 
 def statistics(text: str | None, common: dict[str, frozenset]) -> list[float]:
-    """The statistics of one text, each a finite number. Code is set aside and counted as code_ratio; a text that is code only is judged as it stands."""
+    """The statistics of one text, each a finite number. Code is set aside and counted as code_ratio; a text that is code only is judged as it stands.
+
+    Counts are taken over whole strings where they can be, so that Python's loops run over lines and not over letters and words.
+    """
     text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
     body = ROW.sub(lambda m: "\n" + "\t".join(c.strip() or " " for c in CELL.findall(m[1])) + "\n", text) if "<tr" in text.lower() else text
-    prose = INDENTED.sub("", FENCED.sub("\n", body))
+    prose = FENCED.sub("\n", body) if "`" in body or "<" in body else body
+    if "    " in prose or "\t" in prose:
+        prose = INDENTED.sub("", prose)
     code = 1 - len(prose) / len(body) if body else 0.0
     if not prose.strip():
         prose = body
-    prose = TAGS.sub(" ", prose) if "<" in prose else prose
+    prose = TAG.sub(" ", prose) if "<" in prose else prose
     prose = html.unescape(prose) if "&" in prose else prose
-    plain = LINK.sub("link", prose)
+    plain = LINK.sub("link", prose) if "http" in prose else prose
     lines = [x for x in plain.split("\n") if x.strip()]
-    words = plain.split()
-    letters = [w.lower() for w in WORD.findall(plain)]
+    words, spoken = plain.split(), [WORD.findall(x.lower()) for x in lines]
+    letters = list(chain.from_iterable(spoken))
     joined = "".join(words)
     n, solid = max(1, len(words)), max(1, len(joined))
-    shares = [sum(w in known for w in letters) / max(1, len(letters)) for known in common.values()]
+    shares = [sum(map(known.__contains__, letters)) / max(1, len(letters)) for known in common.values()]
     line_words = [len(x.split()) for x in lines]
-    bulleted = [bool(BULLET.match(x)) for x in lines]
-    cells = [cells_of(BULLET.sub("", x)) for x in lines]
+    bulleted = [BULLET.match(x) for x in lines]
+    cells = [cells_of(x[m.end() :] if m else x) for x, m in zip(lines, bulleted, strict=True)]
     wide = [c for c in cells if c >= 2]
     regular = max(Counter(wide).values()) if wide else 0
-    known_words = common.get("", frozenset()).union(*common.values()) if common else frozenset()
-    sentences = sum(1 for x, k in zip(lines, line_words, strict=True) if k >= 4 and not known_words.isdisjoint(WORD.findall(x.lower())))
+    known_words = frozenset().union(*common.values())
+    sentences = sum(1 for own, k in zip(spoken, line_words, strict=True) if k >= 4 and not known_words.isdisjoint(own))
     many = max(1, len(lines))
     packed = plain.encode("utf-8", "replace")
-    alpha = [w for w in words if w.strip(".,;:!?()[]\"'*_").replace("-", "").replace("'", "").isalpha()]
+    spelled = "".join(letters)
+    vowels = sum(map(spelled.count, PLAIN_VOWELS if spelled.isascii() else VOWELS))
+    alpha = sum(map(str.isalpha, words)) + sum(1 for w in words if not w.isalpha() and w.strip(AROUND).replace("-", "").replace("'", "").isalpha())
+    numbered = len(NUMBERED.findall(plain)) if DIGITS.search(joined) else 0
     return [
-        float(len(words)), sum(map(len, words)) / n, (len(joined) - sum(map(str.isalnum, joined))) / solid, sum(bool(ENDS.search(x.rstrip())) for x in lines) / many, max(shares, default=0.0),
-        float(len(lines)), sum(line_words) / many, sum(w <= 5 for w in line_words) / many, sum(bulleted) / many, len(wide) / many, regular / many,
-        sum(map(str.isdigit, joined)) / solid, len({w.lower() for w in words}) / n, len(VOWELS.findall("".join(letters))) / max(1, sum(map(len, letters))), len(alpha) / n,
+        float(len(words)), len(joined) / n, sum(map(len, SYMBOLS.findall(joined))) / solid, sum(bool(ENDS.search(x.rstrip())) for x in lines) / many, max(shares, default=0.0),
+        float(len(lines)), sum(line_words) / many, sum(w <= 5 for w in line_words) / many, sum(map(bool, bulleted)) / many, len(wide) / many, regular / many,
+        sum(map(len, DIGITS.findall(joined))) / solid, len(set(plain.lower().split())) / n, vowels / max(1, len(spelled)), alpha / n,
         len(zlib.compress(packed, 6)) / max(1, len(packed)), float(max(map(len, words), default=0)), plain.count("|") / n, sum(x.lstrip()[:1].isupper() for x in lines) / many, sentences / many,
-        (0 if joined.isascii() else len(joined) - len(joined.encode("ascii", "ignore"))) / solid, sum(any(map(str.isdigit, w)) for w in words) / n, code, sum(cells) / many, sum(not any(map(str.isalnum, x)) for x in lines) / many,
+        (0 if joined.isascii() else len(joined) - len(joined.encode("ascii", "ignore"))) / solid, numbered / n, code, sum(cells) / many, sum(not any(map(str.isalnum, x)) for x in lines) / many,
     ]
 
 
-def weak_label(s: dict[str, float]) -> str | None:
-    """A label where the statistics leave little doubt, else None: the model learns from these and decides the rest."""
-    words, lines = s["word_count"], s["n_lines"]
-    if words >= 15 and s["distinct_ratio"] < 0.12:
-        return "junk"
-    if s["common_ratio"] >= 0.25 and s["sentence_ratio"] >= 0.5 and s["mean_line_words"] >= 7:
-        return "prose"
-    if s["common_ratio"] >= 0.1 and s["line_end_ratio"] >= 0.2 and s["sentence_ratio"] >= 0.3 and s["mean_line_words"] >= 6 and s["distinct_ratio"] > 0.2 and s["alpha_word_ratio"] > 0.7:
-        return "prose"
-    if 0 < words <= 15 and lines <= 2 and s["line_end_ratio"] == 1 and s["capital_start_ratio"] == 1 and s["distinct_ratio"] > 0.7 and s["alpha_word_ratio"] > 0.8 and s["longest_word"] < 25:
-        return "prose"
-    if 0 < words <= 12 and lines <= 2 and s["symbol_ratio"] < 0.25 and s["longest_word"] < 25 and s["cell_line_ratio"] == 0 and s["bar_ratio"] == 0 and (s["common_ratio"] >= 0.1 or words <= 4):
-        return "prose"
-    if lines >= 4 and s["cell_regularity"] >= 0.8 and s["mean_cells"] >= 2.5 and s["sentence_ratio"] < 0.2:
-        return "table"
-    if lines >= 6 and s["short_line_ratio"] >= 0.85 and s["cell_line_ratio"] < 0.2 and s["sentence_ratio"] < 0.2 and s["common_ratio"] < 0.12 and s["line_end_ratio"] < 0.3 and s["distinct_ratio"] > 0.2 and s["vowel_ratio"] > 0.25 and s["longest_word"] < 35:
-        return "list"
-    if words > 0 and s["mean_word_length"] > 30 and s["common_ratio"] < 0.05 and s["cell_line_ratio"] < 0.2:
-        return "junk"
-    if lines <= 3 and words + s["longest_word"] >= 20 and s["common_ratio"] < 0.05 and s["sentence_ratio"] < 0.35 and s["code_ratio"] < 0.2:
-        return "junk"
-    return None
+def weak_labels(s: pd.DataFrame) -> pd.Series:
+    """A label where the statistics leave little doubt, else None: the model learns from these and decides the rest. The first rule that holds counts."""
+    words, lines, common, sentences = s["word_count"], s["n_lines"], s["common_ratio"], s["sentence_ratio"]
+    short = (words > 0) & (lines <= 2) & (s["longest_word"] < 25)
+    rules = [
+        ("junk", (words >= 15) & (s["distinct_ratio"] < 0.12)),
+        ("prose", (common >= 0.25) & (sentences >= 0.5) & (s["mean_line_words"] >= 7)),
+        ("prose", (common >= 0.1) & (s["line_end_ratio"] >= 0.2) & (sentences >= 0.3) & (s["mean_line_words"] >= 6) & (s["distinct_ratio"] > 0.2) & (s["alpha_word_ratio"] > 0.7)),
+        ("prose", short & (words <= 15) & (s["line_end_ratio"] == 1) & (s["capital_start_ratio"] == 1) & (s["distinct_ratio"] > 0.7) & (s["alpha_word_ratio"] > 0.8)),
+        ("prose", short & (words <= 12) & (s["symbol_ratio"] < 0.25) & (s["cell_line_ratio"] == 0) & (s["bar_ratio"] == 0) & ((common >= 0.1) | (words <= 4))),
+        ("table", (lines >= 4) & (s["cell_regularity"] >= 0.8) & (s["mean_cells"] >= 2.5) & (sentences < 0.2)),
+        ("list", (lines >= 6) & (s["short_line_ratio"] >= 0.85) & (s["cell_line_ratio"] < 0.2) & (sentences < 0.2) & (common < 0.12) & (s["line_end_ratio"] < 0.3) & (s["distinct_ratio"] > 0.2) & (s["vowel_ratio"] > 0.25) & (s["longest_word"] < 35)),
+        ("junk", (words > 0) & (s["mean_word_length"] > 30) & (common < 0.05) & (s["cell_line_ratio"] < 0.2)),
+        ("junk", (lines <= 3) & (words + s["longest_word"] >= 20) & (common < 0.05) & (sentences < 0.35) & (s["code_ratio"] < 0.2)),
+    ]
+    return pd.Series(np.select([r.to_numpy() for _, r in rules], [k for k, _ in rules], ""), dtype=object).replace("", None)
 
 
 def columns(rows: list[list[float]]) -> np.ndarray:
@@ -126,7 +131,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         for batch in batches:
             frame = pd.DataFrame(columns([statistics(t, common) for t in batch["text"]]), columns=list(STATS))
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            frame["weak_kind"] = pd.Series([weak_label(r) for r in frame.to_dict("records")], dtype=object)
+            frame["weak_kind"] = weak_labels(frame)
             yield frame
 
     return documents.select("doc_id", "text").where("doc_id is not null").mapInPandas(measure, STAT_SCHEMA + ", weak_kind string")
