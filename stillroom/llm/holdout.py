@@ -1,10 +1,25 @@
-"""Texts for the document classifier: a holdout written and labelled one by one, and made-up texts with the label of their maker."""
+"""Texts for the document classifier: documents labelled by hand, texts written and labelled one by one, and made-up texts with the label of their maker."""
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import random
 
+
+def labelled_documents(part: str) -> tuple[list[list[float]], list[str]]:
+    """(statistics, kinds) of the "calibration" or the "test" half of 217 documents that were read and labelled one by one; every second goes to the test.
+
+    They are the documents of each kind with the smallest hashes of their number, 137 of them not prose, and 40 by hash from all; the file holds their statistics,
+    no texts. It must be made anew when a statistic changes (a test compares it with the documents where they are at hand).
+    """
+    with open(os.path.join(os.path.dirname(__file__), "labelled.json"), encoding="utf-8") as lines:
+        rows = json.load(lines)["rows"]
+    own = rows[0::2] if part == "calibration" else rows[1::2]
+    return [r[2] for r in own], [r[1] for r in own]
+
+
 HOLDOUT: list[tuple[str, str]] = [
     ("I left the cider in the shed over winter and it turned out fine, but the second batch tastes of cork. What did I do differently?", "prose"),
     ("thanks, works now", "prose"),

@@ -145,12 +145,12 @@ def known_words(common_words: DataFrame) -> dict[str, frozenset]:
 
 
 def train(stats: DataFrame, common: dict[str, frozenset], sample: int = 1_500) -> Boosted:
-    """Gradient-boosted trees on weakly labelled documents, at most ``sample`` of each kind and four times as many of prose, and probabilities calibrated on the holdout labelled by hand.
+    """Gradient-boosted trees on weakly labelled documents, at most ``sample`` of each kind and four times as many of prose, and probabilities calibrated on real documents labelled by hand (``labelled_documents``).
 
     The sample is the documents with the smallest hashes of their id among those with a label: bounded, the same on every run, and drawn from all
     documents. Made-up structural junk and plain sentences, labelled as they are made, are added for kinds and layouts that a small corpus lacks.
     """
-    from stillroom.llm.holdout import HOLDOUT, made_up
+    from stillroom.llm.holdout import labelled_documents, made_up
 
     ranked = stats.withColumn("h", F.xxhash64("doc_id"))
     rows, kinds = [], []
@@ -162,8 +162,8 @@ def train(stats: DataFrame, common: dict[str, frozenset], sample: int = 1_500) -
         rows.append(statistics(text, common))
         kinds.append(KINDS.index(kind))
     model = fit(columns(rows), np.asarray(kinds), len(KINDS))
-    held = columns([statistics(t, common) for t, _ in HOLDOUT])
-    return model.calibrated(held, np.asarray([KINDS.index(k) for _, k in HOLDOUT]))
+    held, kinds_held = labelled_documents("calibration")
+    return model.calibrated(columns(held), np.asarray([KINDS.index(k) for k in kinds_held]))
 
 
 def judged(stats: DataFrame, model: Boosted) -> DataFrame:

@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 
 from stillroom.llm.boosting import fit
-from stillroom.llm.holdout import HOLDOUT, made_up
+from stillroom.llm.holdout import HOLDOUT, labelled_documents, made_up
 from stillroom.llm.quality import KINDS, STATS, columns, judged, known_words, statistics, text_statistics, train
 
 COMMON = {"en": frozenset("the a and or but if that this which it is are was be has have had i you we my your they to of in on at for with as by from not no so then than only first can should would do does what how why when".split()), "de": frozenset("der die das und es ist ich man nicht".split()), "hr": frozenset("i a ali se je na u za da ne to".split())}
@@ -47,7 +49,7 @@ def test_kinds_of_held_out_texts(spark, words):
     docs = spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(made_up(40, seed=99))] + [(9000, None, ""), (9001, "", ""), (None, "x", "")], "doc_id bigint, text string, kind string")
     stats = text_statistics(docs, words)
     model = train(stats, known_words(words))
-    held = columns([statistics(t, known_words(words)) for t, _ in HOLDOUT])
+    held = columns([statistics(t, known_words(words)) for t, _ in HOLDOUT])  # written texts, none of which the model saw
     assert (model.probabilities(held).argmax(axis=1) == [KINDS.index(k) for _, k in HOLDOUT]).mean() >= 0.9
     rows = judged(stats, model).collect()
     assert len(rows) == docs.count() - 1
@@ -59,3 +61,25 @@ def test_kinds_of_held_out_texts(spark, words):
 def test_empty(spark, words):
     stats = text_statistics(spark.createDataFrame([], "doc_id bigint, text string"), words)
     assert judged(stats, train(stats, known_words(words))).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="no test data here")
+def test_real_documents_labelled_by_hand(spark):
+    """The half that calibration didn't see; and the file's statistics are those of today."""
+    import json
+
+    import stillroom.llm.holdout as holdout
+
+    d = "/root/testdata/sf0.1"
+    words = spark.read.parquet(f"{d}/common_words.parquet")
+    stats = text_statistics(spark.read.parquet(f"{d}/documents.parquet"), words).cache()
+    model = train(stats, known_words(words))
+    held, kinds = labelled_documents("test")
+    p = model.probabilities(columns(held))
+    assert len(kinds) == 108 and (p.argmax(axis=1) == [KINDS.index(k) for k in kinds]).mean() >= 0.97
+    assert -np.log(p[np.arange(len(kinds)), [KINDS.index(k) for k in kinds]]).mean() < 0.1
+    with open(os.path.join(os.path.dirname(holdout.__file__), "labelled.json"), encoding="utf-8") as lines:
+        rows = {r[0]: r[2] for r in json.load(lines)["rows"]}
+    now = {r.doc_id: [r[s] for s in STATS] for r in stats.where(stats.doc_id.isin(list(rows))).collect()}
+    assert set(now) == set(rows)
+    assert all(np.allclose(now[i], rows[i], rtol=1e-4, atol=1e-6) for i in rows)
