@@ -14,7 +14,8 @@ from stillroom.sources.tables import cut
 
 def run_starts(entity: np.ndarray, payload: np.ndarray) -> np.ndarray:
     """Which unit intervals, sorted by entity and time, begin a run: neighbouring blocks of 1, 2, 4, ... units are merged pairwise, and where two
-    blocks meet, the right one's first run is absorbed if entity and payload are equal. Each border is met once, after log2(n) rounds all are."""
+    blocks meet, the right one's first run is absorbed if entity and payload are equal. Each border is met once, after log2(n) rounds all are; as the blocks of
+    a slice lie side by side, a merge is one comparison at their border. Between slices, runs themselves are merged (``merged_pairs``)."""
     n, width = len(entity), 1
     begins = np.ones(n, dtype=bool)
     while width < n:

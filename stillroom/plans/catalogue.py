@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from stillroom.operators.history import previous_values
 from stillroom.operators.ingest import backfilled, last_writes, merged, recorded_changes, without_categories, without_shops
 from stillroom.operators.lookup import looked_up, seeded, word_search
 from stillroom.plans.catalogue_sql import ORACLES  # noqa: F401
-from stillroom.sources.landing import dump, export_csv, export_json, file_slug, page_listings, read_groups, read_landing, restore, write_landing
+from stillroom.sources.landing import LAYOUTS, dump, export_csv, export_json, file_slug, page_listings, read_groups, read_landing, restore, write_landing
 from stillroom.sources.tables import cut, shared_folder, table
 
 TODAY = "2026-03-15"
@@ -351,6 +353,34 @@ def landing_slugs(spark, d):
     return rows.select("id", file_slug(F.concat(F.lit("landing/"), F.replace("file_slug", F.lit("/"), F.lit("-")), F.lit("_"), "name", F.lit(".json")), F.col("name")).alias("slug"))
 
 
+def shop_pages(spark, d) -> DataFrame:
+    """(page_id, shop, html): every shop's listings in its own layout, twenty a page."""
+    def quoted(c):
+        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&eacute;"))
+
+    rows = table(spark, d, "products", "id", "source_id", "title", "price_original", "product_url")
+    title, price = quoted(F.coalesce("title", F.lit(""))), quoted(F.coalesce("price_original", F.lit("")))
+    link = F.concat(F.lit('<a href="'), "product_url", F.lit('">link</a>'))
+    size = F.concat(F.lit("no "), F.col("id").cast("string"))
+    part = lambda before, text, after: F.concat(F.lit(before), text, F.lit(after))
+    shown = {
+        1: F.concat(F.lit('<li class="sc-5ce8ced0-0 bcCFxH">'), link, part('<h3 class="efPlgI sc-5ce8ced0-6">', title, "</h3>"), part('<span class="sc-7fb65671-2 icPbuR">', price, "</span>"), part('<span class="sc-5ce8ced0-9 QXiqi">', size, "</span></li>")),
+        2: F.concat(F.lit('<div class="c-product-card js-animated-element">'), link, part("<h6>", title, "</h6><div><b>-5%</b></div>"), part('<span class="woocommerce-Price-amount amount"><bdi>', price, "</bdi></span></div>")),
+        3: F.concat(F.lit('<div class="oe_product g-col-6 g-col-md-4 g-col-lg-3">'), link, part('<a class="text-decoration-none" href="/x">', title, "</a>"), part('<span class="oe_currency_value">', price, "</span>"), part('<span class="o_ribbons o_not_editable o_wsale_ribbon o_right">', size, "</span></div>")),
+        4: F.concat(F.lit('<div class="product-item" data-productid="1">'), link, part('<h2 class="product-title"><a href="/y">', title, "</a></h2>"), part('<span class="price actual-price">', price, "</span></div>")),
+        5: F.concat(F.lit('<div class="item single-product">'), link, part('<span class="product-name">', title, '</span><div class="price">'), part("<span>", price, "</span></div>"), part('<div class="custom-fields-field-1">', size, "</div></div>")),
+    }
+    item = reduce(lambda c, s: c.when(F.col("source_id") == s, shown[s]), list(shown)[1:], F.when(F.col("source_id") == 1, shown[1]))
+    return rows.groupBy(F.floor(F.col("id") / 20).alias("page_id"), F.col("source_id").alias("shop")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("id", item.alias("h")))).getField("h"), "\n").alias("html"))
+
+
+def parsed_shop_pages(spark, d):
+    """Every shop's pages read by its own layout."""
+    pages = cut(shop_pages(spark, d))
+    parts = [page_listings(pages.where(F.col("shop") == s).select("page_id", "html"), layout).select(F.lit(s).alias("shop"), "link", "title", "price", "size") for s, layout in LAYOUTS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def paged_listings(spark, d):
     """A shop's pages read in turn with the first page read a second time at the end, as a scan that starts over delivers them: every listing's last reading counts."""
     pages = pages_of(spark, d).withColumn("turn", F.col("page_id"))
@@ -457,5 +487,5 @@ QUERIES = {f.__name__: f for f in (
     current_prices, price_comparison, groups_view, browse_filtered, browse_page, browse_total, featured_savings, group_detail, singleton_detail, search_groups, search_filtered, search_total, suggestions_for_title, group_badges, group_images,
     category_counts, vendor_counts, landing_stats, landing_labels, cheapest_in_category, cheapest_hits, cheapest_of_category, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
     wrong_shop_check, mapping_check, review_queue, review_counts, review_history, match_table, normalized_titles, simple_titles, title_contents, parsed_prices, resolved_urls, fingerprints, parsed_pages, landing_slugs,
-    paged_listings, landed_listings, restored_listings, csv_listings, mapped_slugs, curated_groups, seeded_groups, image_backfill, exported_sources, snapshot_merge, deactivated, history_delta, listing_upsert, after_removals,
+    parsed_shop_pages, paged_listings, landed_listings, restored_listings, csv_listings, mapped_slugs, curated_groups, seeded_groups, image_backfill, exported_sources, snapshot_merge, deactivated, history_delta, listing_upsert, after_removals,
 )} | {f"browse_{s}": browsed(s) for s in ("price_asc", "price_desc", "name_asc", "name_desc", "savings_desc")}

@@ -170,4 +170,5 @@ u AS (SELECT coalesce(p.source_id, l.source_id) AS source_id, coalesce(p.id, l.p
 SELECT u.source_id, u.product_id, CASE WHEN landed THEN t ELSE title END AS title, CASE WHEN landed THEN n ELSE normalized_title END AS normalized_title, CASE WHEN landed THEN v ELSE volume_ml END AS volume_ml, CASE WHEN landed THEN new_price ELSE price END AS price, CASE WHEN landed THEN true WHEN live THEN false ELSE is_available END AS is_available,
   CASE WHEN landed THEN TIMESTAMPTZ '2026-03-15 00:00:00+00' ELSE last_seen_at END AS last_seen_at, CASE WHEN landed OR live THEN TIMESTAMPTZ '2026-03-15 00:00:00+00' ELSE updated_at END AS updated_at, (coalesce(out_of_stock_count, 0) + CASE WHEN live AND NOT landed THEN 1 ELSE 0 END)::INT AS out_of_stock_count, CASE WHEN fresh THEN 'inserted' WHEN landed THEN 'updated' WHEN live THEN 'deactivated' ELSE 'kept' END AS outcome FROM u""",
     "after_removals": f"WITH k AS (SELECT id, source_id, CASE WHEN category_id IN (SELECT id FROM categories WHERE slug = 'whisky') THEN NULL ELSE category_id END AS category_id FROM products WHERE source_id IN (SELECT id FROM sources WHERE is_active)), gone AS (SELECT id FROM products WHERE id NOT IN (SELECT id FROM k)), h AS (SELECT k.source_id, count(*)::BIGINT AS history FROM price_history h JOIN k ON k.id = h.product_id GROUP BY k.source_id), n AS (SELECT source_id, count(*)::BIGINT AS members FROM ({LONG}) WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM gone) GROUP BY source_id) SELECT k.source_id, count(*)::BIGINT AS listings, count(category_id)::BIGINT AS with_category, any_value(history) AS history, any_value(members) AS members FROM k LEFT JOIN h USING (source_id) LEFT JOIN n USING (source_id) GROUP BY k.source_id",
+    "parsed_shop_pages": f"SELECT source_id AS shop, product_url AS link, {TRIMMED.format('title')} AS title, {TRIMMED.format('price_original')} AS price, CASE WHEN source_id IN (1, 3, 5) THEN 'no ' || id END AS size FROM products WHERE {TRIMMED.format('title')} <> '' AND {TRIMMED.format('price_original')} <> ''",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,12 +62,52 @@ PLAIN = Layout(r'(?s)<div class="item">(.*?)</div>', (r"(?s)<h2[^>]*>(?:\s*<a[^>
 CARDS = Layout(r"(?s)<li class=\"card[^\"]*\">(.*?)</li>", (r'(?s)<a[^>]*class="name"[^>]*>(.*?)</a>',), (r"(?s)<ins>(.*?)</ins>", r"(?s)<b>(.*?)</b>"))
 
 
-def text_of(html: Column) -> Column:
-    """The text of a piece of markup: tags dropped, the commonest entities undone, blanks trimmed; null if nothing is left."""
-    bare = F.regexp_replace(html, r"<[^>]*>", "")
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(sign))
-    trimmed = F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
+def opening(part: str) -> str:
+    """A pattern for the opening tag of tag.class.class, up to its end; the classes may stand in any order among others."""
+    tag, *classes = part.split(".")
+    return rf"<{tag}\b" + "".join(rf"""(?=[^>]*\sclass="[^"]*(?<![\w-]){re.escape(c)}(?![\w-]))""" for c in classes) + "[^>]*>"
+
+
+def inner(selector: str) -> str:
+    """A pattern whose group is what stands in the first element that a chain of tag.class parts names."""
+    parts = selector.split()
+    return "(?s)" + ".*?".join(map(opening, parts)) + f"(.*?)</{parts[-1].split('.')[0]}>"
+
+
+def by_selectors(item: str, title: str, price: tuple[str, ...], size: tuple[str, ...] = (), image: str = "img") -> Layout:
+    """A layout by selectors: an item goes from its opening tag to the next one's."""
+    source = lambda name, start="": "(?s)" + ".*?".join(map(opening, image.split()[:-1])) + (".*?" if " " in image else "") + opening(image.split()[-1])[:-5] + rf"""[^>]*\s{name}="({start}[^"]*)\""""
+    return Layout(rf"(?s){opening(item)}(.*?)(?={opening(item)}|\z)", (inner(title),), tuple(map(inner, price)), size=tuple(map(inner, size)), image=(source("src", "http"), source("data-[a-z]+"), source("src")))
+
+
+# How the pages of shops 1 to 5 name their parts.
+LAYOUTS = {
+    1: by_selectors("li.sc-5ce8ced0-0.bcCFxH", "h3.sc-5ce8ced0-6.efPlgI", ("span.sc-7fb65671-2.icPbuR",), ("span.sc-5ce8ced0-9.QXiqi",)),
+    2: by_selectors("div.c-product-card.js-animated-element", "h6", ("span.woocommerce-Price-amount.amount",), image="div.c-product-card__image-wrapper img"),
+    3: by_selectors("div.oe_product.g-col-6.g-col-md-4.g-col-lg-3", "a.text-decoration-none", ("span.oe_currency_value",), ("span.o_ribbons.o_not_editable.o_wsale_ribbon.o_right",), "span.oe_product_image_img_wrapper_primary img"),
+    4: by_selectors("div.product-item", "h2.product-title a", ("span.price.actual-price",), image="img.picture-img"),
+    5: by_selectors("div.item.single-product", "span.product-name", ("span.price-new", "div.price span"), ("div.custom-fields-field-1",), "div.image img"),
+}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references undone once, named ones of HTML 4 and numbers; others stay as they are."""
+    named = F.create_map(*[F.lit(x) for name, code in html.entities.name2codepoint.items() for x in (name, chr(code))])
+
+    def one(piece: Column) -> Column:
+        name, number, hexa = (F.regexp_extract(piece, p, 1) for p in (r"^([A-Za-z][A-Za-z0-9]*);", r"^#(\d{1,7});", r"^#[xX]([0-9a-fA-F]{1,6});"))
+        code = F.coalesce(F.nullif(number, F.lit("")).cast("bigint"), F.conv(F.nullif(hexa, F.lit("")), 16, 10).cast("bigint"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        sign = F.coalesce(F.try_element_at(named, name), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.when(sign.isNotNull(), F.concat(sign, F.substring(piece, F.instr(piece, ";") + 1, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.when(text.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))).otherwise(text)
+
+
+def text_of(markup: Column) -> Column:
+    """The text of a piece of markup: tags dropped, character references undone, blanks trimmed; null if nothing is left."""
+    trimmed = F.regexp_replace(unescaped(F.regexp_replace(markup, r"<[^>]*>", "")), r"(?U)^\s+|\s+$", "")
     return F.nullif(trimmed, F.lit(""))
 
 

@@ -112,3 +112,11 @@ def test_every_listing_may_give_and_take_an_image(spark, tmp_path):
 
     spark.createDataFrame([(1, "a", None), (2, "b", "y"), (3, "a", "x"), (4, "b", None), (5, "c", None), (6, None, None)], "id int, title string, image_url string").write.parquet(str(tmp_path / "products.parquet"))
     assert {(r.id, r.image_url) for r in image_backfill(spark, str(tmp_path)).collect()} == {(1, "x"), (2, "y"), (3, "x"), (4, "y"), (5, None), (6, None)}
+
+
+def test_character_references(spark):
+    from stillroom.sources.landing import text_of
+
+    cases = {"a &amp;lt; b": "a &lt; b", "caf&eacute; &#8211; &#x20AC;5 &nbsp;": "café – €5", "&unknown; & co": "&unknown; & co", "&#0;&#55555;": "&#0;&#55555;", "<b> </b>": None, "": None, "&": "&"}
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", text_of(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [*cases.values()]
