@@ -59,11 +59,11 @@ def key_classes(members: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noq
 
 
 def prefixes(classes: DataFrame, field: str, least: float) -> DataFrame:
-    """(category_id, bucket, element, node, size, place) of the elements by which a set can be found: of its elements, rarest first, the first
-    size - ceil(least * size) + 1. Two sets with a Jaccard of at least ``least`` share one of them. place counts from 1."""
+    """(category_id, bucket, element, node, size, place) of the elements by which a set can be found: of its elements, those rarest in its bucket first, the first
+    size - ceil(least * size) + 1. Two sets of a bucket with a Jaccard of at least ``least`` share one of them. place counts from 1."""
     elements = classes.select("category_id", "bucket", "node", F.size(field).alias("size"), F.explode(field).alias("element"))
-    df = elements.groupBy("element").agg(F.count("*").alias("df"))
-    ordered = elements.join(df, "element").groupBy("category_id", "bucket", "node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("o"))
+    df = elements.groupBy("category_id", "bucket", "element").agg(F.count("*").alias("df"))
+    ordered = elements.join(df, ["category_id", "bucket", "element"]).groupBy("category_id", "bucket", "node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("o"))
     keep = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
     return ordered.select("category_id", "bucket", "node", "size", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("place", "x")).select("category_id", "bucket", "node", "size", F.col("x.element").alias("element"), (F.col("place") + 1).alias("place"))
 
