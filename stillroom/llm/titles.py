@@ -151,28 +151,32 @@ def code_of(codes: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
 
 
-def later_two(sets: DataFrame) -> DataFrame:
-    """Every two of the sorted ``items`` as (x, y) beside the other columns; one item at a time, so that a set of any size fits."""
-    first = sets.select("*", F.posexplode("items").alias("at", "x"))
-    return first.select("*", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("y")).drop("items", "at")
+def sent_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """The rows, counted, marked for broadcast if there are so few that they are sure to fit; else left to a shuffle. The result is the same."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
 
 
 def left_out(sets: DataFrame) -> DataFrame:
     """(code, left) for each k-combination of a set of tokens (code, codes), k from size - 3 (at least 1) to size - 1, by the codes that it leaves out.
 
     Only what FILLER_SETS sets hold can be a filler, and then each part of it is held by as many: tokens that are rarer take no part, two only if each is common,
-    three only if each two are common together. That loses no filler and keeps the combinations of long titles few.
+    three only if each two are common together. That loses no filler and keeps the combinations of long titles few. A set's combinations are made one
+    after the other, so that a set of any size fits.
     """
-    singles = sets.select("code", F.explode("codes").alias("x"))
-    frequent = singles.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= FILLER_SETS).select("x")
-    common = cut(singles.join(frequent, "x").groupBy("code").agg(F.array_sort(F.collect_list("x")).alias("items")))
-    twos = later_two(common)
-    together = cut(twos.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= FILLER_SETS).select("x", "y"))
-    pairs = cut(twos.join(together, ["x", "y"]).select("code", "x", "y"))
-    after = pairs.groupBy("code", F.col("x").alias("w")).agg(F.array_sort(F.collect_list("y")).alias("items"))
-    threes = later_two(after).join(together, ["x", "y"], "left_semi")
-    left = common.select("code", F.explode("items").alias("x")).select("code", F.array("x").alias("left")), pairs.select("code", F.array("x", "y").alias("left")), threes.select("code", F.array("w", "x", "y").alias("left"))
-    return left[0].unionByName(left[1]).unionByName(left[2])
+    enough = F.col("n") >= FILLER_SETS
+    singles = sets.select("code", F.size("codes").alias("size"), F.explode("codes").alias("x"))
+    frequent = sent_if_small(singles.groupBy("x").agg(F.count("*").alias("n")).where(enough).select("x"))
+    common = cut(singles.join(frequent, "x").groupBy("code", "size").agg(F.array_sort(F.collect_list("x")).alias("items")))
+    ones = common.select("code", "size", "items", F.posexplode("items").alias("at", "x"))
+    after = F.slice("items", F.col("at") + 2, F.size("items"))
+    twos = ones.select("code", "size", "x", F.col("at"), "items", F.posexplode(after).alias("further", "y"))
+    together = sent_if_small(twos.groupBy("x", "y").agg(F.count("*").alias("n")).where(enough).select("x", "y"))
+    pairs = twos.join(together, ["x", "y"])
+    threes = pairs.select("code", "size", "x", "y", F.explode(F.slice("items", F.col("at") + F.col("further") + 3, F.size("items"))).alias("z"))
+    threes = threes.join(together.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"], "left_semi").join(together.select("x", F.col("y").alias("z")), ["x", "z"], "left_semi")
+    parts = [rows.where(F.col("size") > len(c)).select("code", F.array(*c).alias("left")) for rows, c in ((ones, ["x"]), (pairs, ["x", "y"]), (threes, ["x", "y", "z"]))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def fillers_of(sets: DataFrame) -> DataFrame:
@@ -181,13 +185,13 @@ def fillers_of(sets: DataFrame) -> DataFrame:
     What a k-combination leaves out is a filler if the combination is a listed title of its own often enough: shops put sales words, kinds and tails of firms
     beside a title at will, while a variant seldom has all else equal beside it. A set that would be left empty keeps its tokens.
     """
-    sizes = sets.select("code", F.size("codes").alias("size"))
-    parts = cut(left_out(sets).join(sizes, "code").where(F.col("size") > F.size("left")))
+    parts = left_out(sets)
     votes = parts.select("left", F.col("code").bitwiseXOR(code_of(F.col("left"))).alias("code")).join(sets.select("code", F.lit(1).alias("listed")), "code", "left")
     tally = votes.groupBy("left").agg(F.count("*").alias("sets"), F.count("listed").alias("listed"))
-    fillers = tally.where((F.col("sets") >= FILLER_SETS) & (F.col("listed") >= FILLER_SHARE * F.col("sets"))).select("left")
-    dropped = parts.join(fillers, "left").groupBy("code").agg(F.array_distinct(F.flatten(F.collect_list("left"))).alias("dropped"), F.first("size").alias("size"))
-    return cut(dropped.where(F.size("dropped") < F.col("size")).drop("size"))
+    fillers = sent_if_small(tally.where((F.col("sets") >= FILLER_SETS) & (F.col("listed") >= FILLER_SHARE * F.col("sets"))).select("left"))
+    dropped = parts.join(fillers, "left").groupBy("code").agg(F.array_distinct(F.flatten(F.collect_list("left"))).alias("dropped"))
+    whole = dropped.join(sets.select("code", F.size("codes").alias("size")), "code")
+    return cut(whole.where(F.size("dropped") < F.col("size")).drop("size"))
 
 
 def without_fillers(named: DataFrame) -> DataFrame:
@@ -202,7 +206,7 @@ def without_fillers(named: DataFrame) -> DataFrame:
     cores = cut(first.select("identity", "tokens", F.xxhash64("age", "vintage").alias("marks"), codes.alias("codes")))
     while True:
         coded = cores.withColumn("code", F.col("marks").bitwiseXOR(code_of(F.col("codes"))))
-        dropped = fillers_of(coded.groupBy("code").agg(F.first("codes").alias("codes")))
+        dropped = fillers_of(cut(coded.groupBy("code").agg(F.first("codes").alias("codes"))))
         if dropped.isEmpty():
             return cores.select("identity", F.filter("tokens", lambda t: F.array_contains("codes", F.xxhash64(t))).alias("tokens"))
         left = F.when(F.col("dropped").isNotNull(), F.array_except("codes", "dropped")).otherwise(F.col("codes"))
