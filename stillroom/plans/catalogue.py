@@ -173,6 +173,11 @@ def price_history_window(spark, d):
     return table(spark, d, "price_history", "id", "product_id", "price", "recorded_at").where(F.col("recorded_at") >= F.to_timestamp(F.lit(TODAY)) - F.expr("INTERVAL 30 DAYS"))
 
 
+def listing_history(spark, d):
+    """The last thirty days of one listing (here the one with most rows), oldest first: a look-up by key, which reaches the scan as a filter."""
+    return price_history_window(spark, d).where("product_id = 1").orderBy("recorded_at", "id").select("id", "price", "recorded_at")
+
+
 def recent_changes(spark, d):
     """Listings with a history row in the last week."""
     seen = price_history_window(spark, d).where(F.col("recorded_at") >= F.to_timestamp(F.lit(TODAY)) - F.expr("INTERVAL 7 DAYS")).select(F.col("product_id").alias("id")).distinct()
@@ -485,7 +490,7 @@ def after_removals(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     current_prices, price_comparison, groups_view, browse_filtered, browse_page, browse_total, featured_savings, group_detail, singleton_detail, search_groups, search_filtered, search_total, suggestions_for_title, group_badges, group_images,
-    category_counts, vendor_counts, landing_stats, landing_labels, cheapest_in_category, cheapest_hits, cheapest_of_category, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, recent_changes, price_drops, shop_pair_differences, orphan_check,
+    category_counts, vendor_counts, landing_stats, landing_labels, cheapest_in_category, cheapest_hits, cheapest_of_category, word_hits, price_steps, title_lookup, shop_counts, avg_by_category, avg_by_category_shop, price_history_window, listing_history, recent_changes, price_drops, shop_pair_differences, orphan_check,
     wrong_shop_check, mapping_check, review_queue, review_counts, review_history, match_table, normalized_titles, simple_titles, title_contents, parsed_prices, resolved_urls, fingerprints, parsed_pages, landing_slugs,
     parsed_shop_pages, paged_listings, landed_listings, restored_listings, csv_listings, mapped_slugs, curated_groups, seeded_groups, image_backfill, exported_sources, snapshot_merge, deactivated, history_delta, listing_upsert, after_removals,
 )} | {f"browse_{s}": browsed(s) for s in ("price_asc", "price_desc", "name_asc", "name_desc", "savings_desc")}

@@ -131,6 +131,7 @@ ORACLES = {
     "avg_by_category": "SELECT c.name, round(avg(p.price::DOUBLE), 4) AS avg_price, count(*)::BIGINT AS listings FROM products p JOIN categories c ON p.category_id = c.id WHERE p.price IS NOT NULL GROUP BY c.name",
     "avg_by_category_shop": "SELECT c.name AS category, s.name AS shop, round(avg(p.price::DOUBLE), 4) AS avg_price FROM products p JOIN categories c ON p.category_id = c.id JOIN sources s ON p.source_id = s.id WHERE p.price IS NOT NULL GROUP BY c.name, s.name",
     "price_history_window": f"SELECT id, product_id, price, recorded_at FROM price_history WHERE recorded_at >= {MONTH}",
+    "listing_history": f"SELECT id, price, recorded_at FROM price_history WHERE recorded_at >= {MONTH} AND product_id = 1",
     "recent_changes": f"SELECT DISTINCT p.id, p.title, p.price FROM products p JOIN price_history h ON h.product_id = p.id WHERE h.recorded_at >= {WEEK}",
     "price_drops": f"SELECT h.id AS history_id, p.id, p.title, p.price AS current_price, h.price AS old_price, (h.price - p.price)::DECIMAL(10, 2) AS saved, round((h.price - p.price)::DOUBLE / h.price::DOUBLE * 100, 2) AS discount_percent FROM products p JOIN price_history h ON h.product_id = p.id WHERE h.recorded_at >= {WEEK} AND p.price < h.price ORDER BY saved DESC, h.id LIMIT 20",
     "shop_pair_differences": PM + ", r AS (SELECT om.match_id, om.source_id, p.price::DOUBLE AS price FROM om JOIN products p ON p.id = om.product_id WHERE p.is_available AND p.price > 0) SELECT a.source_id AS source_a, b.source_id AS source_b, count(*)::BIGINT AS shared, round(avg(abs(a.price - b.price)), 4) AS mean_difference FROM r a JOIN r b ON a.match_id = b.match_id AND a.source_id < b.source_id GROUP BY a.source_id, b.source_id",

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stillroom.functions.titles import COMPARED_NOISE, COMPARED_VARIANTS, NOISE, VARIANTS, match_tokens, normalized_title
+from stillroom.functions.titles import COMPARED_NOISE, COMPARED_VARIANTS, NOISE, VARIANTS, fingerprint, match_tokens, normalized_title
 from stillroom.operators.graph import smallest_label
 from stillroom.operators.groups import confirmed_matches
 from stillroom.operators.lookup import queued
 from stillroom.operators.matching import MATCH, MATCHERS, NEAR, agreement, bucketed, clusters, edges, idf, key_classes, match_rows, matcher_pairs, pair_classes, scored_pairs, similarity_pairs, suggestions
 from stillroom.plans.catalogue_sql import NORMAL
+from stillroom.sources.landing import export_json
 from stillroom.sources.tables import cut, table
 
 
@@ -107,6 +108,24 @@ def suggestion_queue(spark, d):
     return queued(groups, candidates.select(F.col("group_fingerprint").alias("fingerprint")), confirmed_matches(candidates))
 
 
+def suggestion_counters(spark, d):
+    """Counters of a suggestion run in one row: groups, those that name a matched listing, those whose fingerprint is queued, and those that are new."""
+    shops = table(spark, d, "sources").select(F.col("id").alias("source_id"), "name")
+    urls = table(spark, d, "products", "id", "source_id", "product_url").join(shops, "source_id").select(F.col("id").alias("product_id"), F.concat_ws(":", "name", "product_url").alias("member"))
+    candidates = table(spark, d, "possible_matches")
+    taken = confirmed_matches(candidates).select("product_id", F.lit(True).alias("taken")).distinct()
+    groups = suggested(spark, d).select("kind", "first_id", F.explode(F.split("listings", ",").cast("array<int>")).alias("product_id")).join(urls, "product_id").join(taken, "product_id", "left")
+    rows = groups.groupBy("kind", "first_id").agg(fingerprint(F.collect_list("member")).alias("fingerprint"), F.count("taken").alias("taken"))
+    known = candidates.select(F.col("group_fingerprint").alias("fingerprint"), F.lit(True).alias("queued")).distinct()
+    matched, queued_ = F.col("taken") > 0, F.col("queued").isNotNull()
+    return rows.join(known, "fingerprint", "left").agg(F.count("*").alias("groups"), F.count_if(matched).alias("skipped_already_matched"), F.count_if(~matched & queued_).alias("skipped_already_queued"), F.count_distinct(F.when(~matched & ~queued_, F.col("fingerprint"))).alias("inserted"))
+
+
+def run_summary(spark, d):
+    """The counters of a matching run as one JSON text."""
+    return export_json(run_counters(spark, d))
+
+
 def matches_beside_confirmed(spark, d):
     """The matches of a run in which the algorithm's earlier rows are dropped and the confirmed ones stay: clusters that name a listing of a confirmed match are not inserted."""
     return match_rows(products(spark, d), confirmed_matches(table(spark, d, "possible_matches")))
@@ -198,7 +217,7 @@ def own_similarity_pairs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    match_keys, key_members, all_scored_pairs, match_edges, pair_kinds, pair_kinds_high_floor, match_components, match_clusters, new_matches, matches_beside_confirmed, run_counters, suggested_clusters, suggested_clusters_high_floor, suggestion_queue, cluster_histogram, cluster_labels, matching_statistics, token_weights, matcher_summary, matcher_agreement,
+    match_keys, key_members, all_scored_pairs, match_edges, pair_kinds, pair_kinds_high_floor, match_components, match_clusters, new_matches, matches_beside_confirmed, run_counters, run_summary, suggestion_counters, suggested_clusters, suggested_clusters_high_floor, suggestion_queue, cluster_histogram, cluster_labels, matching_statistics, token_weights, matcher_summary, matcher_agreement,
     consensus_pairs, matcher_disagreements, matcher_examples, own_similarity_pairs,
 )}
 
@@ -294,6 +313,10 @@ dis AS (SELECT matcher, 'only_here' AS side, id_a, id_b FROM mp WHERE matcher <>
   UNION ALL SELECT names.matcher, 'only_jaccard', id_a, id_b FROM mp CROSS JOIN names WHERE mp.matcher = 'jaccard' AND names.matcher <> 'jaccard' AND (names.matcher, id_a, id_b) NOT IN (SELECT (matcher, id_a, id_b) FROM mp))
 """
 
+FP = """,
+fp AS (SELECT kind, comp AS first_id, md5(string_agg(s.name || ':' || p.product_url, ',' ORDER BY s.name || ':' || p.product_url)) AS fingerprint, bool_or(p.id IN (SELECT product_id FROM confirmed)) AS taken FROM chosen JOIN products p ON p.id = chosen.product_id JOIN sources s ON s.id = p.source_id GROUP BY kind, comp)
+"""
+
 ORACLES = {
     "match_keys": f"SELECT id, array_to_string(coalesce({TOKENS}, []), ' ') AS key FROM products",
     "key_members": BUCKETS + "SELECT m.category_id, m.bucket, m.product_id, c.first_id FROM m JOIN cls c USING (category_id, bucket, key)",
@@ -308,13 +331,13 @@ ORACLES = {
     "new_matches": GREEDY + "SELECT * FROM nm",
     "matches_beside_confirmed": GREEDY.rstrip() + "," + CONFIRMED + "SELECT * FROM nm WHERE match_id NOT IN (SELECT match_id FROM nm WHERE product_id IN (SELECT product_id FROM confirmed))",
     "run_counters": GREEDY.rstrip() + "," + CONFIRMED.rstrip() + ",\nhit AS (SELECT count(DISTINCT match_id) AS n FROM nm WHERE product_id IN (SELECT product_id FROM confirmed)), al AS (SELECT count(DISTINCT match_id) AS n FROM nm) SELECT (SELECT count(DISTINCT category_id) FROM base)::BIGINT AS categories, (SELECT count(*) FROM (SELECT DISTINCT category_id, volume_ml FROM base))::BIGINT AS volume_groups, al.n::BIGINT AS clusters_found, (al.n - hit.n)::BIGINT AS rows_inserted, hit.n::BIGINT AS rows_skipped_conflict FROM al, hit",
+    "run_summary": GREEDY.rstrip() + "," + CONFIRMED.rstrip() + ",\nhit AS (SELECT count(DISTINCT match_id) AS n FROM nm WHERE product_id IN (SELECT product_id FROM confirmed)), al AS (SELECT count(DISTINCT match_id) AS n FROM nm) SELECT to_json({'categories': (SELECT count(DISTINCT category_id) FROM base), 'volume_groups': (SELECT count(*) FROM (SELECT DISTINCT category_id, volume_ml FROM base)), 'clusters_found': al.n, 'rows_inserted': al.n - hit.n, 'rows_skipped_conflict': hit.n})::VARCHAR AS row FROM al, hit",
     "cluster_histogram": GREEDY + "SELECT shops, count(*)::BIGINT AS matches FROM (SELECT match_id, count(*)::INT AS shops FROM nm GROUP BY match_id) GROUP BY shops",
     "cluster_labels": GREEDY + "SELECT match_id, arg_min(title, length(title) * 1000000000000 + product_id) AS label, CASE count(DISTINCT volume_ml) WHEN 0 THEN 'no-vol' WHEN 1 THEN min(volume_ml)::VARCHAR ELSE 'mixed-vol' END AS volume FROM nm JOIN products p ON p.id = nm.product_id GROUP BY match_id",
     "suggested_clusters": suggestions_sql(0.37) + "SELECT * FROM sug",
     "suggested_clusters_high_floor": suggestions_sql(0.55) + "SELECT * FROM sug",
-    "suggestion_queue": suggestions_sql(0.37).rstrip() + "," + CONFIRMED.rstrip() + """,
-fp AS (SELECT kind, comp AS first_id, md5(string_agg(s.name || ':' || p.product_url, ',' ORDER BY s.name || ':' || p.product_url)) AS fingerprint, bool_or(p.id IN (SELECT product_id FROM confirmed)) AS taken FROM chosen JOIN products p ON p.id = chosen.product_id JOIN sources s ON s.id = p.source_id GROUP BY kind, comp)
-SELECT fingerprint, max(sug.shops)::INT AS members, max(jaccard) AS jaccard, max(trigram) AS trigram, min(kind) AS suggestion_source FROM fp JOIN sug USING (kind, first_id) WHERE NOT taken AND fingerprint NOT IN (SELECT group_fingerprint FROM possible_matches WHERE group_fingerprint IS NOT NULL) GROUP BY fingerprint""",
+    "suggestion_queue": suggestions_sql(0.37).rstrip() + "," + CONFIRMED.rstrip() + FP + "SELECT fingerprint, max(sug.shops)::INT AS members, max(jaccard) AS jaccard, max(trigram) AS trigram, min(kind) AS suggestion_source FROM fp JOIN sug USING (kind, first_id) WHERE NOT taken AND fingerprint NOT IN (SELECT group_fingerprint FROM possible_matches WHERE group_fingerprint IS NOT NULL) GROUP BY fingerprint",
+    "suggestion_counters": suggestions_sql(0.37).rstrip() + "," + CONFIRMED.rstrip() + FP + "SELECT count(*)::BIGINT AS groups, count(*) FILTER (WHERE taken)::BIGINT AS skipped_already_matched, count(*) FILTER (WHERE NOT taken AND queued)::BIGINT AS skipped_already_queued, count(DISTINCT fingerprint) FILTER (WHERE NOT taken AND NOT queued)::BIGINT AS inserted FROM (SELECT *, fingerprint IN (SELECT group_fingerprint FROM possible_matches WHERE group_fingerprint IS NOT NULL) AS queued FROM fp)",
     "matcher_summary": MATCHER_PAIRS + "SELECT matcher, count(*)::BIGINT AS pairs, count(DISTINCT id_a)::BIGINT AS first_listings FROM mp GROUP BY matcher",
     "matcher_agreement": MATCHER_PAIRS + "SELECT a.matcher AS matcher_a, b.matcher AS matcher_b, (SELECT count(*) FROM mp x JOIN mp y USING (id_a, id_b) WHERE x.matcher = a.matcher AND y.matcher = b.matcher)::BIGINT AS common, round((SELECT count(*) FROM mp x JOIN mp y USING (id_a, id_b) WHERE x.matcher = a.matcher AND y.matcher = b.matcher) / greatest(1, (SELECT count(*) FROM mp x WHERE x.matcher = a.matcher)) * 100, 6) AS percent FROM names a CROSS JOIN names b",
     "consensus_pairs": MATCHER_PAIRS + "SELECT id_a, id_b FROM mp GROUP BY id_a, id_b HAVING count(*) = 4",
