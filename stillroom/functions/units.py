@@ -104,10 +104,12 @@ PIECE = r"(?:kom(?:ada|\.)?|pcs|pieces|st(?:k|ück|uck)\.?|boca|bottles|cans|lim
 WORD = r"[^\W\d_]+\.?"
 CUBE = r"(?:(?<=m)\^?[23²³](?!\w))?"
 QUANTITY = re.compile(rf"(?<![\d.,/])(?P<n>{NUMBER})\s*(?P<u>(?:{WORD})(?:\s{WORD}){{0,2}}{CUBE})|(?<!\w)(?P<w>{'|'.join(PART_WORDS)})\s+(?P<v>{WORD})", re.I)
-# A number of pieces has any number of digits; a bare year in brackets or before a word for pieces is none.
+# Of these the ones that a year never stands before.
+COUNTED = r"(?:kom(?:ada|\.)?|pcs|pieces|st(?:k|ück|uck)\.?|cans|limenki)(?![^\W\d_])"
+# A number of pieces has any number of digits; a bare year in brackets or before a bottle or pack is none.
 COUNT, NO_YEAR = r"(?:\d{1,3}(?:\.\d{3})+|\d+)", r"(?!(?:19|20)\d\d(?!\d))"
-BEFORE = re.compile(rf"(?<![\d.,])(?:({COUNT})\s*(?:[x×*]|/\s?1(?=\s|x|×)\s*[x×]?|{PIECE}\s*[x×àa])|{NO_YEAR}({COUNT})\s*{PIECE})\s*$", re.I)
-AFTER = re.compile(rf"^\s*(?:[x×*]\s*({COUNT})(?![\d.,]*\d)(?!\s?/)|[(\[]?\s*{NO_YEAR}({COUNT})\s*{PIECE}\s*[)\]]?|[(\[]\s*(?:[x×]\s*({COUNT})|{NO_YEAR}({COUNT})|({COUNT})\s*(?:/\s?1|[x×]))\s*(?:/\s?1|[x×])?\s*[)\]])", re.I)
+BEFORE = re.compile(rf"(?<![\d.,])(?:({COUNT})\s*(?:[x×*]|/\s?1(?=\s|x|×)\s*[x×]?|{PIECE}\s*[x×àa])|({COUNT})\s*{COUNTED}|{NO_YEAR}({COUNT})\s*{PIECE})\s*$", re.I)
+AFTER = re.compile(rf"^\s*(?:[x×*]\s*({COUNT})(?![\d.,]*\d)(?!\s?/)|[(\[]?\s*({COUNT})\s*{COUNTED}\s*[)\]]?|[(\[]?\s*{NO_YEAR}({COUNT})\s*{PIECE}\s*[)\]]?|[(\[]\s*(?:[x×]\s*({COUNT})|{NO_YEAR}({COUNT})|({COUNT})\s*(?:/\s?1|[x×]))\s*(?:/\s?1|[x×])?\s*[)\]])", re.I)
 # Packs of packs.
 OUTER, FURTHER = re.compile(rf"(?<![\d.,])({COUNT})\s*[x×*]\s*$"), re.compile(rf"^\s*[x×*]\s*({COUNT})(?![\d.,]*\d)(?!\s?/)")
 # Digits grouped by thousands, as only a number of small units has them.

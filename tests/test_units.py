@@ -30,7 +30,7 @@ def test_segment_unknown(unit):
 
 @pytest.mark.parametrize("text, ml", [
     ("Gin 0,7l", 700), ("Rum 0.70 l 40%", 700), ("Rum 1,75 lit.", 1750), ("12 x 0,05L", 600), ("24 × 0,33 l", 7920), ("50 ML x 12", 600), ("20 CL (24 kom)", 4800), ("6/1 75cl", 4500), ("12 US fl oz x 6", 2130), ("16 fl. oz.", 473),
-    ("3/4 l", 750), ("6x3/4 l", 4500), ("8yo pola litre", 500), ("6x33 cl", 1980), ("4x2 dl", 800), ("12 godina 10 dl", 1000), ("Ginger ２００ｍｌ", 200), ("1.000 ml", 1000), ("0.500 ml", 1), ("1000 x 0,33 l", 330_000), ("0,7 L (1200 kom)", 840_000), ("1.200 kom x 0,7 l", 840_000), ("2 x 6 x 0,33 l", 3960), ("0,33 l x 6 x 4", 7920), ("0,75 l (2019)", 750), ("berba 2019 boca 0,75 l", 750), ("750 ccm", 750), ("1 pint", 473), ("1/2 gallon", 1893), ("1.000 l", 1000), ("0 l", None), ("berba 2019. 13%", None), ("1887 Gin", None), ("", None),
+    ("3/4 l", 750), ("6x3/4 l", 4500), ("8yo pola litre", 500), ("6x33 cl", 1980), ("4x2 dl", 800), ("12 godina 10 dl", 1000), ("Ginger ２００ｍｌ", 200), ("1.000 ml", 1000), ("0.500 ml", 1), ("1000 x 0,33 l", 330_000), ("0,7 L (1200 kom)", 840_000), ("1.200 kom x 0,7 l", 840_000), ("2 x 6 x 0,33 l", 3960), ("0,33 l x 6 x 4", 7920), ("0,75 l (2019)", 750), ("0,7 L (2000 kom)", 1_400_000), ("2000 kom 0,7 l", 1_400_000), ("0,7 l 2000 pcs", 1_400_000), ("berba 2019 boca 0,75 l", 750), ("750 ccm", 750), ("1 pint", 473), ("1/2 gallon", 1893), ("1.000 l", 1000), ("0 l", None), ("berba 2019. 13%", None), ("1887 Gin", None), ("", None),
 ])
 def test_contents(text, ml):
     found = contents(simple_plain(text), {})
