@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillroom.functions.titles import COMPARED_NOISE, COMPARED_VARIANTS, NOISE, VARIANTS, digits_in, jaccard, match_tokens, normalized_title, overlap, trigrams, variants_in
+from stillroom.operators.blocks import NO_SHOP, components, firsts, likeness, similar
 from stillroom.operators.graph import smallest_label
 from stillroom.sources.tables import cut
 
@@ -58,6 +59,55 @@ def key_classes(members: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noq
     return by.select("category_id", "bucket", "key", "sources", "n", node.alias("node"), F.transform(F.array_distinct("tokens"), lambda w: F.xxhash64(w)).alias("words"), F.transform(trigrams(F.col("tokens")), lambda w: F.xxhash64(w)).alias("pieces"), digits_in(F.col("tokens")).alias("digits"), variants_in(F.col("tokens"), rules.variants).alias("variants"))
 
 
+def copies(products: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """(category_id, volume_ml, key, source_id, product_id, n): a shop's available listings of one category, content and key, which lie in the same buckets, named by the smallest."""
+    rows = bucketed(products, replace(rules, spread_unknown=False)).select("category_id", F.when(F.col("bucket") >= 0, F.col("bucket")).alias("volume_ml"), "key", "source_id", "product_id")
+    return cut(rows.groupBy("category_id", "volume_ml", "key", "source_id").agg(F.min("product_id").alias("product_id"), F.count("*").cast("int").alias("n")))
+
+
+def placed(copied: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """The copies with their bucket, those without a content also in every bucket of their category."""
+    columns = ("category_id", "bucket", "key", "source_id", "product_id", "n")
+    own = copied.withColumn("bucket", F.coalesce("volume_ml", F.lit(-1))).select(*columns)
+    if not rules.spread_unknown:
+        return own
+    volumes = copied.where("volume_ml is not null").select("category_id", F.col("volume_ml").alias("bucket")).distinct()
+    return own.unionByName(copied.where("volume_ml is null").join(volumes, "category_id").select(*columns))
+
+
+def bucket_sizes(copied: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """(category_id, bucket, n) with at least as many rows as a bucket has keys."""
+    counted = copied.groupBy("category_id", "volume_ml").agg(F.count("*").alias("n"))
+    unknown = counted.where("volume_ml is null").select("category_id", F.col("n").alias("more"))
+    known = counted.where("volume_ml is not null").join(unknown, "category_id", "left")
+    more = F.coalesce("more", F.lit(0)) if rules.spread_unknown else F.lit(0)
+    return known.select("category_id", F.col("volume_ml").alias("bucket"), (F.col("n") + more).alias("n")).unionByName(unknown.select("category_id", F.lit(-1).alias("bucket"), F.col("more").alias("n")))
+
+
+def word_list(key: Column) -> Column:
+    return F.filter(F.split(key, " "), lambda w: w != "")
+
+
+def word_numbers(key: Column) -> Column:
+    return F.transform(F.array_distinct(word_list(key)), lambda w: F.xxhash64(w))
+
+
+def slim_classes(copied: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """(category_id, bucket, key, first_id, many, shop, copies) of the keys of each bucket; copies: (source_id, product_id, n), one for each shop and content."""
+    by = ("category_id", "bucket", "key")
+    source = F.col("copies.source_id")
+    rows = placed(copied, rules).groupBy(*by).agg(F.min("product_id").alias("first_id"), F.collect_list(F.struct("source_id", "product_id", "n")).alias("copies"))
+    return rows.select(*by, "first_id", (F.array_min(source) != F.array_max(source)).alias("many"), F.coalesce(F.array_min(source), F.lit(NO_SHOP)).alias("shop"), "copies").withColumn("many", F.coalesce("many", F.lit(False)))
+
+
+def similar_keys(copied: DataFrame, classes: DataFrame, least: float, rules: Rules = Rules(), **more) -> DataFrame:  # noqa: B008
+    """``similar`` of the key classes (with columns squares, listings and shops where they are needed)."""
+    tokens = word_list(F.col("key"))
+    extra = [c for c in ("squares", "listings", "shops") if c in classes.columns]
+    rows = classes.select("category_id", "bucket", "first_id", "key", word_numbers(F.col("key")).alias("words"), F.array_join(digits_in(tokens), " ").alias("digits"), F.array_join(variants_in(tokens, rules.variants), " ").alias("variants"), "many", "shop", *extra)
+    return similar(rows, bucket_sizes(copied, rules), least, **more)
+
+
 def prefixes(classes: DataFrame, field: str, least: float) -> DataFrame:
     """(category_id, bucket, element, node, size, place) of the elements by which a set can be found: of its elements, those rarest in its bucket first, the first
     size - ceil(least * size) + 1. Two sets of a bucket with a Jaccard of at least ``least`` share one of them. place counts from 1."""
@@ -128,30 +178,35 @@ def clusters(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     labels = smallest_label(classes.select("node"), links.select("a", "b"))
     full = classes.select("category_id", "bucket", "key", "node", "words").join(labels, "node").withColumnRenamed("label", "cluster")
     counted = members.groupBy("category_id", "bucket", "key", "source_id").agg(F.count("*").alias("n"), F.min("product_id").alias("product_id"))
-    return one_of_each_shop(cut(counted.join(full, ["category_id", "bucket", "key"]).select("category_id", "bucket", "cluster", "node", "words", "source_id", "n", "product_id")))
+    rows = cut(counted.join(full, ["category_id", "bucket", "key"]).select("category_id", "bucket", F.xxhash64("cluster").alias("number"), "cluster", "words", "source_id", "n", "product_id"))
+    names = rows.select("number", "category_id", "bucket", "cluster").distinct()
+    return one_of_each_shop(rows, ("number",)).join(names, "number").select("category_id", "bucket", "cluster", "product_id", "source_id")
+
 
+def clustered(classes: DataFrame, links: DataFrame, by: tuple[str, ...] = ("category_id", "bucket")) -> DataFrame:
+    """(*by, cluster, product_id, source_id, shops) like ``clusters``, of slim classes and links (*by, a, b) between first_ids. cluster is the smallest listing of a component."""
+    labels = components(links, by).withColumnRenamed("node", "first_id")
+    named = classes.join(labels, [*by, "first_id"], "left").where("label is not null or many")
+    each = named.select(*by, F.coalesce("label", F.col("first_id").cast("bigint")).alias("cluster"), "key", F.explode("copies").alias("x"))
+    rows = each.groupBy(*by, "cluster", "key", F.col("x.source_id").alias("source_id")).agg(F.sum("x.n").alias("n"), F.min("x.product_id").alias("product_id"))
+    return one_of_each_shop(cut(rows).withColumn("words", word_numbers(F.col("key"))), (*by, "cluster"))
 
-def one_of_each_shop(placed: DataFrame) -> DataFrame:
-    """(category_id, bucket, cluster, product_id, source_id) of rows (with node, words and n, the copies of a key in a shop): of each shop of a cluster across shops the listing
-    with the highest mean word Jaccard to the other shops' listings.
 
-    Only shops with several keys in a cluster are weighed. Rows meet by (cluster, word), so no task holds a whole cluster; what has no word in common adds
-    nothing. An empty key has one word of its own, so that empty keys are alike.
+def one_of_each_shop(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, product_id, source_id, shops) of rows (with words and n, the copies of a key in a shop): of each shop of a cluster (by) across shops the listing
+    with the highest mean word Jaccard to the other shops' listings. The rows are read twice.
+
+    Only clusters are weighed in which a shop has several keys. Words are compared in blocks, so no task holds a whole cluster. An empty key has one word of its own, so that
+    empty keys are alike.
     """
-    per_shop = placed.groupBy("cluster", "source_id").agg(F.count("*").alias("keys"), F.sum("n").alias("of_shop"))
-    per_cluster = per_shop.groupBy("cluster").agg(F.count("*").alias("shops"), F.sum("of_shop").alias("of_all")).where("shops > 1")
-    shops = per_shop.join(per_cluster, "cluster").select("cluster", "source_id", "keys", (F.col("of_all") - F.col("of_shop")).alias("others"))
-    rows = cut(placed.join(shops, ["cluster", "source_id"]).withColumn("words", F.when(F.size("words") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("words"))))
-    alone = rows.where("keys = 1")
-    words = lambda r: r.select("cluster", "source_id", "product_id", "others", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
-    mine = words(rows.where("keys > 1"))
-    theirs = words(rows).select("cluster", "word", F.col("source_id").alias("source_o"), F.col("product_id").alias("o"), F.col("n").alias("n_o"), F.col("size").alias("size_o"))
-    shared = mine.join(theirs, ["cluster", "word"]).where("source_id <> source_o").groupBy("cluster", "source_id", "product_id", "others", "size", "o", "n_o", "size_o").agg(F.count("*").alias("shared"))
-    sums = shared.groupBy("cluster", "source_id", "product_id").agg(F.sum(F.col("shared") / (F.col("size") + F.col("size_o") - F.col("shared")) * F.col("n_o") / F.col("others")).alias("likeness"))
-    ranked = rows.where("keys > 1").join(sums, ["cluster", "source_id", "product_id"], "left")
-    best = ranked.groupBy("category_id", "bucket", "cluster", "source_id").agg(F.max_by("product_id", F.struct(F.round(F.coalesce("likeness", F.lit(0.0)), 12), -F.col("product_id"))).alias("product_id"))
-    columns = ("category_id", "bucket", "cluster", "product_id", "source_id")
-    return alone.select(*columns).unionByName(best.select(*columns))
+    rows = rows.where(F.col("source_id").isNotNull()).withColumn("words", F.when(F.size("words") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("words")))
+    per_shop = rows.groupBy(*by, "source_id").agg(F.count("*").alias("keys"), F.sum("n").alias("of_shop"))
+    per_cluster = per_shop.groupBy(*by).agg(F.count("*").alias("shops"), F.sum("of_shop").alias("of_all"), F.sum("keys").alias("n"), F.max("keys").alias("most")).where("shops > 1")
+    weighed = per_cluster.where("most > 1")
+    sums = likeness(rows.join(weighed.select(*by), [*by], "left_semi").select(*by, "product_id", "source_id", "n", "words"), by, weighed.select(*by, "n"))
+    ranked = rows.select(*by, "product_id", "source_id", "n").join(per_shop.join(per_cluster.select(*by, "shops", "of_all"), [*by]).drop("keys"), [*by, "source_id"]).join(sums, [*by, "product_id"], "left")
+    best = ranked.groupBy(*by, "source_id").agg(F.max_by("product_id", F.struct(F.round(F.coalesce(F.col("likeness") / (F.col("of_all") - F.col("of_shop")), F.lit(0.0)), 12), -F.col("product_id"))).alias("product_id"), F.first("shops").alias("shops"))
+    return best.select(*by, "product_id", "source_id", "shops")
 
 
 def chained(members: DataFrame, near: DataFrame) -> DataFrame:
@@ -171,12 +226,26 @@ def chained(members: DataFrame, near: DataFrame) -> DataFrame:
     return nodes.drop("first_id").distinct().join(labels.withColumnRenamed("node", "product_id"), "product_id").select("label", "product_id", "source_id", "key")
 
 
-def typical(chains: DataFrame) -> DataFrame:
-    """(label, source_id, product_id): one listing for each shop of a chain across shops; chains of one shop have none."""
-    counted = chains.groupBy("label", "source_id", "key").agg(F.count("*").alias("n"), F.min("product_id").alias("product_id"))
-    words = F.transform(F.filter(F.array_distinct(F.split("key", " ")), lambda w: w != ""), lambda w: F.xxhash64(w))
-    placed = counted.select(F.lit(0).alias("category_id"), F.lit(0).alias("bucket"), F.col("label").alias("cluster"), "source_id", "n", "product_id", words.alias("words"))
-    return one_of_each_shop(placed).select(F.col("cluster").alias("label"), "source_id", "product_id")
+def typical(chains: DataFrame, by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(*by, source_id, product_id): one listing for each shop of a chain across shops; chains of one shop have none. Without a column n each row is one listing."""
+    n = F.sum("n") if "n" in chains.columns else F.count("*")
+    counted = cut(chains.groupBy(*by, "source_id", "key").agg(n.alias("n"), F.min("product_id").alias("product_id")))
+    return one_of_each_shop(counted.withColumn("words", word_numbers(F.col("key"))), by).select(*by, "source_id", "product_id")
+
+
+KINDS = ("near_miss", "overlap")
+
+
+def kind_numbers(low: float) -> Callable:
+    """Of pairs' scores the place of their kind in KINDS, -1 for none, as in ``pair_classes``."""
+
+    def of(j, t, o, digit_blocked):
+        import numpy as np
+
+        best = np.where(digit_blocked, j, np.maximum(j, t))
+        return np.where(best >= MATCH, -1, np.where(best >= low, 0, np.where((o >= MATCH) & (best >= OVERLAP_FLOOR), 1, -1)))
+
+    return of
 
 
 def suggestions(products: DataFrame, low: float = NEAR, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -185,25 +254,25 @@ def suggestions(products: DataFrame, low: float = NEAR, rules: Rules = Rules())
     A group is a chain over a category's buckets, of each shop its most typical listing; its scores are the greatest word and letter Jaccard of any two of its
     listings that share a bucket and agree in variants, also of those that are no near miss themselves. With a ``low`` up to OVERLAP_FLOOR every pair of the
     second kind is a near miss, so there are none.
+
+    Chains link copies of one shop, content and key as one, since these are in the same pairs. Pairs go to the chains where they are found.
     """
-    members = cut(bucketed(products, rules))
-    classes = cut(key_classes(members, rules))
-    key = lambda x: classes.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"))
-    pairs = cut(pair_classes(scored_pairs(classes, min(low, OVERLAP_FLOOR)), low).join(key("a"), "a").join(key("b"), "b").select("kind", "category_id", "bucket", "key_a", "key_b"))
-    found = None
-    for kind in ("near_miss", "overlap") if low > OVERLAP_FLOOR else ("near_miss",):
-        part = typical(chained(members, pairs.where(F.col("kind") == kind).drop("kind"))).withColumn("kind", F.lit(kind))
-        found = part if found is None else found.unionByName(part)
-    found = cut(found)
-    tokens = products.join(found.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi")
-    own = bucketed(tokens, Rules(rules.noise, rules.variants, rules.digit_guard, False, rules.stored)).select("product_id", "bucket", F.array_distinct("tokens").alias("words"), trigrams(F.col("tokens")).alias("pieces"), variants_in(F.col("tokens"), rules.variants).alias("variants"))
-    rows = found.join(own, "product_id")
+    copied = copies(products, rules)
+    classes = slim_classes(copied, rules).withColumns({"listings": F.col("copies.product_id"), "shops": F.transform("copies", lambda x: F.coalesce(x["source_id"], F.lit(NO_SHOP)))})
+    links = similar_keys(copied, classes, min(low, OVERLAP_FLOOR), rules, kinds=kind_numbers(low))
+    chains = components(links, ("kind", "category_id")).select("kind", F.col("label").cast("int").alias("label"), F.col("node").cast("int").alias("product_id"))
+    found = typical(chains.join(copied.select("product_id", "source_id", "key", "n"), "product_id"), ("kind", "label"))
+    # One row for each shop of a group, with what its scores need.
+    full = cut(found.join(copied.select("product_id", "key", F.coalesce("volume_ml", F.lit(-1)).alias("bucket")), "product_id"))
+    tokens = word_list(F.col("key"))
+    rows = full.select("kind", "label", "product_id", "bucket", word_numbers(F.col("key")).alias("words"), trigrams(tokens).alias("pieces"), variants_in(tokens, rules.variants).alias("variants"))
     other = rows.select("kind", "label", *[F.col(c).alias(f"{c}_o") for c in ("product_id", "bucket", "words", "pieces", "variants")])
     # A group has one listing a shop, so there are few pairs.
     pairs = rows.join(other, ["kind", "label"]).where("product_id < product_id_o and variants = variants_o and (bucket = bucket_o or bucket = -1 or bucket_o = -1)")
     best = pairs.groupBy("kind", "label").agg(F.max(jaccard(F.col("words"), F.col("words_o"))).alias("jaccard"), F.max(jaccard(F.col("pieces"), F.col("pieces_o"))).alias("trigram"))
     zero = F.lit(0.0)
-    return found.join(best, ["kind", "label"], "left").select("kind", "label", "source_id", "product_id", F.coalesce("jaccard", zero).alias("jaccard"), F.coalesce("trigram", zero).alias("trigram"))
+    name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind").cast("int") + 1)
+    return full.join(best, ["kind", "label"], "left").select(name.alias("kind"), "label", "source_id", "product_id", F.coalesce("jaccard", zero).alias("jaccard"), F.coalesce("trigram", zero).alias("trigram"))
 
 
 def disjoint(found: DataFrame) -> DataFrame:
@@ -226,15 +295,25 @@ def disjoint(found: DataFrame) -> DataFrame:
             return kept.drop("shops", "rank")
 
 
+def match_links(scored: DataFrame, digit_guard: bool = True) -> DataFrame:
+    return edges(scored, MATCH, digit_guard).select("category_id", "bucket", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def match_rows(products: DataFrame, taken: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """Long matches (match_id, source_id, product_id); clusters that name a listing of ``taken`` (product_id) are left out. match_id is the smallest listing."""
-    members = cut(bucketed(products, rules))
-    classes = cut(key_classes(members, rules))
-    found = disjoint(clusters(members, classes, edges(scored_pairs(classes, MATCH), MATCH, rules.digit_guard)))
+    """Long matches (match_id, source_id, product_id); clusters that name a listing of ``taken`` (product_id) are left out. match_id is the smallest listing.
+
+    Of clusters that share a listing the first stays: those with most shops, then by bucket (without a content last) and smallest listing.
+    """
+    copied = copies(products, rules)
+    classes = slim_classes(copied, rules)
+    found = clustered(classes, match_links(similar_keys(copied, classes, MATCH, rules), rules.digit_guard))
+    ordered = found.withColumns({"fewer": -F.col("shops"), "unknown": (F.col("bucket") < 0).cast("int")})
+    kept = firsts(ordered, "category_id", ("fewer", "unknown"), ("bucket", "cluster"))
     if taken is not None:
-        hit = found.join(taken.select("product_id").distinct(), "product_id", "left_semi").select("cluster").distinct()
-        found = found.join(hit, "cluster", "left_anti")
-    return found.withColumn("match_id", F.min("product_id").over(Window.partitionBy("cluster"))).select("match_id", "source_id", "product_id")
+        kept = kept.join(taken.select("product_id", F.lit(1).alias("taken")).distinct(), "product_id", "left")
+    by = ("category_id", "bucket", "cluster")
+    groups = kept.groupBy(*by).agg(F.min("product_id").alias("match_id"), F.collect_list(F.struct("source_id", "product_id")).alias("x"), *([F.count("taken").alias("hits")] if taken is not None else []))
+    return (groups if taken is None else groups.where("hits = 0")).select("match_id", F.explode("x").alias("x")).select("match_id", "x.source_id", "x.product_id")
 
 
 def idf(products: DataFrame, rules: Rules = COMPARED) -> DataFrame:
@@ -260,17 +339,32 @@ def cosine_pairs(classes: DataFrame, weights: DataFrame, least: float = MATCH) -
     return pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least - 1e-12)
 
 
+def key_weights(copied: DataFrame) -> DataFrame:
+    """(key, squares): the squared idf of a key's distinct words, in their order."""
+    total = copied.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    df = copied.select("n", F.explode(F.array_distinct(word_list(F.col("key")))).alias("word")).groupBy("word").agg(F.sum("n").alias("df"))
+    weight = df.select("word", (F.log(F.lit(total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    words = copied.select("key").distinct().select("key", F.posexplode(F.array_distinct(word_list(F.col("key")))).alias("place", "word"))
+    listed = words.join(weight, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "idf"))).alias("x"))
+    return listed.select("key", F.transform("x", lambda x: x["idf"] * x["idf"]).alias("squares"))
+
+
 def matcher_pairs(products: DataFrame) -> DataFrame:
     """(matcher, id_a, id_b) of the listings that each of four matchers puts into one cluster, under the comparison rules."""
-    members = cut(bucketed(products, COMPARED))
-    classes = cut(key_classes(members, COMPARED))
-    scored = cut(measured(classes, candidates(classes, MATCH)).where("across and same_variant"))
-    guard = classes.select("node", "variants", "sources")
-    contained = measured(classes, shared_words(classes)).where(F.col("across") & F.col("same_variant") & (F.col("o") >= MATCH))
-    cosine = cosine_pairs(classes, idf(products)).join(guard.select(F.col("node").alias("a"), F.col("variants").alias("va"), F.col("sources").alias("sa")), "a").join(guard.select(F.col("node").alias("b"), F.col("variants").alias("vb"), F.col("sources").alias("sb")), "b")
-    cosine = cosine.where((F.col("va") == F.col("vb")) & (F.size(F.array_union("sa", "sb")) > 1))
-    links = {"jaccard": scored.where(F.col("j") >= MATCH), "trigram": scored.where(F.col("t") >= MATCH), "overlap": contained, "cosine": cosine}
-    return clustered_pairs(members, classes, {name: rows.select("a", "b") for name, rows in links.items()}, empty_alike=("jaccard", "trigram", "overlap"))
+    copied = copies(products, COMPARED)
+    classes = slim_classes(copied, COMPARED)
+    weighed = classes.join(key_weights(copied), "key", "left").withColumn("squares", F.coalesce("squares", F.array().cast("array<double>")))
+    found = similar_keys(copied, weighed, MATCH, COMPARED, inside=MATCH, cosine=MATCH)
+    reached = F.array(*[F.when(ok, F.lit(i)) for i, ok in enumerate((F.col("j") >= MATCH, F.col("t") >= MATCH, F.col("o") >= MATCH, F.col("c") >= MATCH - 1e-12))])
+    links = found.select(F.explode(F.array_compact(reached)).alias("matcher"), "category_id", "bucket", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    # Empty keys are alike for all matchers but the cosine.
+    each = classes.withColumn("matcher", F.explode(F.when(F.col("key") == "", F.array(*map(F.lit, range(3)))).otherwise(F.array(*map(F.lit, range(4))))))
+    by = ("matcher", "category_id", "bucket")
+    # A cluster has one listing a shop, so there are few pairs.
+    listings = clustered(each, links, by).groupBy(*by, "cluster").agg(F.array_sort(F.collect_list("product_id")).alias("x"))
+    firsts_ = listings.select("matcher", F.posexplode("x").alias("i", "id_a"), "x").select("matcher", "id_a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("id_b"))
+    name = F.element_at(F.array(*[F.lit(m) for m in MATCHERS]), F.col("matcher") + 1)
+    return firsts_.select(name.alias("matcher"), "id_a", "id_b").distinct()
 
 
 def clustered_pairs(members: DataFrame, classes: DataFrame, links: dict[str, DataFrame], empty_alike: tuple[str, ...]) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillroom.functions.titles import COMPARED_NOISE, COMPARED_VARIANTS, NOISE, VARIANTS, fingerprint, match_tokens, normalized_title
-from stillroom.operators.graph import smallest_label
+from stillroom.operators.blocks import components
 from stillroom.operators.groups import confirmed_matches
 from stillroom.operators.lookup import queued
-from stillroom.operators.matching import MATCH, MATCHERS, NEAR, agreement, bucketed, clusters, edges, idf, key_classes, match_rows, matcher_pairs, pair_classes, scored_pairs, similarity_pairs, suggestions
+from stillroom.operators.matching import MATCH, MATCHERS, NEAR, agreement, bucketed, clustered, copies, edges, idf, match_links, match_rows, matcher_pairs, pair_classes, similar_keys, similarity_pairs, slim_classes, suggestions
 from stillroom.plans.catalogue_sql import NORMAL
 from stillroom.sources.landing import export_json
 from stillroom.sources.tables import cut, table
@@ -34,49 +34,43 @@ def key_members(spark, d):
     return rows.join(first, ["category_id", "bucket", "key"]).select("category_id", "bucket", "product_id", "first_id")
 
 
-def named(rows: DataFrame) -> DataFrame:
-    """Class nodes as their smallest listing."""
-    return rows.withColumns({"id_a": F.substring_index("a", "|", -1).cast("int"), "id_b": F.substring_index("b", "|", -1).cast("int")}).withColumns({"id_a": F.least("id_a", "id_b"), "id_b": F.greatest("id_a", "id_b")}).drop("a", "b")
-
-
-def scores(spark, d) -> DataFrame:
-    classes = cut(key_classes(bucketed(products(spark, d))))
-    return scored_pairs(classes)
+def scores(spark, d, least: float = NEAR) -> DataFrame:
+    copied = copies(products(spark, d))
+    return similar_keys(copied, slim_classes(copied), least)
 
 
 def all_scored_pairs(spark, d):
-    rows = named(scores(spark, d))
+    rows = scores(spark, d)
     return rows.select("category_id", "bucket", "id_a", "id_b", F.round("j", 6).alias("j"), F.round("t", 6).alias("t"), F.round("o", 6).alias("o"), "digit_blocked")
 
 
 def match_edges(spark, d):
-    classes = cut(key_classes(bucketed(products(spark, d))))
-    return named(edges(scored_pairs(classes, MATCH))).select("category_id", "bucket", "id_a", "id_b")
+    return edges(scores(spark, d, MATCH)).select("category_id", "bucket", "id_a", "id_b")
 
 
 def pair_kinds(spark, d):
-    rows = named(pair_classes(scores(spark, d)))
+    rows = pair_classes(scores(spark, d))
     return rows.select("category_id", "bucket", "id_a", "id_b", F.round("best", 6).alias("best"), "kind")
 
 
 def pair_kinds_high_floor(spark, d):
     """With a floor of 0.55 some pairs are candidates only because one key lies in the other."""
-    rows = named(pair_classes(scores(spark, d), 0.55))
+    rows = pair_classes(scores(spark, d), 0.55)
     return rows.select("category_id", "bucket", "id_a", "id_b", F.round("best", 6).alias("best"), "kind")
 
 
 def match_components(spark, d):
     """Key classes with the smallest class of their component."""
-    classes = cut(key_classes(bucketed(products(spark, d))))
-    labels = smallest_label(classes.select("node"), edges(scored_pairs(classes, MATCH)).select("a", "b"))
-    last = lambda c: F.substring_index(c, "|", -1).cast("int")
-    return classes.select("node", "category_id", "bucket").join(labels, "node").select("category_id", "bucket", last("node").alias("first_id"), last("label").alias("component"))
+    copied = copies(products(spark, d))
+    classes = slim_classes(copied)
+    labels = components(match_links(similar_keys(copied, classes, MATCH)), ("category_id", "bucket")).withColumnRenamed("node", "first_id")
+    return classes.select("category_id", "bucket", "first_id").join(labels, ["category_id", "bucket", "first_id"], "left").select("category_id", "bucket", "first_id", F.coalesce(F.col("label").cast("int"), "first_id").alias("component"))
 
 
 def match_clusters(spark, d):
-    members = cut(bucketed(products(spark, d)))
-    classes = cut(key_classes(members))
-    return clusters(members, classes, edges(scored_pairs(classes, MATCH))).drop("cluster")
+    copied = copies(products(spark, d))
+    classes = slim_classes(copied)
+    return clustered(classes, match_links(similar_keys(copied, classes, MATCH))).select("category_id", "bucket", "product_id", "source_id")
 
 
 def new_matches(spark, d):
