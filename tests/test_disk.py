@@ -21,6 +21,7 @@ def files(spark):
     "name",
     [
         "new_matches",
+        "suggestion_counters",
     ],
 )
 def test_little_is_written(spark, name):
