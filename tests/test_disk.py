@@ -22,6 +22,7 @@ def files(spark):
     [
         "new_matches",
         "suggestion_counters",
+        "suggested_clusters",
     ],
 )
 def test_little_is_written(spark, name):
