@@ -23,6 +23,7 @@ def files(spark):
         "new_matches",
         "suggestion_counters",
         "suggested_clusters",
+        "suggestion_queue",
     ],
 )
 def test_little_is_written(spark, name):
