@@ -24,6 +24,7 @@ def files(spark):
         "suggestion_counters",
         "suggested_clusters",
         "suggestion_queue",
+        "consensus_pairs",
     ],
 )
 def test_little_is_written(spark, name):
