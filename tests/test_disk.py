@@ -25,6 +25,7 @@ def files(spark):
         "suggested_clusters",
         "suggestion_queue",
         "consensus_pairs",
+        "match_components",
     ],
 )
 def test_little_is_written(spark, name):
