@@ -26,6 +26,7 @@ def files(spark):
         "suggestion_queue",
         "consensus_pairs",
         "match_components",
+        "matcher_examples",
     ],
 )
 def test_little_is_written(spark, name):
