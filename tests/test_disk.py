@@ -27,6 +27,7 @@ def files(spark):
         "consensus_pairs",
         "match_components",
         "matcher_examples",
+        "pair_kinds",
     ],
 )
 def test_little_is_written(spark, name):
