@@ -28,6 +28,7 @@ def files(spark):
         "match_components",
         "matcher_examples",
         "pair_kinds",
+        "run_counters",
     ],
 )
 def test_little_is_written(spark, name):
