@@ -29,6 +29,7 @@ def files(spark):
         "matcher_examples",
         "pair_kinds",
         "run_counters",
+        "suggested_clusters_high_floor",
     ],
 )
 def test_little_is_written(spark, name):
