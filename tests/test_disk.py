@@ -30,6 +30,7 @@ def files(spark):
         "pair_kinds",
         "run_counters",
         "suggested_clusters_high_floor",
+        "all_scored_pairs",
     ],
 )
 def test_little_is_written(spark, name):
