@@ -31,6 +31,7 @@ def files(spark):
         "run_counters",
         "suggested_clusters_high_floor",
         "all_scored_pairs",
+        "cluster_histogram",
     ],
 )
 def test_little_is_written(spark, name):
