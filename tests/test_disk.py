@@ -32,6 +32,7 @@ def files(spark):
         "suggested_clusters_high_floor",
         "all_scored_pairs",
         "cluster_histogram",
+        "matcher_agreement",
     ],
 )
 def test_little_is_written(spark, name):
