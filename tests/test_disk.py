@@ -33,6 +33,7 @@ def files(spark):
         "all_scored_pairs",
         "cluster_histogram",
         "matcher_agreement",
+        "matcher_summary",
     ],
 )
 def test_little_is_written(spark, name):
