@@ -34,6 +34,7 @@ def files(spark):
         "cluster_histogram",
         "matcher_agreement",
         "matcher_summary",
+        "pair_kinds_high_floor",
     ],
 )
 def test_little_is_written(spark, name):
