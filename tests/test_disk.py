@@ -35,6 +35,7 @@ def files(spark):
         "matcher_agreement",
         "matcher_summary",
         "pair_kinds_high_floor",
+        "run_summary",
     ],
 )
 def test_little_is_written(spark, name):
