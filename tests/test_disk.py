@@ -36,6 +36,7 @@ def files(spark):
         "matcher_summary",
         "pair_kinds_high_floor",
         "run_summary",
+        "cluster_labels",
     ],
 )
 def test_little_is_written(spark, name):
