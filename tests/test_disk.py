@@ -37,6 +37,7 @@ def files(spark):
         "pair_kinds_high_floor",
         "run_summary",
         "cluster_labels",
+        "match_clusters",
     ],
 )
 def test_little_is_written(spark, name):
