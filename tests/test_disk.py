@@ -38,6 +38,7 @@ def files(spark):
         "run_summary",
         "cluster_labels",
         "match_clusters",
+        "matcher_disagreements",
     ],
 )
 def test_little_is_written(spark, name):
