@@ -39,6 +39,7 @@ def files(spark):
         "cluster_labels",
         "match_clusters",
         "matcher_disagreements",
+        "matches_beside_confirmed",
     ],
 )
 def test_little_is_written(spark, name):
