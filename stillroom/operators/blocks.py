@@ -1,7 +1,7 @@
 """Sets compared inside groups, and small graphs inside groups, in the memory of tasks: pairs are counted where they are found and never shuffled.
 
 A group of more than BLOCK rows is dealt into blocks, and each task compares two of them, so no task holds more than two blocks of a group. What is moved is
-a group's rows, once for each of its blocks.
+a group's rows, once for each of its blocks. Rows that belong to every bucket of their category are moved and compared with each other once, not once for each bucket.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block, cells and hits of a step in a task, rows that a task gathers before it compares.
 BLOCK, STEP, GATHER = 8_192, 1_000_000, 20_000
 NO_SHOP = -(2**31)
+#: In place of a bucket: its category's rows with a content against those without.
+ACROSS = -(2**31)
 
 
 def tasks(df: DataFrame) -> int:
@@ -24,8 +27,8 @@ def tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def dealt(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame, row: Column) -> DataFrame:
-    """The rows with (block_a, block_b, side), brought together and sorted by ``by`` and blocks: a row is there once for each block that its own is compared with.
+def inside(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame, row: Column) -> DataFrame:
+    """The rows with (block_a, block_b, side): a row is there once for each block that its own is compared with.
 
     ``sizes`` has an upper bound n of the rows of each group. ``row`` tells a group's rows apart.
     """
@@ -33,8 +36,25 @@ def dealt(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame, row: Column) -
     large = F.broadcast(sizes.where(F.col("n") > BLOCK).select(*by, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     own = rows.join(large, list(by), "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), "blocks").cast("int")))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = own.withColumn("other", F.explode(others)).select(*rows.columns, F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return placed.repartition(tasks(rows), *by, "block_a", "block_b").sortWithinPartitions(*by, "block_a", "block_b", "side")
+    return own.withColumn("other", F.explode(others)).select(*rows.columns, F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def across(rows: DataFrame, sizes: DataFrame, row: Column) -> DataFrame:
+    """Like ``inside``, for each category's rows with a content (side 0) against those without (bucket -1, side 1)."""
+    count = lambda known: F.coalesce(F.sum(F.when((F.col("bucket") >= 0) == known, F.col("n"))), F.lit(0))
+    counted = sizes.groupBy("category_id").agg(count(F.lit(True)).alias("known"), count(F.lit(False)).alias("unknown")).where(F.greatest("known", "unknown") > BLOCK)
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK).cast("int"))
+    large = F.broadcast(counted.select("category_id", blocks("known").alias("k"), blocks("unknown").alias("u")))
+    own = rows.join(large, "category_id", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "u": F.coalesce("u", F.lit(1))})
+    known = F.col("bucket") >= 0
+    at = F.pmod(F.xxhash64(row, "bucket"), F.when(known, F.col("k")).otherwise(F.col("u"))).cast("int")
+    placed = own.withColumns({"at": at, "other": F.explode(F.sequence(F.lit(0), F.when(known, F.col("u")).otherwise(F.col("k")) - 1))})
+    return placed.select(*rows.columns, F.when(known, F.col("at")).otherwise(F.col("other")).alias("block_a"), (F.col("k") + F.when(known, F.col("other")).otherwise(F.col("at"))).alias("block_b"), (~known).cast("int").alias("side"))
+
+
+def together(dealt_rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows of ``inside`` or ``across`` brought together and sorted by ``by`` and blocks."""
+    return dealt_rows.repartition(tasks(dealt_rows), *by, "block_a", "block_b").sortWithinPartitions(*by, "block_a", "block_b", "side")
 
 
 def ids(batch: pa.Table, column: str) -> np.ndarray:
@@ -141,6 +161,21 @@ def pieces_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return row[k], (letters[k] << 42) | (second << 21) | third
 
 
+def words_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct words of texts, in their order."""
+    row, word = elements_of(pc.split_pattern(texts, " "))
+    codes, seen = pd.factorize(word)
+    some = np.flatnonzero((np.asarray(seen) != "")[codes]) if len(codes) else np.zeros(0, np.int64)
+    row, codes = row[some], codes[some]
+    first = np.sort(np.unique(row * max(1, len(seen)) + codes, return_index=True)[1])
+    return row[first], codes[first]
+
+
+def among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in ``found``, which is sorted."""
+    return found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys if len(found) else np.zeros(len(keys), bool)
+
+
 def elements_of(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(row, element) of lists."""
     whole_ = lists.combine_chunks()
@@ -164,26 +199,34 @@ def crossed(table: pa.Table, x: np.ndarray, y: np.ndarray, kind: np.ndarray) ->
     yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["kind", "category_id", "a", "b"])
 
 
-def similar(rows: DataFrame, sizes: DataFrame, least: float, inside: float | None = None, cosine: float | None = None, kinds: Callable | None = None) -> DataFrame:
+def similar(rows: DataFrame, sizes: DataFrame, least: float, contained: float | None = None, cosine: float | None = None, kinds: Callable | None = None, spread: bool = False) -> DataFrame:
     """(category_id, bucket, id_a, id_b, j, t, o, c, digit_blocked), id_a < id_b, of the rows of a bucket across shops with equal variants, of which the word or the letter Jaccard
-    reaches ``least``, or the overlap ``inside``, or the cosine ``cosine``.
+    reaches ``least``, or the overlap ``contained``, or the cosine ``cosine``.
+
+    rows: (category_id, bucket, first_id, key, digits, variants, many, shop), many if there are several shops, else shop (NO_SHOP without one); with ``cosine``
+    also squares, the squared weights of the key's distinct words in their order. c is 0 without ``cosine``. Empty keys are like nothing.
 
-    rows: (category_id, bucket, first_id, key, words, digits, variants, many, shop), words as numbers, many if there are several shops, else shop (NO_SHOP without one); with ``cosine``
-    also squares, the squared weights of the words in their order. c is 0 without ``cosine``. Empty keys are like nothing.
+    With ``spread`` the rows of bucket -1 are also in every bucket of their category, but for the buckets ``mine``, in which their key has a row that holds their listings; ``every``
+    has the category's buckets. These rows are compared with each other once, and the pair is given for each bucket.
 
     With ``kinds``, a function of j, t, o and digit_blocked that gives a number, -1 for none, and with the rows' lists listings and shops: (kind, category_id, a, b) of the
-    listings of such pairs that are of different shops.
+    listings of such pairs that are of different shops; a pair of rows without a content is not repeated for other buckets.
     """
-    by = ("category_id", "bucket")
+    by = ("category_id", "part")
+    names = ["category_id", "bucket", "id_a", "id_b", "j", "t", "o", "c", "digit_blocked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole(batches, (*by, "block_a", "block_b")):
-            word_row, word = elements_of(table["words"])
+            word_row, word = words_of(table["key"])
             sets, steps = compared(table, by, {"w": (word_row, word), "p": pieces_of(table["key"])})
             w, p = sets["w"], sets["p"]
             codes = lambda c: pd.factorize(table[c].to_numpy())[0]
             digits, variants, numbers = codes("digits"), codes("variants"), np.array([bool(x) for x in table["digits"].to_pylist()], bool)
             alone, only, first = ~table["many"].to_numpy(), ids(table, "shop"), ids(table, "first_id")
+            category, bucket, part = ids(table, "category_id"), ids(table, "bucket"), ids(table, "part")
+            if spread:
+                mine_row, mine = elements_of(table["mine"])
+                covered = np.unique((mine_row << 32) | mine.astype(np.int64))
             if cosine is not None:
                 weight = pd.Series(elements_of(table["squares"])[1], index=word).groupby(level=0).first()
                 square = weight.reindex(w.value).to_numpy()
@@ -191,10 +234,15 @@ def similar(rows: DataFrame, sizes: DataFrame, least: float, inside: float | Non
             # With fewer shared elements no threshold can be reached, whatever the other row's size.
             least_w = np.maximum(1, np.ceil(w.size * least - 1e-9)).astype(np.int64)
             least_p = np.maximum(1, np.ceil(p.size * least - 1e-9)).astype(np.int64)
+
+            def out(x: np.ndarray, y: np.ndarray, buckets: np.ndarray, scores: list[np.ndarray], blocked: np.ndarray, category=category, first=first) -> pa.RecordBatch:
+                found = [category[x], buckets, np.minimum(first[x], first[y]), np.maximum(first[x], first[y])]
+                return pa.RecordBatch.from_arrays([*[pa.array(v.astype(np.int32)) for v in found], *map(pa.array, scores), pa.array(blocked)], names)
+
             for a, b, at, cells in steps:
                 width = np.diff(np.r_[at, cells])
                 cw, cp = w.counts(a, b, at, cells), p.counts(a, b, at, cells)
-                some = cw > 0 if inside is not None or cosine is not None else cw >= np.repeat(least_w[a:b], width)
+                some = cw > 0 if contained is not None or cosine is not None else cw >= np.repeat(least_w[a:b], width)
                 cell = np.flatnonzero(some | (cp >= np.repeat(least_p[a:b], width)))
                 x, y = cell_rows(cell, a, at, w.low)
                 fit = (variants[x] == variants[y]) & ~(alone[x] & alone[y] & ((only[x] == only[y]) | (only[x] == NO_SHOP) | (only[y] == NO_SHOP)))
@@ -204,23 +252,51 @@ def similar(rows: DataFrame, sizes: DataFrame, least: float, inside: float | Non
                 o = cw[cell] / np.maximum(1, np.minimum(w.size[x], w.size[y]))
                 c = np.zeros(len(cell))
                 keep = (j >= least) | (t >= least)
-                if inside is not None:
-                    keep |= o >= inside
+                if contained is not None:
+                    keep |= o >= contained
                 if cosine is not None:
                     c = w.counts(a, b, at, cells, square)[cell] / np.sqrt(np.maximum(norm[x] * norm[y], 1e-300))
                     keep |= c >= cosine - 1e-12
-                x, y = x[keep], y[keep]
+                if spread:
+                    keep &= (part[x] != ACROSS) | ~among((y << 32) | bucket[x], covered)
+                x, y, scores = x[keep], y[keep], [v[keep] for v in (j, t, o, c)]
                 blocked = numbers[x] & numbers[y] & (digits[x] != digits[y])
                 if kinds is not None:
-                    yield from crossed(table, x, y, kinds(j[keep], t[keep], o[keep], blocked))
+                    yield from crossed(table, x, y, kinds(*scores[:3], blocked))
                     continue
-                found = [ids(table, "category_id")[x], ids(table, "bucket")[x], np.minimum(first[x], first[y]), np.maximum(first[x], first[y])]
-                yield pa.RecordBatch.from_arrays([*[pa.array(v.astype(np.int32)) for v in found], *[pa.array(v[keep]) for v in (j, t, o, c)], pa.array(blocked)], ["category_id", "bucket", "id_a", "id_b", "j", "t", "o", "c", "digit_blocked"])
-
-    placed = dealt(rows, by, sizes, F.col("first_id"))
+                yield out(x, y, bucket[x], scores, blocked)
+                if not spread:
+                    continue
+                twice = np.flatnonzero(part[x] == -1)
+                for k in np.unique(category[x[twice]]):
+                    pairs = twice[category[x[twice]] == k]
+                    every = np.array(table["every"][int(x[pairs[0]])].as_py(), np.int64)
+                    for i in range(0, len(pairs) if len(every) else 0, max(1, STEP // len(every)) if len(every) else 1):
+                        z = np.repeat(pairs[i : i + max(1, STEP // len(every))], len(every))
+                        there = np.tile(every, len(z) // len(every))
+                        free = ~among((x[z] << 32) | there, covered) & ~among((y[z] << 32) | there, covered)
+                        z, there = z[free], there[free]
+                        yield out(x[z], y[z], there, [v[z] for v in scores], blocked[z])
+
+    dealt_rows = inside(rows, ("category_id", "bucket"), sizes, F.col("first_id")).withColumn("part", F.col("bucket"))
+    if spread:
+        apart = across(rows.withColumn("every", F.array().cast("array<int>")), sizes, F.col("first_id")).withColumn("part", F.lit(ACROSS))
+        dealt_rows = dealt_rows.unionByName(apart)
     if kinds is not None:
-        return placed.mapInArrow(run, "kind bigint, category_id bigint, a bigint, b bigint")
-    return placed.mapInArrow(run, "category_id int, bucket int, id_a int, id_b int, j double, t double, o double, c double, digit_blocked boolean")
+        return together(dealt_rows, by).mapInArrow(run, "kind bigint, category_id bigint, a bigint, b bigint")
+    return together(dealt_rows, by).mapInArrow(run, "category_id int, bucket int, id_a int, id_b int, j double, t double, o double, c double, digit_blocked boolean")
+
+
+def likeness_of(w: Sets, steps: Iterator[tuple[int, int, np.ndarray, int]], n: np.ndarray, shop: np.ndarray) -> np.ndarray:
+    """Of each row the sum of its Jaccard to the rows of other shops that it is compared with, times their n."""
+    total = np.zeros(len(n))
+    for a, b, at, cells in steps:
+        c = w.counts(a, b, at, cells)
+        cell = np.flatnonzero(c)
+        x, y = cell_rows(cell, a, at, w.low)
+        score = np.where(shop[x] != shop[y], c[cell] / (w.size[x] + w.size[y] - c[cell]), 0.0)
+        total += np.bincount(x, weights=score * n[y], minlength=len(total)) + np.bincount(y, weights=score * n[x], minlength=len(total))
+    return total
 
 
 def likeness(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame) -> DataFrame:
@@ -230,21 +306,47 @@ def likeness(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole(batches, (*by, "block_a", "block_b")):
             sets, steps = compared(table, by, {"w": elements_of(table["words"])})
-            w, n, shop = sets["w"], ids(table, "n"), ids(table, "source_id")
-            total = np.zeros(table.num_rows)
-            for a, b, at, cells in steps:
-                c = w.counts(a, b, at, cells)
-                cell = np.flatnonzero(c)
-                x, y = cell_rows(cell, a, at, w.low)
-                score = np.where(shop[x] != shop[y], c[cell] / (w.size[x] + w.size[y] - c[cell]), 0.0)
-                total += np.bincount(x, weights=score * n[y], minlength=len(total)) + np.bincount(y, weights=score * n[x], minlength=len(total))
+            total = likeness_of(sets["w"], steps, ids(table, "n"), ids(table, "source_id"))
             kept = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([*[pa.array(ids(table, c)[kept]) for c in names[:-1]], pa.array(total[kept])], names)
 
-    parts = dealt(rows, by, sizes, F.col("product_id")).mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
+    parts = together(inside(rows, by, sizes, F.col("product_id")), by).mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
     return parts.groupBy(*names[:-1]).agg(F.sum("likeness").alias("likeness"))
 
 
+def chosen(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, product_id, source_id, shops) of groups (by) of at most BLOCK rows (*by, product_id, source_id, n, key) across shops: of each shop the row with the highest mean word Jaccard
+    to the other shops' rows, each weighed by its n; ties go to the smaller product_id. Empty keys are alike. A group is one task's, so its rows are moved once."""
+    names = [*by, "product_id", "source_id", "shops"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches, by):
+            zero = pa.array(np.zeros(table.num_rows, np.int64))
+            for c in ("block_a", "block_b", "side"):
+                table = table.append_column(c, zero)
+            row, word = words_of(table["key"])
+            empty = np.setdiff1d(np.arange(table.num_rows), row)
+            row, word = np.r_[row, empty], np.r_[word, np.full(len(empty), -1)]
+            group = np.zeros(table.num_rows, np.int64)
+            group[starts([ids(table, c) for c in by])[1:]] = 1
+            group = np.cumsum(group)
+            n, shop, product = ids(table, "n"), ids(table, "source_id"), ids(table, "product_id")
+            of_shop, place = np.unique(np.stack([group, shop]), axis=1, return_inverse=True)
+            place = place.ravel()
+            sums, shops = np.bincount(place, weights=n), np.bincount(of_shop[0])
+            rest = np.bincount(group, weights=n)[group] - sums[place]
+            sets, steps = compared(table, by, {"w": (row, word)})
+            total = likeness_of(sets["w"], steps, n, shop)
+            score = np.round(total / np.maximum(1, rest), 12)
+            order = np.lexsort((product, -score, place))
+            best = order[starts([place[order]])]
+            best = best[shops[group[best]] > 1]
+            yield pa.RecordBatch.from_arrays([*[pa.array(ids(table, c)[best]) for c in by], pa.array(product[best]), pa.array(shop[best]), pa.array(shops[group[best]].astype(np.int64))], names)
+
+    moved = rows.select(*by, "product_id", "source_id", "n", "key").repartition(tasks(rows), *by).sortWithinPartitions(*by)
+    return moved.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
 def labelled(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, node, label) of the nodes of edges: label is the smallest node that a node reaches."""
     order = np.lexsort((np.r_[a, b], np.r_[group, group]))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillroom.functions.titles import COMPARED_NOISE, COMPARED_VARIANTS, NOISE, VARIANTS, digits_in, jaccard, match_tokens, normalized_title, overlap, trigrams, variants_in
-from stillroom.operators.blocks import NO_SHOP, components, firsts, likeness, similar
+from stillroom.operators import blocks
+from stillroom.operators.blocks import NO_SHOP, chosen, components, firsts, likeness, similar
 from stillroom.operators.graph import smallest_label
 from stillroom.sources.tables import cut
 
@@ -65,23 +66,9 @@ def copies(products: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B
     return cut(rows.groupBy("category_id", "volume_ml", "key", "source_id").agg(F.min("product_id").alias("product_id"), F.count("*").cast("int").alias("n")))
 
 
-def placed(copied: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """The copies with their bucket, those without a content also in every bucket of their category."""
-    columns = ("category_id", "bucket", "key", "source_id", "product_id", "n")
-    own = copied.withColumn("bucket", F.coalesce("volume_ml", F.lit(-1))).select(*columns)
-    if not rules.spread_unknown:
-        return own
-    volumes = copied.where("volume_ml is not null").select("category_id", F.col("volume_ml").alias("bucket")).distinct()
-    return own.unionByName(copied.where("volume_ml is null").join(volumes, "category_id").select(*columns))
-
-
-def bucket_sizes(copied: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """(category_id, bucket, n) with at least as many rows as a bucket has keys."""
-    counted = copied.groupBy("category_id", "volume_ml").agg(F.count("*").alias("n"))
-    unknown = counted.where("volume_ml is null").select("category_id", F.col("n").alias("more"))
-    known = counted.where("volume_ml is not null").join(unknown, "category_id", "left")
-    more = F.coalesce("more", F.lit(0)) if rules.spread_unknown else F.lit(0)
-    return known.select("category_id", F.col("volume_ml").alias("bucket"), (F.col("n") + more).alias("n")).unionByName(unknown.select("category_id", F.lit(-1).alias("bucket"), F.col("more").alias("n")))
+def bucket_sizes(copied: DataFrame) -> DataFrame:
+    """(category_id, bucket, n) with at least as many rows as a bucket has keys, those that only come from listings without a content aside."""
+    return copied.groupBy("category_id", F.coalesce("volume_ml", F.lit(-1)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def word_list(key: Column) -> Column:
@@ -93,19 +80,34 @@ def word_numbers(key: Column) -> Column:
 
 
 def slim_classes(copied: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """(category_id, bucket, key, first_id, many, shop, copies) of the keys of each bucket; copies: (source_id, product_id, n), one for each shop and content."""
-    by = ("category_id", "bucket", "key")
+    """(category_id, bucket, key, first_id, many, shop, copies, own, mine, every) of the keys of each bucket; copies: (source_id, product_id, n), one for each shop and content.
+
+    own is false for a key that is in a bucket only because its listings without a content are in every one. Of keys in bucket -1 that do so, mine are the contents of the key's other
+    listings, and every the contents of the category. Only copies are moved, never what is spread over buckets.
+    """
+    none, entry = F.array().cast("array<int>"), F.struct("volume_ml", "source_id", "product_id", "n")
+    keyed = copied.groupBy("category_id", "key").agg(F.collect_list(entry).alias("x")).withColumn("mine", F.array_compact(F.array_distinct("x.volume_ml")))
+    spread = F.lit(rules.spread_unknown)
+    known = keyed.select("category_id", "key", "x", F.explode("mine").alias("bucket"), none.alias("mine"), none.alias("every"), F.lit(True).alias("own"))
+    contents = copied.where("volume_ml is not null").groupBy("category_id").agg(F.collect_set("volume_ml").alias("every"))
+    unknown = keyed.where(F.exists("x", lambda c: c["volume_ml"].isNull())).join(contents, "category_id", "left").withColumn("every", F.when(spread, F.coalesce("every", none)).otherwise(none))
+    buckets = F.concat(F.array(F.lit(-1)), F.array_except("every", "mine"))
+    rows = known.unionByName(unknown.withColumns({"bucket": F.explode(buckets), "own": F.lit(True)}).withColumn("own", F.col("bucket") == -1).select(*known.columns))
+    here = F.filter("x", lambda c: c["volume_ml"].isNull() & (spread | (F.col("bucket") == -1)) | F.coalesce(c["volume_ml"] == F.col("bucket"), F.lit(False)))
+    classes = rows.withColumn("copies", F.transform(here, lambda c: F.struct(c["source_id"].alias("source_id"), c["product_id"].alias("product_id"), c["n"].alias("n"))))
     source = F.col("copies.source_id")
-    rows = placed(copied, rules).groupBy(*by).agg(F.min("product_id").alias("first_id"), F.collect_list(F.struct("source_id", "product_id", "n")).alias("copies"))
-    return rows.select(*by, "first_id", (F.array_min(source) != F.array_max(source)).alias("many"), F.coalesce(F.array_min(source), F.lit(NO_SHOP)).alias("shop"), "copies").withColumn("many", F.coalesce("many", F.lit(False)))
+    return classes.select(
+        "category_id", "bucket", "key", F.array_min("copies.product_id").alias("first_id"), F.coalesce(F.array_min(source) != F.array_max(source), F.lit(False)).alias("many"),
+        F.coalesce(F.array_min(source), F.lit(NO_SHOP)).alias("shop"), "copies", "own", "mine", "every",
+    )
 
 
 def similar_keys(copied: DataFrame, classes: DataFrame, least: float, rules: Rules = Rules(), **more) -> DataFrame:  # noqa: B008
     """``similar`` of the key classes (with columns squares, listings and shops where they are needed)."""
     tokens = word_list(F.col("key"))
-    extra = [c for c in ("squares", "listings", "shops") if c in classes.columns]
-    rows = classes.select("category_id", "bucket", "first_id", "key", word_numbers(F.col("key")).alias("words"), F.array_join(digits_in(tokens), " ").alias("digits"), F.array_join(variants_in(tokens, rules.variants), " ").alias("variants"), "many", "shop", *extra)
-    return similar(rows, bucket_sizes(copied, rules), least, **more)
+    extra = [c for c in ("squares", "listings", "shops") if c in classes.columns] + ["mine", "every"] * rules.spread_unknown
+    rows = classes.where("own").select("category_id", "bucket", "first_id", "key", F.array_join(digits_in(tokens), " ").alias("digits"), F.array_join(variants_in(tokens, rules.variants), " ").alias("variants"), "many", "shop", *extra)
+    return similar(rows, bucket_sizes(copied), least, spread=rules.spread_unknown, **more)
 
 
 def prefixes(classes: DataFrame, field: str, least: float) -> DataFrame:
@@ -180,24 +182,29 @@ def clusters(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFr
     counted = members.groupBy("category_id", "bucket", "key", "source_id").agg(F.count("*").alias("n"), F.min("product_id").alias("product_id"))
     rows = cut(counted.join(full, ["category_id", "bucket", "key"]).select("category_id", "bucket", F.xxhash64("cluster").alias("number"), "cluster", "words", "source_id", "n", "product_id"))
     names = rows.select("number", "category_id", "bucket", "cluster").distinct()
-    return one_of_each_shop(rows, ("number",)).join(names, "number").select("category_id", "bucket", "cluster", "product_id", "source_id")
+    return weighed_in_blocks(rows, ("number",)).join(names, "number").select("category_id", "bucket", "cluster", "product_id", "source_id")
+
 
+def clustered(classes: DataFrame, links: DataFrame, by: tuple[str, ...] = ("category_id", "bucket"), several: DataFrame | None = None) -> DataFrame:
+    """(*by, cluster, product_id, source_id, shops) like ``clusters``, of slim classes and links (*by, a, b) between first_ids. cluster is the smallest listing of a component.
+    ``several``: the classes of several shops, which are clusters without a link, too, with all of ``by`` where classes lack some.
 
-def clustered(classes: DataFrame, links: DataFrame, by: tuple[str, ...] = ("category_id", "bucket")) -> DataFrame:
-    """(*by, cluster, product_id, source_id, shops) like ``clusters``, of slim classes and links (*by, a, b) between first_ids. cluster is the smallest listing of a component."""
-    labels = components(links, by).withColumnRenamed("node", "first_id")
-    named = classes.join(labels, [*by, "first_id"], "left").where("label is not null or many")
-    each = named.select(*by, F.coalesce("label", F.col("first_id").cast("bigint")).alias("cluster"), "key", F.explode("copies").alias("x"))
+    A linked class of one shop is looked up among the own classes by its smallest listing, so that the others, which are spread over buckets, aren't moved.
+    """
+    labels = cut(components(links, by).withColumnRenamed("node", "first_id"))
+    columns = (*by, F.coalesce("label", F.col("first_id").cast("bigint")).alias("cluster"), "key", F.explode("copies").alias("x"))
+    many = (classes.where("many") if several is None else several).join(labels, [*by, "first_id"], "left").select(*columns)
+    home = classes.where("own and not many").select("category_id", F.col("first_id").cast("bigint").alias("first_id"), F.col("bucket").alias("home"), "mine", "key", "copies")
+    there = (F.col("home") == F.col("bucket")) | (F.col("home") == -1) & ~F.array_contains("mine", F.col("bucket").cast("int"))
+    each = many.unionByName(labels.join(home, ["category_id", "first_id"]).where(there).select(*columns))
     rows = each.groupBy(*by, "cluster", "key", F.col("x.source_id").alias("source_id")).agg(F.sum("x.n").alias("n"), F.min("x.product_id").alias("product_id"))
-    return one_of_each_shop(cut(rows).withColumn("words", word_numbers(F.col("key"))), (*by, "cluster"))
+    return one_of_each_shop(cut(rows), (*by, "cluster"))
 
 
-def one_of_each_shop(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(*by, product_id, source_id, shops) of rows (with words and n, the copies of a key in a shop): of each shop of a cluster (by) across shops the listing
-    with the highest mean word Jaccard to the other shops' listings. The rows are read twice.
+def weighed_in_blocks(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``one_of_each_shop`` of rows with words, for clusters of any size: words are compared in blocks, so no task holds a whole cluster.
 
-    Only clusters are weighed in which a shop has several keys. Words are compared in blocks, so no task holds a whole cluster. An empty key has one word of its own, so that
-    empty keys are alike.
+    Only clusters are weighed in which a shop has several keys. An empty key has one word of its own, so that empty keys are alike.
     """
     rows = rows.where(F.col("source_id").isNotNull()).withColumn("words", F.when(F.size("words") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("words")))
     per_shop = rows.groupBy(*by, "source_id").agg(F.count("*").alias("keys"), F.sum("n").alias("of_shop"))
@@ -209,6 +216,21 @@ def one_of_each_shop(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return best.select(*by, "product_id", "source_id", "shops")
 
 
+def one_of_each_shop(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, product_id, source_id, shops) of rows (*by, product_id, source_id, n, key; n: the copies of a key in a shop): of each shop of a cluster (by) across shops the listing
+    with the highest mean word Jaccard to the other shops' listings. The rows are read three times.
+
+    Clusters of at most BLOCK rows are one task's each, larger ones are compared in blocks.
+    """
+    rows = rows.where(F.col("source_id").isNotNull())
+    # Of all rows at most one in BLOCK counts here.
+    large = F.broadcast(rows.groupBy(*by).agg(F.count("*").alias("size")).where(F.col("size") > blocks.BLOCK).select(*by))
+    few = chosen(rows.join(large, [*by], "left_anti"), by)
+    kinds = dict(rows.dtypes)
+    many = weighed_in_blocks(rows.join(large, [*by], "left_semi").withColumn("words", word_numbers(F.col("key"))), by)
+    return many.unionByName(few.select(*[F.col(c).cast(kinds[c]).alias(c) for c in (*by, "product_id", "source_id")], "shops"))
+
+
 def chained(members: DataFrame, near: DataFrame) -> DataFrame:
     """(label, product_id, source_id, key): the listings of the class pairs (category_id, bucket, key_a, key_b), chained within a category over all buckets; label is the
     smallest listing.
@@ -230,7 +252,7 @@ def typical(chains: DataFrame, by: tuple[str, ...] = ("label",)) -> DataFrame:
     """(*by, source_id, product_id): one listing for each shop of a chain across shops; chains of one shop have none. Without a column n each row is one listing."""
     n = F.sum("n") if "n" in chains.columns else F.count("*")
     counted = cut(chains.groupBy(*by, "source_id", "key").agg(n.alias("n"), F.min("product_id").alias("product_id")))
-    return one_of_each_shop(counted.withColumn("words", word_numbers(F.col("key"))), by).select(*by, "source_id", "product_id")
+    return one_of_each_shop(counted, by).select(*by, "source_id", "product_id")
 
 
 KINDS = ("near_miss", "overlap")
@@ -339,31 +361,31 @@ def cosine_pairs(classes: DataFrame, weights: DataFrame, least: float = MATCH) -
     return pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least - 1e-12)
 
 
-def key_weights(copied: DataFrame) -> DataFrame:
-    """(key, squares): the squared idf of a key's distinct words, in their order."""
+def key_weights(copied: DataFrame, classes: DataFrame) -> DataFrame:
+    """(first_id, squares): of classes whose listings are in one each, the squared idf of the key's distinct words, in their order. Words are moved with the class's number, not its key."""
     total = copied.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = copied.select("n", F.explode(F.array_distinct(word_list(F.col("key")))).alias("word")).groupBy("word").agg(F.sum("n").alias("df"))
     weight = df.select("word", (F.log(F.lit(total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    words = copied.select("key").distinct().select("key", F.posexplode(F.array_distinct(word_list(F.col("key")))).alias("place", "word"))
-    listed = words.join(weight, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "idf"))).alias("x"))
-    return listed.select("key", F.transform("x", lambda x: x["idf"] * x["idf"]).alias("squares"))
+    words = classes.select("first_id", F.posexplode(F.array_distinct(word_list(F.col("key")))).alias("place", "word"))
+    listed = words.join(weight, "word").groupBy("first_id").agg(F.array_sort(F.collect_list(F.struct("place", "idf"))).alias("x"))
+    return listed.select("first_id", F.transform("x", lambda x: x["idf"] * x["idf"]).alias("squares"))
 
 
 def matcher_pairs(products: DataFrame) -> DataFrame:
     """(matcher, id_a, id_b) of the listings that each of four matchers puts into one cluster, under the comparison rules."""
     copied = copies(products, COMPARED)
     classes = slim_classes(copied, COMPARED)
-    weighed = classes.join(key_weights(copied), "key", "left").withColumn("squares", F.coalesce("squares", F.array().cast("array<double>")))
-    found = similar_keys(copied, weighed, MATCH, COMPARED, inside=MATCH, cosine=MATCH)
+    weighed = classes.join(key_weights(copied, classes), "first_id", "left").withColumn("squares", F.coalesce("squares", F.array().cast("array<double>")))
+    found = similar_keys(copied, weighed, MATCH, COMPARED, contained=MATCH, cosine=MATCH)
     reached = F.array(*[F.when(ok, F.lit(i)) for i, ok in enumerate((F.col("j") >= MATCH, F.col("t") >= MATCH, F.col("o") >= MATCH, F.col("c") >= MATCH - 1e-12))])
     links = found.select(F.explode(F.array_compact(reached)).alias("matcher"), "category_id", "bucket", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     # Empty keys are alike for all matchers but the cosine.
-    each = classes.withColumn("matcher", F.explode(F.when(F.col("key") == "", F.array(*map(F.lit, range(3)))).otherwise(F.array(*map(F.lit, range(4))))))
+    several = classes.where("many").withColumn("matcher", F.explode(F.when(F.col("key") == "", F.array(*map(F.lit, range(3)))).otherwise(F.array(*map(F.lit, range(4))))))
     by = ("matcher", "category_id", "bucket")
     # A cluster has one listing a shop, so there are few pairs.
-    listings = clustered(each, links, by).groupBy(*by, "cluster").agg(F.array_sort(F.collect_list("product_id")).alias("x"))
+    listings = clustered(classes, links, by, several).groupBy(*by, "cluster").agg(F.array_sort(F.collect_list("product_id")).alias("x"))
     firsts_ = listings.select("matcher", F.posexplode("x").alias("i", "id_a"), "x").select("matcher", "id_a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("id_b"))
-    name = F.element_at(F.array(*[F.lit(m) for m in MATCHERS]), F.col("matcher") + 1)
+    name = F.element_at(F.array(*[F.lit(m) for m in MATCHERS]), F.col("matcher").cast("int") + 1)
     return firsts_.select(name.alias("matcher"), "id_a", "id_b").distinct()
 
 
