@@ -28,6 +28,7 @@ def spread(spark, tmp_path_factory):
     "name, most",
     [
         ("consensus_pairs", 3),
+        ("match_components", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
