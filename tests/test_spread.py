@@ -31,6 +31,7 @@ def spread(spark, tmp_path_factory):
         ("match_components", 6),
         ("matcher_examples", 3),
         ("pair_kinds", 6),
+        ("run_counters", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
