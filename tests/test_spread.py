@@ -33,6 +33,7 @@ def spread(spark, tmp_path_factory):
         ("pair_kinds", 6),
         ("run_counters", 6),
         ("all_scored_pairs", 6),
+        ("cluster_histogram", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
