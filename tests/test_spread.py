@@ -34,6 +34,7 @@ def spread(spark, tmp_path_factory):
         ("run_counters", 6),
         ("all_scored_pairs", 6),
         ("cluster_histogram", 6),
+        ("matcher_agreement", 3),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
