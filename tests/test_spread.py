@@ -35,6 +35,7 @@ def spread(spark, tmp_path_factory):
         ("all_scored_pairs", 6),
         ("cluster_histogram", 6),
         ("matcher_agreement", 3),
+        ("matcher_summary", 3),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
