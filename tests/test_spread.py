@@ -36,6 +36,7 @@ def spread(spark, tmp_path_factory):
         ("cluster_histogram", 6),
         ("matcher_agreement", 3),
         ("matcher_summary", 3),
+        ("pair_kinds_high_floor", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
