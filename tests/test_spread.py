@@ -37,6 +37,7 @@ def spread(spark, tmp_path_factory):
         ("matcher_agreement", 3),
         ("matcher_summary", 3),
         ("pair_kinds_high_floor", 6),
+        ("run_summary", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
