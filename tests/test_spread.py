@@ -38,6 +38,7 @@ def spread(spark, tmp_path_factory):
         ("matcher_summary", 3),
         ("pair_kinds_high_floor", 6),
         ("run_summary", 6),
+        ("suggestion_counters", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
