@@ -39,6 +39,7 @@ def spread(spark, tmp_path_factory):
         ("pair_kinds_high_floor", 6),
         ("run_summary", 6),
         ("suggestion_counters", 6),
+        ("cluster_labels", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
