@@ -40,6 +40,7 @@ def spread(spark, tmp_path_factory):
         ("run_summary", 6),
         ("suggestion_counters", 6),
         ("cluster_labels", 6),
+        ("match_clusters", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
