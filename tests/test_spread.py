@@ -41,6 +41,7 @@ def spread(spark, tmp_path_factory):
         ("suggestion_counters", 6),
         ("cluster_labels", 6),
         ("match_clusters", 6),
+        ("matcher_disagreements", 3),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
