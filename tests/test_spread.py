@@ -42,6 +42,7 @@ def spread(spark, tmp_path_factory):
         ("cluster_labels", 6),
         ("match_clusters", 6),
         ("matcher_disagreements", 3),
+        ("matches_beside_confirmed", 6),
     ],
 )
 def test_listings_without_content_are_moved_once(spark, spread, name, most):
