@@ -13,7 +13,7 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name, most", [("suggested_clusters", 6), ("suggested_clusters_high_floor", 6)])
+@pytest.mark.parametrize("name, most", [("suggested_clusters", 6), ("suggested_clusters_high_floor", 6), ("suggestion_queue", 6)])
 def test_suggestions_shuffle_little(spark, spread, name, most):  # noqa: F811
     import os
 
