@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, cells and hits of a step in a task, rows that a task gathers before it compares.
 BLOCK, STEP, GATHER = 8_192, 1_000_000, 20_000
+#: Blocks are so many times as large where only words are compared, which are few.
+WIDE = 4
 NO_SHOP = -(2**31)
 #: In place of a bucket: its category's rows with a content against those without.
 ACROSS = -(2**31)
@@ -27,13 +29,14 @@ def tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def inside(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame, row: Column) -> DataFrame:
+def inside(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame, row: Column, block: int = 0) -> DataFrame:
     """The rows with (block_a, block_b, side): a row is there once for each block that its own is compared with.
 
-    ``sizes`` has an upper bound n of the rows of each group. ``row`` tells a group's rows apart.
+    ``sizes`` has an upper bound n of the rows of each group. ``row`` tells a group's rows apart. A block has about ``block`` rows, BLOCK if that is 0.
     """
-    # Of all rows at most one in BLOCK counts here.
-    large = F.broadcast(sizes.where(F.col("n") > BLOCK).select(*by, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    block = block or BLOCK
+    # Of all rows at most one in ``block`` counts here.
+    large = F.broadcast(sizes.where(F.col("n") > block).select(*by, F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     own = rows.join(large, list(by), "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), "blocks").cast("int")))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     return own.withColumn("other", F.explode(others)).select(*rows.columns, F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
@@ -171,6 +174,13 @@ def words_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return row[first], codes[first]
 
 
+def key_sets(keys: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct words of keys; an empty key has one word of its own, so that empty keys are alike."""
+    row, word = words_of(keys)
+    empty = np.setdiff1d(np.arange(len(keys)), row)
+    return np.r_[row, empty], np.r_[word, np.full(len(empty), -1)]
+
+
 def among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Which of ``keys`` are in ``found``, which is sorted."""
     return found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys if len(found) else np.zeros(len(keys), bool)
@@ -300,17 +310,18 @@ def likeness_of(w: Sets, steps: Iterator[tuple[int, int, np.ndarray, int]], n: n
 
 
 def likeness(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame) -> DataFrame:
-    """(*by, product_id, likeness) of rows (*by, product_id, source_id, n, words): the sum of a row's word Jaccard to each row of another shop of its group, times that row's n."""
+    """(*by, product_id, likeness) of rows (*by, product_id, source_id, n, key): the sum of a row's word Jaccard to each row of another shop of its group, times that row's n. Rows may have
+    words, numbers that stand for them, in place of a key, which is less to move."""
     names = [*by, "product_id", "likeness"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole(batches, (*by, "block_a", "block_b")):
-            sets, steps = compared(table, by, {"w": elements_of(table["words"])})
+            sets, steps = compared(table, by, {"w": key_sets(table["key"]) if "key" in table.column_names else elements_of(table["words"])})
             total = likeness_of(sets["w"], steps, ids(table, "n"), ids(table, "source_id"))
             kept = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([*[pa.array(ids(table, c)[kept]) for c in names[:-1]], pa.array(total[kept])], names)
 
-    parts = together(inside(rows, by, sizes, F.col("product_id")), by).mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
+    parts = together(inside(rows, by, sizes, F.col("product_id"), WIDE * BLOCK), by).mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
     return parts.groupBy(*names[:-1]).agg(F.sum("likeness").alias("likeness"))
 
 
@@ -324,9 +335,6 @@ def chosen(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
             zero = pa.array(np.zeros(table.num_rows, np.int64))
             for c in ("block_a", "block_b", "side"):
                 table = table.append_column(c, zero)
-            row, word = words_of(table["key"])
-            empty = np.setdiff1d(np.arange(table.num_rows), row)
-            row, word = np.r_[row, empty], np.r_[word, np.full(len(empty), -1)]
             group = np.zeros(table.num_rows, np.int64)
             group[starts([ids(table, c) for c in by])[1:]] = 1
             group = np.cumsum(group)
@@ -335,7 +343,7 @@ def chosen(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
             place = place.ravel()
             sums, shops = np.bincount(place, weights=n), np.bincount(of_shop[0])
             rest = np.bincount(group, weights=n)[group] - sums[place]
-            sets, steps = compared(table, by, {"w": (row, word)})
+            sets, steps = compared(table, by, {"w": key_sets(table["key"])})
             total = likeness_of(sets["w"], steps, n, shop)
             score = np.round(total / np.maximum(1, rest), 12)
             order = np.lexsort((product, -score, place))

@@ -12,7 +12,7 @@ from stillroom.functions.titles import COMPARED_NOISE, COMPARED_VARIANTS, NOISE,
 from stillroom.operators import blocks
 from stillroom.operators.blocks import NO_SHOP, chosen, components, firsts, likeness, similar
 from stillroom.operators.graph import smallest_label
-from stillroom.sources.tables import cut
+from stillroom.sources.tables import cut, settled
 
 MATCH, NEAR, OVERLAP_FLOOR = 0.70, 0.37, 0.50
 
@@ -63,7 +63,7 @@ def key_classes(members: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noq
 def copies(products: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """(category_id, volume_ml, key, source_id, product_id, n): a shop's available listings of one category, content and key, which lie in the same buckets, named by the smallest."""
     rows = bucketed(products, replace(rules, spread_unknown=False)).select("category_id", F.when(F.col("bucket") >= 0, F.col("bucket")).alias("volume_ml"), "key", "source_id", "product_id")
-    return cut(rows.groupBy("category_id", "volume_ml", "key", "source_id").agg(F.min("product_id").alias("product_id"), F.count("*").cast("int").alias("n")))
+    return settled(rows.groupBy("category_id", "volume_ml", "key", "source_id").agg(F.min("product_id").alias("product_id"), F.count("*").cast("int").alias("n")))
 
 
 def bucket_sizes(copied: DataFrame) -> DataFrame:
@@ -191,26 +191,29 @@ def clustered(classes: DataFrame, links: DataFrame, by: tuple[str, ...] = ("cate
 
     A linked class of one shop is looked up among the own classes by its smallest listing, so that the others, which are spread over buckets, aren't moved.
     """
-    labels = cut(components(links, by).withColumnRenamed("node", "first_id"))
+    labels = settled(components(links, by).withColumnRenamed("node", "first_id"))
     columns = (*by, F.coalesce("label", F.col("first_id").cast("bigint")).alias("cluster"), "key", F.explode("copies").alias("x"))
     many = (classes.where("many") if several is None else several).join(labels, [*by, "first_id"], "left").select(*columns)
     home = classes.where("own and not many").select("category_id", F.col("first_id").cast("bigint").alias("first_id"), F.col("bucket").alias("home"), "mine", "key", "copies")
     there = (F.col("home") == F.col("bucket")) | (F.col("home") == -1) & ~F.array_contains("mine", F.col("bucket").cast("int"))
     each = many.unionByName(labels.join(home, ["category_id", "first_id"]).where(there).select(*columns))
     rows = each.groupBy(*by, "cluster", "key", F.col("x.source_id").alias("source_id")).agg(F.sum("x.n").alias("n"), F.min("x.product_id").alias("product_id"))
-    return one_of_each_shop(cut(rows), (*by, "cluster"))
+    return one_of_each_shop(settled(rows), (*by, "cluster"))
 
 
 def weighed_in_blocks(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``one_of_each_shop`` of rows with words, for clusters of any size: words are compared in blocks, so no task holds a whole cluster.
+    """``one_of_each_shop`` of rows with a key, or with words in its place, for clusters of any size: words are compared in blocks, so no task holds a whole cluster.
 
     Only clusters are weighed in which a shop has several keys. An empty key has one word of its own, so that empty keys are alike.
     """
-    rows = rows.where(F.col("source_id").isNotNull()).withColumn("words", F.when(F.size("words") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("words")))
+    rows = rows.where(F.col("source_id").isNotNull())
+    text = "words" if "words" in rows.columns else "key"
+    if text == "words":
+        rows = rows.withColumn("words", F.when(F.size("words") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("words")))
     per_shop = rows.groupBy(*by, "source_id").agg(F.count("*").alias("keys"), F.sum("n").alias("of_shop"))
     per_cluster = per_shop.groupBy(*by).agg(F.count("*").alias("shops"), F.sum("of_shop").alias("of_all"), F.sum("keys").alias("n"), F.max("keys").alias("most")).where("shops > 1")
     weighed = per_cluster.where("most > 1")
-    sums = likeness(rows.join(weighed.select(*by), [*by], "left_semi").select(*by, "product_id", "source_id", "n", "words"), by, weighed.select(*by, "n"))
+    sums = likeness(rows.join(weighed.select(*by), [*by], "left_semi").select(*by, "product_id", "source_id", "n", text), by, weighed.select(*by, "n"))
     ranked = rows.select(*by, "product_id", "source_id", "n").join(per_shop.join(per_cluster.select(*by, "shops", "of_all"), [*by]).drop("keys"), [*by, "source_id"]).join(sums, [*by, "product_id"], "left")
     best = ranked.groupBy(*by, "source_id").agg(F.max_by("product_id", F.struct(F.round(F.coalesce(F.col("likeness") / (F.col("of_all") - F.col("of_shop")), F.lit(0.0)), 12), -F.col("product_id"))).alias("product_id"), F.first("shops").alias("shops"))
     return best.select(*by, "product_id", "source_id", "shops")
@@ -227,7 +230,7 @@ def one_of_each_shop(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     large = F.broadcast(rows.groupBy(*by).agg(F.count("*").alias("size")).where(F.col("size") > blocks.BLOCK).select(*by))
     few = chosen(rows.join(large, [*by], "left_anti"), by)
     kinds = dict(rows.dtypes)
-    many = weighed_in_blocks(rows.join(large, [*by], "left_semi").withColumn("words", word_numbers(F.col("key"))), by)
+    many = weighed_in_blocks(rows.join(large, [*by], "left_semi"), by)
     return many.unionByName(few.select(*[F.col(c).cast(kinds[c]).alias(c) for c in (*by, "product_id", "source_id")], "shops"))
 
 
@@ -251,7 +254,7 @@ def chained(members: DataFrame, near: DataFrame) -> DataFrame:
 def typical(chains: DataFrame, by: tuple[str, ...] = ("label",)) -> DataFrame:
     """(*by, source_id, product_id): one listing for each shop of a chain across shops; chains of one shop have none. Without a column n each row is one listing."""
     n = F.sum("n") if "n" in chains.columns else F.count("*")
-    counted = cut(chains.groupBy(*by, "source_id", "key").agg(n.alias("n"), F.min("product_id").alias("product_id")))
+    counted = settled(chains.groupBy(*by, "source_id", "key").agg(n.alias("n"), F.min("product_id").alias("product_id")))
     return one_of_each_shop(counted, by).select(*by, "source_id", "product_id")
 
 
@@ -285,7 +288,7 @@ def suggestions(products: DataFrame, low: float = NEAR, rules: Rules = Rules())
     chains = components(links, ("kind", "category_id")).select("kind", F.col("label").cast("int").alias("label"), F.col("node").cast("int").alias("product_id"))
     found = typical(chains.join(copied.select("product_id", "source_id", "key", "n"), "product_id"), ("kind", "label"))
     # One row for each shop of a group, with what its scores need.
-    full = cut(found.join(copied.select("product_id", "key", F.coalesce("volume_ml", F.lit(-1)).alias("bucket")), "product_id"))
+    full = settled(found.join(copied.select("product_id", "key", F.coalesce("volume_ml", F.lit(-1)).alias("bucket")), "product_id"))
     tokens = word_list(F.col("key"))
     rows = full.select("kind", "label", "product_id", "bucket", word_numbers(F.col("key")).alias("words"), trigrams(tokens).alias("pieces"), variants_in(tokens, rules.variants).alias("variants"))
     other = rows.select("kind", "label", *[F.col(c).alias(f"{c}_o") for c in ("product_id", "bucket", "words", "pieces", "variants")])

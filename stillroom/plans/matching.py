@@ -16,7 +16,7 @@ from stillroom.operators.lookup import queued
 from stillroom.operators.matching import MATCH, MATCHERS, NEAR, agreement, bucketed, clustered, copies, edges, idf, match_links, match_rows, matcher_pairs, pair_classes, similar_keys, similarity_pairs, slim_classes, suggestions
 from stillroom.plans.catalogue_sql import NORMAL
 from stillroom.sources.landing import export_json
-from stillroom.sources.tables import cut, table
+from stillroom.sources.tables import settled, table
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,7 @@ def matches_beside_confirmed(spark, d):
 def run_counters(spark, d):
     """Counters of a matching run in one row: categories, contents (buckets, also of one shop), clusters kept, rows inserted and rows left out for a conflict with a confirmed match."""
     rows = products(spark, d).where("is_available and category_id is not null")
-    found = cut(match_rows(products(spark, d)))
+    found = settled(match_rows(products(spark, d)))
     free = found.join(confirmed_matches(table(spark, d, "possible_matches")).select("product_id").distinct(), "product_id", "left_semi").select("match_id").distinct()
     one = lambda df: df.withColumn("one", F.lit(1))
     counted = one(rows.agg(F.count_distinct("category_id").alias("categories"), F.count_distinct(F.struct("category_id", F.coalesce("volume_ml", F.lit(-1)))).alias("volume_groups")))
@@ -168,7 +168,7 @@ def matcher_summary(spark, d):
 
 
 def matcher_agreement(spark, d):
-    return agreement(cut(matcher_pairs(products(spark, d))))
+    return agreement(settled(matcher_pairs(products(spark, d))))
 
 
 def consensus_pairs(spark, d):
@@ -186,14 +186,14 @@ def disagreements(pairs: DataFrame) -> DataFrame:
 
 def matcher_disagreements(spark, d):
     """How many pairs each matcher finds that the word Jaccard doesn't, and the other way round."""
-    found = disagreements(cut(matcher_pairs(products(spark, d)))).groupBy("matcher").agg(F.count_if(F.col("side") == "only_here").alias("only_here"), F.count_if(F.col("side") == "only_jaccard").alias("only_jaccard"))
+    found = disagreements(settled(matcher_pairs(products(spark, d)))).groupBy("matcher").agg(F.count_if(F.col("side") == "only_here").alias("only_here"), F.count_if(F.col("side") == "only_jaccard").alias("only_jaccard"))
     names = spark.createDataFrame([(m,) for m in MATCHERS if m != "jaccard"], "matcher string")
     return names.join(found, "matcher", "left").select("matcher", F.coalesce("only_here", F.lit(0)).alias("only_here"), F.coalesce("only_jaccard", F.lit(0)).alias("only_jaccard"))
 
 
 def matcher_examples(spark, d):
     """The first five pairs of each disagreement, with their titles."""
-    found = disagreements(cut(matcher_pairs(products(spark, d))))
+    found = disagreements(settled(matcher_pairs(products(spark, d))))
     order = Window.partitionBy("matcher", "side").orderBy("id_a", "id_b")
     first = found.withColumn("k", F.row_number().over(order)).where("k <= 5")
     titles = lambda x: products(spark, d).select(F.col("id").alias(f"id_{x}"), F.col("title").alias(f"title_{x}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,3 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, so that later steps neither repeat nor re-partition it."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``, with the shuffled files that led to it removed: Spark keeps them until the driver happens to collect its garbage, and a query with several cuts would hold all of them at once."""
+    spark, done = df.sparkSession, cut(df)
+    del df  # a caller's name for it would keep its files
+    gc.collect()
+    spark._jvm.System.gc()
+    return done
