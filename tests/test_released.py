@@ -2,11 +2,15 @@
 
 import gc
 import os
+import random
 import time
 
 import pytest
 from test_disk import DATA, files
+from test_suggested_bytes import shuffled
 
+from stillroom.operators import blocks
+from stillroom.operators.matching import one_of_each_shop
 from stillroom.plans.matching import QUERIES
 
 
@@ -26,3 +30,17 @@ def test_cuts_leave_no_shuffled_files(spark, name):
         time.sleep(0.1)
     print(name, left)
     assert left <= 200_000 and rows.columns
+
+
+def test_large_clusters_are_moved_as_keys(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(1, i, rnd.randint(1, 3), 1, " ".join(rnd.sample(words, rnd.randint(0, 6)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g int, product_id int, source_id int, n int, key string").localCheckpoint()
+    whole = {tuple(r) for r in one_of_each_shop(df, ("g",)).collect()}
+    monkeypatch.setattr(blocks, "BLOCK", 100)
+    before = shuffled(spark)
+    dealt = {tuple(r) for r in one_of_each_shop(df, ("g",)).collect()}
+    moved = shuffled(spark) - before
+    print(moved)
+    assert dealt == whole and len(whole) == 3 and moved < 2_500_000
