@@ -19,7 +19,7 @@ def held(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test data here")
-@pytest.mark.parametrize("name", ["matcher_examples"])
+@pytest.mark.parametrize("name", ["matcher_examples", "suggested_clusters_high_floor"])
 def test_cuts_leave_no_shuffled_files(spark, name):
     gc.collect()
     spark._jvm.System.gc()
