@@ -1,12 +1,14 @@
 """Sets compared inside groups, and small graphs inside groups, in the memory of tasks: pairs are counted where they are found and never shuffled.
 
-A group of more than BLOCK rows is dealt into blocks, and each task compares two of them, so no task holds more than two blocks of a group. What is moved is
-a group's rows, once for each of its blocks. Rows that belong to every bucket of their category are moved and compared with each other once, not once for each bucket.
+A group of more than BLOCK rows is dealt into blocks, and each task compares two of them, so no task holds more than two blocks of a group. The blocks are files in the shared
+folder, written once, of which a task reads its two; so what is written grows with rows, not with pairs of blocks. Rows that belong to every bucket of their category are written and
+compared with each other once, not once for each bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stillroom.sources.tables import stored
+
 #: Rows of a block, cells and hits of a step in a task, rows that a task gathers before it compares.
 BLOCK, STEP, GATHER = 8_192, 1_000_000, 20_000
 #: Blocks are so many times as large where only words are compared, which are few.
@@ -29,37 +33,87 @@ def tasks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def inside(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame, row: Column, block: int = 0) -> DataFrame:
-    """The rows with (block_a, block_b, side): a row is there once for each block that its own is compared with.
+def inside(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame, row: Column, block: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of groups of one block with (block_a, block_b, side), those of larger groups with (block), and the pairs of blocks (*by, block_a, block_b) of larger groups.
 
     ``sizes`` has an upper bound n of the rows of each group. ``row`` tells a group's rows apart. A block has about ``block`` rows, BLOCK if that is 0.
     """
     block = block or BLOCK
     # Of all rows at most one in ``block`` counts here.
     large = F.broadcast(sizes.where(F.col("n") > block).select(*by, F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    own = rows.join(large, list(by), "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), "blocks").cast("int")))
-    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return own.withColumn("other", F.explode(others)).select(*rows.columns, F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    few = rows.join(large, list(by), "left_anti").withColumns({"block_a": F.lit(0), "block_b": F.lit(0), "side": F.lit(0)})
+    many = rows.join(large, list(by)).withColumn("block", F.pmod(F.xxhash64(row), "blocks").cast("int")).select(*rows.columns, "block")
+    first = large.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return few, many, first.select(*by, "block_a", F.explode(F.sequence("block_a", F.col("blocks") - 1)).alias("block_b"))
 
 
-def across(rows: DataFrame, sizes: DataFrame, row: Column) -> DataFrame:
-    """Like ``inside``, for each category's rows with a content (side 0) against those without (bucket -1, side 1)."""
+def across(rows: DataFrame, sizes: DataFrame, row: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Like ``inside``, for each category's rows with a content (side 0) against those without (bucket -1, side 1). Categories that lack either are left out."""
     count = lambda known: F.coalesce(F.sum(F.when((F.col("bucket") >= 0) == known, F.col("n"))), F.lit(0))
-    counted = sizes.groupBy("category_id").agg(count(F.lit(True)).alias("known"), count(F.lit(False)).alias("unknown")).where(F.greatest("known", "unknown") > BLOCK)
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK).cast("int"))
-    large = F.broadcast(counted.select("category_id", blocks("known").alias("k"), blocks("unknown").alias("u")))
-    own = rows.join(large, "category_id", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "u": F.coalesce("u", F.lit(1))})
-    known = F.col("bucket") >= 0
+    counted = sizes.groupBy("category_id").agg(count(F.lit(True)).alias("known"), count(F.lit(False)).alias("unknown")).where("known > 0 and unknown > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    placed = F.broadcast(counted.select("category_id", (F.greatest("known", "unknown") > BLOCK).alias("large"), blocks("known").alias("k"), blocks("unknown").alias("u")))
+    own, known = rows.join(placed, "category_id"), F.col("bucket") >= 0
+    few = own.where("not large").select(*rows.columns, F.lit(0).alias("block_a"), F.lit(1).alias("block_b"), (~known).cast("int").alias("side"))
     at = F.pmod(F.xxhash64(row, "bucket"), F.when(known, F.col("k")).otherwise(F.col("u"))).cast("int")
-    placed = own.withColumns({"at": at, "other": F.explode(F.sequence(F.lit(0), F.when(known, F.col("u")).otherwise(F.col("k")) - 1))})
-    return placed.select(*rows.columns, F.when(known, F.col("at")).otherwise(F.col("other")).alias("block_a"), (F.col("k") + F.when(known, F.col("other")).otherwise(F.col("at"))).alias("block_b"), (~known).cast("int").alias("side"))
+    many = own.where("large").select(*rows.columns, (at + F.when(known, 0).otherwise(F.col("k"))).alias("block"))
+    first = placed.where("large").withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return few, many, first.select("category_id", "block_a", F.explode(F.sequence("k", F.col("k") + F.col("u") - 1)).alias("block_b"))
 
 
 def together(dealt_rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Rows of ``inside`` or ``across`` brought together and sorted by ``by`` and blocks."""
+    """Rows of groups of one block brought together and sorted by ``by`` and blocks."""
     return dealt_rows.repartition(tasks(dealt_rows), *by, "block_a", "block_b").sortWithinPartitions(*by, "block_a", "block_b", "side")
 
 
+def block_of(folder: str, values: dict[str, int]) -> pa.Table | None:
+    """The rows of the one subfolder of ``stored`` that ``values`` name, None if it has none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    # Hadoop names a local file file:/x, which is no URI to Arrow.
+    local = folder.startswith("file:") and not folder.startswith("file://")
+    files, root = fs.FileSystem.from_uri(folder.removeprefix("file:") if local else folder)
+    found = files.get_file_info(fs.FileSelector("/".join([root, *(f"{k}={v}" for k, v in values.items())]), allow_not_found=True))
+    parts = [pq.read_table(files.open_input_file(x.path)) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".parquet")]
+    return pa.concat_tables(parts) if parts else None
+
+
+def paired(folder: str, by: dict[str, int], a: int, b: int) -> pa.Table | None:
+    """The rows of two blocks (of one, if they are the same) of a group as ``whole`` would give them; None if a block has none."""
+    sides = [block_of(folder, by | {"block": x}) for x in dict.fromkeys((a, b))]
+    if any(x is None for x in sides):
+        return None
+    table = pa.concat_tables(sides)
+    side = np.repeat(np.arange(len(sides)), [x.num_rows for x in sides])
+    for name, value in (*by.items(), ("block_a", a), ("block_b", b), ("side", side)):
+        table = table.append_column(name, pa.array(np.broadcast_to(value, table.num_rows).astype(np.int64)))
+    return table
+
+
+def in_blocks(dealt: list[tuple[DataFrame, DataFrame, DataFrame]], by: tuple[str, ...], run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run`` gives for tables of whole groups and of pairs of blocks, of what ``inside`` and ``across`` give."""
+    few, many, pairs = (reduce(DataFrame.unionByName, x) for x in zip(*[(f, m, p.select(*by, "block_a", "block_b")) for f, m, p in dealt], strict=True))
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole(batches, (*by, "block_a", "block_b")):
+            yield from run(table)
+
+    found = together(few, by).mapInArrow(small, schema)
+    if pairs.isEmpty():
+        return found
+    folder, n = stored(many.repartition(tasks(many), *by, "block"), *by, "block"), tasks(many)
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*[ids(batch, c).tolist() for c in (*by, "block_a", "block_b")], strict=True):
+                table = paired(folder, dict(zip(by, row, strict=False)), *row[-2:])
+                if table is not None:
+                    yield from run(table)
+
+    return found.unionByName(pairs.coalesce(1).repartition(4 * n).mapInArrow(large, schema))
+
+
 def ids(batch: pa.Table, column: str) -> np.ndarray:
     return batch.column(column).to_numpy().astype(np.int64, copy=False)
 
@@ -225,76 +279,74 @@ def similar(rows: DataFrame, sizes: DataFrame, least: float, contained: float |
     by = ("category_id", "part")
     names = ["category_id", "bucket", "id_a", "id_b", "j", "t", "o", "c", "digit_blocked"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole(batches, (*by, "block_a", "block_b")):
-            word_row, word = words_of(table["key"])
-            sets, steps = compared(table, by, {"w": (word_row, word), "p": pieces_of(table["key"])})
-            w, p = sets["w"], sets["p"]
-            codes = lambda c: pd.factorize(table[c].to_numpy())[0]
-            digits, variants, numbers = codes("digits"), codes("variants"), np.array([bool(x) for x in table["digits"].to_pylist()], bool)
-            alone, only, first = ~table["many"].to_numpy(), ids(table, "shop"), ids(table, "first_id")
-            category, bucket, part = ids(table, "category_id"), ids(table, "bucket"), ids(table, "part")
-            if spread:
-                mine_row, mine = elements_of(table["mine"])
-                covered = np.unique((mine_row << 32) | mine.astype(np.int64))
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        word_row, word = words_of(table["key"])
+        sets, steps = compared(table, by, {"w": (word_row, word), "p": pieces_of(table["key"])})
+        w, p = sets["w"], sets["p"]
+        codes = lambda c: pd.factorize(table[c].to_numpy())[0]
+        digits, variants, numbers = codes("digits"), codes("variants"), np.array([bool(x) for x in table["digits"].to_pylist()], bool)
+        alone, only, first = ~table["many"].to_numpy(), ids(table, "shop"), ids(table, "first_id")
+        category, bucket, part = ids(table, "category_id"), ids(table, "bucket"), ids(table, "part")
+        if spread:
+            mine_row, mine = elements_of(table["mine"])
+            covered = np.unique((mine_row << 32) | mine.astype(np.int64))
+        if cosine is not None:
+            weight = pd.Series(elements_of(table["squares"])[1], index=word).groupby(level=0).first()
+            square = weight.reindex(w.value).to_numpy()
+            norm = np.bincount(w.row, weights=square, minlength=table.num_rows)
+        # With fewer shared elements no threshold can be reached, whatever the other row's size.
+        least_w = np.maximum(1, np.ceil(w.size * least - 1e-9)).astype(np.int64)
+        least_p = np.maximum(1, np.ceil(p.size * least - 1e-9)).astype(np.int64)
+
+        def out(x: np.ndarray, y: np.ndarray, buckets: np.ndarray, scores: list[np.ndarray], blocked: np.ndarray, category=category, first=first) -> pa.RecordBatch:
+            found = [category[x], buckets, np.minimum(first[x], first[y]), np.maximum(first[x], first[y])]
+            return pa.RecordBatch.from_arrays([*[pa.array(v.astype(np.int32)) for v in found], *map(pa.array, scores), pa.array(blocked)], names)
+
+        for a, b, at, cells in steps:
+            width = np.diff(np.r_[at, cells])
+            cw, cp = w.counts(a, b, at, cells), p.counts(a, b, at, cells)
+            some = cw > 0 if contained is not None or cosine is not None else cw >= np.repeat(least_w[a:b], width)
+            cell = np.flatnonzero(some | (cp >= np.repeat(least_p[a:b], width)))
+            x, y = cell_rows(cell, a, at, w.low)
+            fit = (variants[x] == variants[y]) & ~(alone[x] & alone[y] & ((only[x] == only[y]) | (only[x] == NO_SHOP) | (only[y] == NO_SHOP)))
+            cell, x, y = cell[fit], x[fit], y[fit]
+            j = cw[cell] / np.maximum(1, w.size[x] + w.size[y] - cw[cell])
+            t = cp[cell] / np.maximum(1, p.size[x] + p.size[y] - cp[cell])
+            o = cw[cell] / np.maximum(1, np.minimum(w.size[x], w.size[y]))
+            c = np.zeros(len(cell))
+            keep = (j >= least) | (t >= least)
+            if contained is not None:
+                keep |= o >= contained
             if cosine is not None:
-                weight = pd.Series(elements_of(table["squares"])[1], index=word).groupby(level=0).first()
-                square = weight.reindex(w.value).to_numpy()
-                norm = np.bincount(w.row, weights=square, minlength=table.num_rows)
-            # With fewer shared elements no threshold can be reached, whatever the other row's size.
-            least_w = np.maximum(1, np.ceil(w.size * least - 1e-9)).astype(np.int64)
-            least_p = np.maximum(1, np.ceil(p.size * least - 1e-9)).astype(np.int64)
-
-            def out(x: np.ndarray, y: np.ndarray, buckets: np.ndarray, scores: list[np.ndarray], blocked: np.ndarray, category=category, first=first) -> pa.RecordBatch:
-                found = [category[x], buckets, np.minimum(first[x], first[y]), np.maximum(first[x], first[y])]
-                return pa.RecordBatch.from_arrays([*[pa.array(v.astype(np.int32)) for v in found], *map(pa.array, scores), pa.array(blocked)], names)
-
-            for a, b, at, cells in steps:
-                width = np.diff(np.r_[at, cells])
-                cw, cp = w.counts(a, b, at, cells), p.counts(a, b, at, cells)
-                some = cw > 0 if contained is not None or cosine is not None else cw >= np.repeat(least_w[a:b], width)
-                cell = np.flatnonzero(some | (cp >= np.repeat(least_p[a:b], width)))
-                x, y = cell_rows(cell, a, at, w.low)
-                fit = (variants[x] == variants[y]) & ~(alone[x] & alone[y] & ((only[x] == only[y]) | (only[x] == NO_SHOP) | (only[y] == NO_SHOP)))
-                cell, x, y = cell[fit], x[fit], y[fit]
-                j = cw[cell] / np.maximum(1, w.size[x] + w.size[y] - cw[cell])
-                t = cp[cell] / np.maximum(1, p.size[x] + p.size[y] - cp[cell])
-                o = cw[cell] / np.maximum(1, np.minimum(w.size[x], w.size[y]))
-                c = np.zeros(len(cell))
-                keep = (j >= least) | (t >= least)
-                if contained is not None:
-                    keep |= o >= contained
-                if cosine is not None:
-                    c = w.counts(a, b, at, cells, square)[cell] / np.sqrt(np.maximum(norm[x] * norm[y], 1e-300))
-                    keep |= c >= cosine - 1e-12
-                if spread:
-                    keep &= (part[x] != ACROSS) | ~among((y << 32) | bucket[x], covered)
-                x, y, scores = x[keep], y[keep], [v[keep] for v in (j, t, o, c)]
-                blocked = numbers[x] & numbers[y] & (digits[x] != digits[y])
-                if kinds is not None:
-                    yield from crossed(table, x, y, kinds(*scores[:3], blocked))
-                    continue
-                yield out(x, y, bucket[x], scores, blocked)
-                if not spread:
-                    continue
-                twice = np.flatnonzero(part[x] == -1)
-                for k in np.unique(category[x[twice]]):
-                    pairs = twice[category[x[twice]] == k]
-                    every = np.array(table["every"][int(x[pairs[0]])].as_py(), np.int64)
-                    for i in range(0, len(pairs) if len(every) else 0, max(1, STEP // len(every)) if len(every) else 1):
-                        z = np.repeat(pairs[i : i + max(1, STEP // len(every))], len(every))
-                        there = np.tile(every, len(z) // len(every))
-                        free = ~among((x[z] << 32) | there, covered) & ~among((y[z] << 32) | there, covered)
-                        z, there = z[free], there[free]
-                        yield out(x[z], y[z], there, [v[z] for v in scores], blocked[z])
-
-    dealt_rows = inside(rows, ("category_id", "bucket"), sizes, F.col("first_id")).withColumn("part", F.col("bucket"))
+                c = w.counts(a, b, at, cells, square)[cell] / np.sqrt(np.maximum(norm[x] * norm[y], 1e-300))
+                keep |= c >= cosine - 1e-12
+            if spread:
+                keep &= (part[x] != ACROSS) | ~among((y << 32) | bucket[x], covered)
+            x, y, scores = x[keep], y[keep], [v[keep] for v in (j, t, o, c)]
+            blocked = numbers[x] & numbers[y] & (digits[x] != digits[y])
+            if kinds is not None:
+                yield from crossed(table, x, y, kinds(*scores[:3], blocked))
+                continue
+            yield out(x, y, bucket[x], scores, blocked)
+            if not spread:
+                continue
+            twice = np.flatnonzero(part[x] == -1)
+            for k in np.unique(category[x[twice]]):
+                pairs = twice[category[x[twice]] == k]
+                every = np.array(table["every"][int(x[pairs[0]])].as_py(), np.int64)
+                for i in range(0, len(pairs) if len(every) else 0, max(1, STEP // len(every)) if len(every) else 1):
+                    z = np.repeat(pairs[i : i + max(1, STEP // len(every))], len(every))
+                    there = np.tile(every, len(z) // len(every))
+                    free = ~among((x[z] << 32) | there, covered) & ~among((y[z] << 32) | there, covered)
+                    z, there = z[free], there[free]
+                    yield out(x[z], y[z], there, [v[z] for v in scores], blocked[z])
+
+    dealt = [tuple(x.withColumn("part", F.col("bucket")) for x in inside(rows, ("category_id", "bucket"), sizes, F.col("first_id")))]
     if spread:
-        apart = across(rows.withColumn("every", F.array().cast("array<int>")), sizes, F.col("first_id")).withColumn("part", F.lit(ACROSS))
-        dealt_rows = dealt_rows.unionByName(apart)
-    if kinds is not None:
-        return together(dealt_rows, by).mapInArrow(run, "kind bigint, category_id bigint, a bigint, b bigint")
-    return together(dealt_rows, by).mapInArrow(run, "category_id int, bucket int, id_a int, id_b int, j double, t double, o double, c double, digit_blocked boolean")
+        apart = across(rows.withColumn("every", F.array().cast("array<int>")), sizes, F.col("first_id"))
+        dealt.append(tuple(x.withColumn("part", F.lit(ACROSS)) for x in apart))
+    schema = "category_id int, bucket int, id_a int, id_b int, j double, t double, o double, c double, digit_blocked boolean"
+    return in_blocks(dealt, by, run, "kind bigint, category_id bigint, a bigint, b bigint" if kinds is not None else schema)
 
 
 def likeness_of(w: Sets, steps: Iterator[tuple[int, int, np.ndarray, int]], n: np.ndarray, shop: np.ndarray) -> np.ndarray:
@@ -314,14 +366,13 @@ def likeness(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame) -> DataFram
     words, numbers that stand for them, in place of a key, which is less to move."""
     names = [*by, "product_id", "likeness"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole(batches, (*by, "block_a", "block_b")):
-            sets, steps = compared(table, by, {"w": key_sets(table["key"]) if "key" in table.column_names else elements_of(table["words"])})
-            total = likeness_of(sets["w"], steps, ids(table, "n"), ids(table, "source_id"))
-            kept = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([*[pa.array(ids(table, c)[kept]) for c in names[:-1]], pa.array(total[kept])], names)
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sets, steps = compared(table, by, {"w": key_sets(table["key"]) if "key" in table.column_names else elements_of(table["words"])})
+        total = likeness_of(sets["w"], steps, ids(table, "n"), ids(table, "source_id"))
+        kept = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([*[pa.array(ids(table, c)[kept]) for c in names[:-1]], pa.array(total[kept])], names)
 
-    parts = together(inside(rows, by, sizes, F.col("product_id"), WIDE * BLOCK), by).mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
+    parts = in_blocks([inside(rows, by, sizes, F.col("product_id"), WIDE * BLOCK)], by, run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
     return parts.groupBy(*names[:-1]).agg(F.sum("likeness").alias("likeness"))
 
 

@@ -47,3 +47,15 @@ def settled(df: DataFrame) -> DataFrame:
     gc.collect()
     spark._jvm.System.gc()
     return done
+
+
+def stored(df: DataFrame, *by: str) -> str:
+    """A shared folder that holds the rows as Parquet files, those of each value of ``by`` in a subfolder of their own. It is removed when Spark ends; shuffled files that led to it, as in ``settled``."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return path
