@@ -13,6 +13,7 @@ from stillroom.plans.matching import QUERIES
 @pytest.mark.parametrize(
     "name, most",
     [
+        ("match_components", 4),
         ("pair_kinds", 4),
     ],
 )
