@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stillroom.sources.tables import stored
+from stillroom.sources.tables import kept, release, stored
 
 #: Rows of a block, cells and hits of a step in a task, rows that a task gathers before it compares.
 BLOCK, STEP, GATHER = 8_192, 1_000_000, 20_000
@@ -91,17 +91,24 @@ def paired(folder: str, by: dict[str, int], a: int, b: int) -> pa.Table | None:
     return table
 
 
-def in_blocks(dealt: list[tuple[DataFrame, DataFrame, DataFrame]], by: tuple[str, ...], run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``run`` gives for tables of whole groups and of pairs of blocks, of what ``inside`` and ``across`` give."""
-    few, many, pairs = (reduce(DataFrame.unionByName, x) for x in zip(*[(f, m, p.select(*by, "block_a", "block_b")) for f, m, p in dealt], strict=True))
+def in_blocks(rows: DataFrame, deal: Callable[[DataFrame], list[tuple[DataFrame, DataFrame, DataFrame]]], by: tuple[str, ...], run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run`` gives for tables of whole groups and of pairs of blocks; ``deal`` gives what ``inside`` and ``across`` make of rows."""
+
+    def dealt(rows: DataFrame) -> Iterator[DataFrame]:
+        return (reduce(DataFrame.unionByName, x) for x in zip(*[(f, m, p.select(*by, "block_a", "block_b")) for f, m, p in deal(rows)], strict=True))
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole(batches, (*by, "block_a", "block_b")):
             yield from run(table)
 
+    few, many, pairs = dealt(rows)
+    alone = pairs.isEmpty()
+    release(pairs.sparkSession)
+    if alone:
+        return together(few, by).mapInArrow(small, schema)
+    # They are read for the small groups and again for the large ones, so what leads to them is done once.
+    few, many, pairs = dealt(kept(rows))
     found = together(few, by).mapInArrow(small, schema)
-    if pairs.isEmpty():
-        return found
     folder, n = stored(many.repartition(tasks(many), *by, "block"), *by, "block"), tasks(many)
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +348,15 @@ def similar(rows: DataFrame, sizes: DataFrame, least: float, contained: float |
                     z, there = z[free], there[free]
                     yield out(x[z], y[z], there, [v[z] for v in scores], blocked[z])
 
-    dealt = [tuple(x.withColumn("part", F.col("bucket")) for x in inside(rows, ("category_id", "bucket"), sizes, F.col("first_id")))]
-    if spread:
-        apart = across(rows.withColumn("every", F.array().cast("array<int>")), sizes, F.col("first_id"))
-        dealt.append(tuple(x.withColumn("part", F.lit(ACROSS)) for x in apart))
+    def deal(rows: DataFrame) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+        dealt = [tuple(x.withColumn("part", F.col("bucket")) for x in inside(rows, ("category_id", "bucket"), sizes, F.col("first_id")))]
+        if spread:
+            apart = across(rows.withColumn("every", F.array().cast("array<int>")), sizes, F.col("first_id"))
+            dealt.append(tuple(x.withColumn("part", F.lit(ACROSS)) for x in apart))
+        return dealt
+
     schema = "category_id int, bucket int, id_a int, id_b int, j double, t double, o double, c double, digit_blocked boolean"
-    return in_blocks(dealt, by, run, "kind bigint, category_id bigint, a bigint, b bigint" if kinds is not None else schema)
+    return in_blocks(rows, deal, by, run, "kind bigint, category_id bigint, a bigint, b bigint" if kinds is not None else schema)
 
 
 def likeness_of(w: Sets, steps: Iterator[tuple[int, int, np.ndarray, int]], n: np.ndarray, shop: np.ndarray) -> np.ndarray:
@@ -372,7 +382,7 @@ def likeness(rows: DataFrame, by: tuple[str, ...], sizes: DataFrame) -> DataFram
         kept = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([*[pa.array(ids(table, c)[kept]) for c in names[:-1]], pa.array(total[kept])], names)
 
-    parts = in_blocks([inside(rows, by, sizes, F.col("product_id"), WIDE * BLOCK)], by, run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
+    parts = in_blocks(rows, lambda x: [inside(x, by, sizes, F.col("product_id"), WIDE * BLOCK)], by, run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", likeness double")
     return parts.groupBy(*names[:-1]).agg(F.sum("likeness").alias("likeness"))
 
 

@@ -44,9 +44,14 @@ def settled(df: DataFrame) -> DataFrame:
     """``cut``, with the shuffled files that led to it removed: Spark keeps them until the driver happens to collect its garbage, and a query with several cuts would hold all of them at once."""
     spark, done = df.sparkSession, cut(df)
     del df  # a caller's name for it would keep its files
+    release(spark)
+    return done
+
+
+def release(spark: SparkSession) -> None:
+    """Removes shuffled files that no plan needs any more."""
     gc.collect()
     spark._jvm.System.gc()
-    return done
 
 
 def stored(df: DataFrame, *by: str) -> str:
@@ -56,6 +61,10 @@ def stored(df: DataFrame, *by: str) -> str:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    release(spark)
     return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``settled`` with the rows in Parquet files, which are smaller than a checkpoint's; they are removed when Spark ends."""
+    return df.sparkSession.read.parquet(stored(df))

@@ -15,6 +15,7 @@ from stillroom.plans.matching import QUERIES
     [
         ("match_components", 4),
         ("pair_kinds", 4),
+        ("matcher_agreement", 3.4),
     ],
 )
 def test_blocks_are_moved_once(spark, spread, monkeypatch, name, most):  # noqa: F811
