@@ -16,6 +16,7 @@ from stillroom.plans.matching import QUERIES
         ("match_components", 4),
         ("pair_kinds", 4),
         ("suggested_clusters_high_floor", 6),
+        ("all_scored_pairs", 4),
         ("matcher_agreement", 3.4),
     ],
 )
