@@ -21,6 +21,7 @@ from stillroom.plans.matching import QUERIES
         ("matcher_agreement", 3.4),
         ("matcher_summary", 3.4),
         ("pair_kinds_high_floor", 4),
+        ("run_summary", 6),
     ],
 )
 def test_blocks_are_moved_once(spark, spread, monkeypatch, name, most):  # noqa: F811
