@@ -24,6 +24,7 @@ from stillroom.plans.matching import QUERIES
         ("run_summary", 6),
         ("cluster_labels", 6),
         ("match_clusters", 6),
+        ("matcher_disagreements", 3.4),
     ],
 )
 def test_blocks_are_moved_once(spark, spread, monkeypatch, name, most):  # noqa: F811
