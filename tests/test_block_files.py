@@ -26,6 +26,7 @@ from stillroom.plans.matching import QUERIES
         ("match_clusters", 6),
         ("matcher_disagreements", 3.4),
         ("matches_beside_confirmed", 6),
+        ("suggestion_queue", 6),
     ],
 )
 def test_blocks_are_moved_once(spark, spread, monkeypatch, name, most):  # noqa: F811
